@@ -92,16 +92,27 @@ def arx_features(
     if levels is not None:
         trend = momentum(levels, momentum_window, keys=["index_id"])
         if sectors is not None:
-            held = trend.select("index_id").distinct().withColumn("_held", F.lit(True))
-            own = sectors.select("ticker", F.col("index_id")).join(held, "index_id", "left")
-            rows = rows.join(own, "ticker", "left")
-            rows = asof_align(rows, trend, keys=["index_id"], columns=["momentum"])
+            # Each index opens with an undated-early row: a match of any kind tells that the index exists.
+            opens = F.lag("date").over(Window.partitionBy("index_id").orderBy("date")).isNull()
+            point = F.struct("date", "momentum")
+            early = F.struct(
+                F.lit("0001-01-01").cast("date").alias("date"), F.lit(None).cast("double").alias("momentum")
+            )
+            points = F.when(opens, F.array(early, point)).otherwise(F.array(point))
+            known_from = trend.select("index_id", F.inline(points)).withColumn("_held", F.lit(True))
+            rows = rows.join(sectors.select("ticker", "index_id"), "ticker", "left")
+            rows = asof_align(rows, known_from, keys=["index_id"], columns=["momentum", "_held"])
             value = F.when(F.col("_held"), F.col("momentum")).otherwise(F.lit(0.0))
             rows = rows.withColumn("sector_mom", value).drop("index_id", "_held", "momentum")
             names.append("sector_mom")
         if market_id is not None:
-            market = trend.filter(F.col("index_id") == market_id).select(
-                "date", F.col("momentum").alias("market_mom")
+            # Picked by an aggregate: a filter would be pushed into the index build and run it twice.
+            mine = F.when(F.col("index_id") == market_id, F.struct("momentum"))
+            market = (
+                trend.groupBy("date")
+                .agg(F.max(mine).alias("_row"))
+                .filter(F.col("_row").isNotNull())
+                .select("date", F.col("_row.momentum").alias("market_mom"))
             )
             rows = asof_align(rows, market, keys=[], columns=["market_mom"])
             names.append("market_mom")
@@ -157,8 +168,6 @@ def walk_forward(
     names = feature_names(features)
     by_ticker = Window.partitionBy("ticker").orderBy("date")
     start = by_ticker.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = by_ticker.rowsBetween(Window.unboundedPreceding, -1)
-
     xs = [f"_x{i}" for i in range(len(names))]
     rows = features.select(
         "ticker",
@@ -168,21 +177,21 @@ def walk_forward(
         (F.col("target") - F.first("target").over(start)).alias("_y"),
         *[(F.col(c) - F.first(c).over(start)).alias(x) for c, x in zip(names, xs)],
     )
-    pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
+    over = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
-    def sums(columns) -> Column:
-        return F.array(*[F.sum(c).over(earlier) for c in columns])
+    def sums(terms) -> Column:
+        return F.expr(f"array({', '.join(f'sum({term}) {over}' for term in terms)})")
 
     trained = rows.select(
         "ticker",
         "date",
         "target",
         "_origin",
-        F.count("_y").over(earlier).alias("_n"),
-        sums(F.col(x) for x in xs).alias("_sx"),
-        sums(F.col(a) * F.col(b) for a, b in pairs).alias("_sxx"),
-        sums(F.col(x) * F.col("_y") for x in xs).alias("_sxy"),
-        F.sum("_y").over(earlier).alias("_sy"),
+        F.expr(f"count(_y) {over}").alias("_n"),
+        sums(xs).alias("_sx"),
+        sums(f"{a} * {b}" for i, a in enumerate(xs) for b in xs[i:]).alias("_sxx"),
+        sums(f"{x} * _y" for x in xs).alias("_sxy"),
+        F.expr(f"sum(_y) {over}").alias("_sy"),
         F.array(*xs).alias("_x"),
     ).filter(F.col("_n") >= min_train)
     pred = _ridge_prediction("_n", "_sx", "_sxx", "_sxy", "_sy", "_x", F.lit(float(l2)))

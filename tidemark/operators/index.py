@@ -102,10 +102,10 @@ def _price_moves(prices: DataFrame, rebalance: str) -> DataFrame:
     Both windows sort by ticker, period, date, so one shuffle and one sort serve them.
     """
     by_ticker = Window.partitionBy("ticker").orderBy("period", "date")
+    before = by_ticker.rowsBetween(Window.unboundedPreceding, -1)
     in_period = Window.partitionBy("ticker", "period").orderBy("date")
-    upto = by_ticker.rowsBetween(Window.unboundedPreceding, 0)
 
-    def opening(col: str | Column) -> Column:
+    def opening(col: str) -> Column:
         return F.first(col).over(in_period.rowsBetween(Window.unboundedPreceding, 0))
 
     held = prices.select(
@@ -117,15 +117,12 @@ def _price_moves(prices: DataFrame, rebalance: str) -> DataFrame:
         known(F.col("close") * F.col("shares_out")).alias("cap"),
     ).withColumns(
         {
-            "pr": F.last("close", ignorenulls=True).over(upto),
-            "tr": F.last("adj_close", ignorenulls=True).over(upto),
+            "last_pr": F.last("close", ignorenulls=True).over(before),
+            "last_tr": F.last("adj_close", ignorenulls=True).over(before),
         }
     )
-    rows = held.withColumns(
-        {
-            "move_pr": F.col("pr") - F.lag("pr").over(by_ticker),
-            "move_tr": F.col("tr") - F.lag("tr").over(by_ticker),
-        }
+    rows = held.withColumns({"pr": F.coalesce("close", "last_pr"), "tr": F.coalesce("adj_close", "last_tr")}).withColumns(
+        {"move_pr": F.col("pr") - F.col("last_pr"), "move_tr": F.col("tr") - F.col("last_tr")}
     )
     return rows.select(
         "ticker", "date", "period", "move_pr", "move_tr",
@@ -145,7 +142,8 @@ def _daily_growth(prices: DataFrame, members: DataFrame, rebalance: str) -> Data
     """
     moves = _price_moves(prices, rebalance)
     eligible = is_member(F.col("open_date"), F.col("from_date"), F.col("to_date"))
-    member_rows = moves.join(members, "ticker").withColumn(
+    # The moves lie partitioned and sorted by ticker already, so a merge join leaves them in place.
+    member_rows = moves.join(members.hint("merge"), "ticker").withColumn(
         "open_cap", F.when(eligible & (F.col("open_cap") > 0), F.col("open_cap"))
     )
     opens = F.col("date") == F.col("open_date")

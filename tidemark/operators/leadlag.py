@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.numeric import ratio
 
@@ -61,12 +61,16 @@ def lead_lag(
         .groupBy(*pair, "date")
         .agg(F.max("ind").alias("ind"), F.max("tgt").alias("tgt"))
     )
-    w = Window.partitionBy(*pair).orderBy("date")
-    lags = range(-max_lag, max_lag + 1)
-    shifted = merged.select(
-        *pair, "tgt", F.array(*[F.lag("ind", lag).over(w) for lag in lags]).alias("shifted")
-    ).select(*pair, "tgt", F.posexplode("shifted").alias("slot", "ind"))
+    over = "OVER (PARTITION BY indicator, target ORDER BY date)"
+    lags = ", ".join(f"lag(ind, {lag}) {over}" for lag in range(-max_lag, max_lag + 1))
     both = F.col("ind").isNotNull() & F.col("tgt").isNotNull()
+    seeded = F.col("date").isNull()
+    shifted = (
+        merged.select(*pair, "date", "tgt", F.expr(f"array({lags})").alias("shifted"))
+        .filter(F.col("tgt").isNotNull() | seeded)
+        .select(*pair, "date", "tgt", F.posexplode("shifted").alias("slot", "ind"))
+        .filter(both | seeded)
+    )
     x, y = F.when(both, F.col("ind")), F.when(both, F.col("tgt"))
     n = F.count(x)
     return (

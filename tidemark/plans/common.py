@@ -29,8 +29,8 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels, _ = index.build_index(tables.prices(spark, sf_dir), members(spark, sf_dir), base_date=BASE_DATE)
-    return levels
+    chain = index.index_levels_chain(tables.prices(spark, sf_dir), members(spark, sf_dir), base_date=BASE_DATE)
+    return chain.select("index_id", "date", "level_pr", "level_tr")
 
 
 def index_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

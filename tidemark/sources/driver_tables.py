@@ -16,23 +16,42 @@ INDEX_PREFIX = "ALL"
 BASELINE_PREFIX = "BASE_"
 
 
+# Declared, so that no job has to open the files to find the schema.
+SCHEMAS = {
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp_ntz"
+    ),
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
+    "events": "ts timestamp_ntz, event_type string, value double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _cents(col: str) -> Column:
     return F.round(F.col(col) * 100).cast("bigint")
 
 
-def _price_columns(grouped) -> DataFrame:
-    """close / adj_close / shares_out of one (ticker, date) group of order lines."""
-    sums = grouped.agg(
+def _daily_prices(lines: DataFrame, key: str) -> DataFrame:
+    """close / adj_close / shares_out per key and shipping day.
+
+    Grouped on the stored key; it becomes a ticker string once per group.
+    """
+    sums = lines.groupBy(key, F.to_date("l_shipdate").alias("date")).agg(
         F.sum(_cents("l_extendedprice")).alias("gross"),
         F.sum(_cents("l_extendedprice") * (100 - _cents("l_discount"))).alias("net"),
         F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
     )
     return sums.select(
-        "ticker",
+        F.col(key).cast("string").alias("ticker"),
         "date",
         ratio(F.col("gross") / 100.0, F.col("qty").cast("double")).alias("close"),
         ratio(F.col("net") / 10000.0, F.col("qty").cast("double")).alias("adj_close"),
@@ -62,32 +81,14 @@ def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily prices per supplier."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("ticker"),
-        F.to_date("l_shipdate").alias("date"),
-        "l_quantity",
-        "l_extendedprice",
-        "l_discount",
-    )
-    return _price_columns(lines.groupBy("ticker", "date"))
+    return _daily_prices(table(spark, sf_dir, "lineitem"), "l_suppkey")
 
 
 def baseline_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily prices per brand: the benchmark tickers."""
     brand = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .select("l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
-        .join(brand, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            F.col("p_brand").alias("ticker"),
-            F.to_date("l_shipdate").alias("date"),
-            "l_quantity",
-            "l_extendedprice",
-            "l_discount",
-        )
-    )
-    return _price_columns(lines.groupBy("ticker", "date"))
+    lines = table(spark, sf_dir, "lineitem").join(brand, F.col("l_partkey") == F.col("p_partkey"))
+    return _daily_prices(lines, "p_brand")
 
 
 def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
