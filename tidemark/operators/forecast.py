@@ -98,8 +98,12 @@ def arx_features(
             early = F.struct(
                 F.lit("0001-01-01").cast("date").alias("date"), F.lit(None).cast("double").alias("momentum")
             )
-            points = F.when(opens, F.array(early, point)).otherwise(F.array(point))
-            known_from = trend.select("index_id", F.inline(points)).withColumn("_held", F.lit(True))
+            points = F.when(F.col("_opens"), F.array(early, point)).otherwise(F.array(point))
+            known_from = (
+                trend.withColumn("_opens", opens)
+                .select("index_id", F.inline(points))
+                .withColumn("_held", F.lit(True))
+            )
             rows = rows.join(sectors.select("ticker", "index_id"), "ticker", "left")
             rows = asof_align(rows, known_from, keys=["index_id"], columns=["momentum", "_held"])
             value = F.when(F.col("_held"), F.col("momentum")).otherwise(F.lit(0.0))
