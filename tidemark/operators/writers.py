@@ -9,6 +9,7 @@ combines before the shuffle. `compact` folds the batches into a new folder.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.schemas import (
@@ -75,11 +76,20 @@ def write_batch(rows: DataFrame, path: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Every row of every batch with its batch number; a store not begun yet is empty."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], full)
+
+
 def read_store(spark: SparkSession, path: str, schema: T.StructType, key: list[str]) -> DataFrame:
     """All batches of a store, the last write per key."""
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(full).parquet(path)
-    return last_per_key(rows, key, "batch").select(*schema.names)
+    return last_per_key(read_batches(spark, path, schema), key, "batch").select(*schema.names)
 
 
 def compact(spark: SparkSession, path: str, target: str, schema: T.StructType, key: list[str]) -> None:

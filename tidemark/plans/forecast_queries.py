@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidemark.operators import forecast
 from tidemark.plans import common as c
@@ -33,11 +33,15 @@ def walk_forward(spark, sf_dir):
     return _backtest(spark, sf_dir).select("ticker", "date", c.r("pred").alias("pred"), c.r("actual").alias("actual"))
 
 
+def walk_forward_ar1(spark, sf_dir):
+    """One feature, last month's return: small enough to be followed in SQL."""
+    rows = forecast.backtest_stocks(c.adjusted(spark, sf_dir), ar_order=1)
+    return rows.select("ticker", "date", c.r("pred").alias("pred"), c.r("actual").alias("actual"))
+
+
 def _naive(spark, sf_dir):
     """A predictor SQL can follow: next month repeats this month."""
     lags = c.stock_returns(spark, sf_dir)
-    from pyspark.sql import Window
-
     nxt = F.lead("ret").over(Window.partitionBy("ticker").orderBy("date"))
     rows = lags.select("ticker", "date", F.col("ret").alias("pred"), nxt.alias("actual"))
     return rows.filter(F.col("actual").isNotNull() & (F.col("date") >= F.lit("1996-01-01").cast("date")))
@@ -80,6 +84,16 @@ _NAIVE = """
                avg(CASE WHEN actual <> 0 THEN CASE WHEN sign(pred) = sign(actual) THEN 1.0 ELSE 0.0 END END) AS hit_rate
         FROM sec LEFT JOIN naive USING (ticker) GROUP BY ticker)"""
 
+_AR1 = f"""
+    SELECT ticker, date,
+           {r("sy / n + (x - sx / n) / sd * ((sxy - sx * sy / n) / sd / (n + 10))")} AS pred, {r("y")} AS actual
+    FROM (SELECT ticker, date, x, y, count(*) OVER w AS n, avg(x) OVER w * count(*) OVER w AS sx,
+                 avg(y) OVER w * count(*) OVER w AS sy, sum(x * y) OVER w AS sxy, stddev_pop(x) OVER w AS sd
+          FROM (SELECT ticker, date, ret AS x, lead(ret) OVER (PARTITION BY ticker ORDER BY date) AS y FROM ret)
+          WHERE y IS NOT NULL
+          WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    WHERE n >= 36"""
+
 _FEATURES = f"""
     SELECT ticker, date, {r('ret_lag0')} AS ret_lag0, {r('ret_lag1')} AS ret_lag1, {r('ret_lag2')} AS ret_lag2,
            {', '.join(f'{r(f"exog_{s}")} AS exog_{s}' for s in c.SEGMENTS)},
@@ -107,7 +121,8 @@ QUERIES = {
         ),
     ),
     "arx_features": (arx_features, sql(_FEATURES, "ret", "sec", "exog", "mom")),
-    # Ridge fits have no SQL counterpart; the tests refit them step by step in numpy.
+    "walk_forward_ar1": (walk_forward_ar1, sql(_AR1, "ret")),
+    # Ridge fits on many features have no SQL counterpart; the tests refit them step by step in numpy.
     "walk_forward": (walk_forward, None),
     "forecast_leaderboard": (forecast_leaderboard, None),
     "forecast_metrics": (

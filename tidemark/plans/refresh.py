@@ -11,13 +11,14 @@ from tidemark.operators.index import build_all_indices
 from tidemark.operators.quality import sanitize_prices
 from tidemark.operators.universe import index_members
 from tidemark.operators.writers import (
+    read_batches,
     read_index_values,
     read_index_weights,
     read_store,
     replace_index,
     write_batch,
 )
-from tidemark.schemas import PRICE_KEY, PRICES
+from tidemark.schemas import OBSERVATION_REJECTS, PRICE_KEY, PRICE_REJECTS, PRICES
 from tidemark.streaming.ingest import incremental_ingest, stored_observations
 
 
@@ -46,7 +47,7 @@ def refresh(
     spark: SparkSession,
     store: Store,
     *,
-    landing_path: str,
+    landing_path: str | None,
     prices: DataFrame | None,
     securities: DataFrame,
     baselines: DataFrame,
@@ -59,13 +60,14 @@ def refresh(
     """Run every step and report (step, rows, errors).
 
     A bad payload or price row is counted as an error of its step and stops
-    nothing else. `prices` may be None to leave the stored prices as they are.
-    Rebuilt indices are read back from the store, so their reports do not
+    nothing else. `landing_path` and `prices` may be None to leave what is stored
+    as it is. Rebuilt indices are read back from the store, so their reports do not
     compute them again.
     """
-    incremental_ingest(
-        spark, landing_path, store.path("observations"), store.path("observation_rejects"), store.path("_progress")
-    )
+    if landing_path is not None:
+        incremental_ingest(
+            spark, landing_path, store.path("observations"), store.path("observation_rejects"), store.path("_progress")
+        )
     if prices is not None:
         ingest_prices(spark, store, prices, batch)
     kept = stored_prices(spark, store)
@@ -86,8 +88,8 @@ def refresh(
             F.lit(name).alias("step"), "rows", "errors"
         )
 
-    rejects = spark.read.parquet(store.path("observation_rejects"))
-    price_rejects = spark.read.parquet(store.path("price_rejects"))
+    rejects = read_batches(spark, store.path("observation_rejects"), OBSERVATION_REJECTS)
+    price_rejects = read_batches(spark, store.path("price_rejects"), PRICE_REJECTS)
     return (
         step("observations", stored_observations(spark, store.path("observations")), rejects)
         .unionByName(step("prices", kept, price_rejects))

@@ -26,6 +26,11 @@ INDEX_VALUES = _struct(index_id=_S, date=_D, level_pr=_F, level_tr=_F)
 INDEX_WEIGHTS = _struct(index_id=_S, rebalance_date=_D, ticker=_S, weight=_F)
 # one row per pull
 RAW_LANDING = _struct(source=_S, series_id=_S, fetched_at=_TS, payload=_S)
+# observations of a pull that could not be read
+OBSERVATION_REJECTS = _struct(
+    source=_S, series_id=_S, fetched_at=_TS, date_text=_S, value_text=_S, reason=_S
+)
+PRICE_REJECTS = _struct(ticker=_S, date=_D, close=_F, adj_close=_F, shares_out=_F, reason=_S)
 # the JSON document inside RAW_LANDING.payload
 PAYLOAD = _struct(observations=T.ArrayType(_struct(date=_S, value=_S)))
 # key: slug; rank is unique
