@@ -5,29 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def _last_row_per_date(right: DataFrame, keys: list[str], date: str, columns: list[str], tie: str | None):
+def _last_row_per_date(right: DataFrame, keys: list[str], columns: list[str], tie: str | None, out: str):
     row = F.struct(*columns)
     if tie is None:
-        return right.select(*keys, date, row.alias("_row"))
-    return right.groupBy(*keys, date).agg(F.max_by(row, tie).alias("_row"))
+        return right.select(*keys, "date", row.alias(out))
+    return right.groupBy(*keys, "date").agg(F.max_by(row, tie).alias(out))
 
 
-def asof_align(
+def asof_align_all(
     left: DataFrame,
-    right: DataFrame,
+    rights: list[tuple[DataFrame, list[str], str | None]],
     *,
     keys: list[str],
-    columns: list[str],
-    date: str = "date",
-    right_date: str = "date",
-    tie: str | None = None,
     left_is_unique: bool = False,
 ) -> DataFrame:
-    """Add to each left row the last right row of its keys dated on or before it.
+    """As-of join several right sides at once; each is (frame, columns, tie).
 
-    NULL values on the right are carried, not skipped. Of several right rows on
-    a date the one with the greatest `tie` counts; without `tie` the right side
-    must hold one row per keys and date.
+    For every left row and right side: the last right row of the same keys dated
+    on or before it. NULL values on the right are carried, not skipped. Of
+    several right rows on a date the one with the greatest `tie` counts; without
+    `tie` the right side must hold one row per keys and date.
 
     The match depends on keys and date only, so it is worked out once per
     distinct (keys, date). A window partition is then bounded by the days on
@@ -35,30 +32,49 @@ def asof_align(
     the left by an equi-join that AQE can split. With `left_is_unique` the left
     rows are those distinct rows already and go through the window themselves.
     """
-    if right_date != date:
-        right = right.withColumnRenamed(right_date, date)
-    right_rows = _last_row_per_date(right, keys, date, columns, tie)
-    row_type = right_rows.schema["_row"].dataType
-    rest = [c for c in left.columns if c not in (*keys, date)] if left_is_unique else []
-    probes = left.select(*keys, date, *rest) if left_is_unique else left.select(*keys, date).distinct()
-
-    events = probes.select("*", F.lit(True).alias("_probe"), F.lit(None).cast(row_type).alias("_row"))
-    events = events.unionByName(
-        right_rows.withColumn("_probe", F.lit(False)), allowMissingColumns=True
-    )
+    carried = [f"_row{i}" for i in range(len(rights))]
+    rest = [c for c in left.columns if c not in (*keys, "date")] if left_is_unique else []
+    probes = left.select(*keys, "date", *rest) if left_is_unique else left.select(*keys, "date").distinct()
+    events = probes.withColumn("_probe", F.lit(True))
+    for name, (right, columns, tie) in zip(carried, rights):
+        rows = _last_row_per_date(right, keys, columns, tie, name).withColumn("_probe", F.lit(False))
+        events = events.unionByName(rows, allowMissingColumns=True)
     upto = (
         Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy(date, "_probe")
+        .orderBy("date", "_probe")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     matched = (
-        events.withColumn("_row", F.last("_row", ignorenulls=True).over(upto))
+        events.withColumns({name: F.last(name, ignorenulls=True).over(upto) for name in carried})
         .filter("_probe")
-        .select(*keys, date, *rest, *[F.col(f"_row.{c}").alias(c) for c in columns])
+        .select(
+            *keys,
+            "date",
+            *rest,
+            *[F.col(f"{name}.{c}").alias(c) for name, (_, columns, _) in zip(carried, rights) for c in columns],
+        )
     )
-    if left_is_unique:
-        return matched
-    return left.join(matched, [*keys, date], "left")
+    return matched if left_is_unique else left.join(matched, [*keys, "date"], "left")
+
+
+def asof_align(
+    left: DataFrame,
+    right: DataFrame,
+    *,
+    keys: list[str],
+    columns: list[str],
+    right_date: str = "date",
+    tie: str | None = None,
+    left_is_unique: bool = False,
+) -> DataFrame:
+    """As-of join of one right side; see `asof_align_all`.
+
+    `right_date` may name the day a value became known instead of the period it
+    describes, which keeps values out that were published later.
+    """
+    if right_date != "date":
+        right = right.drop("date").withColumnRenamed(right_date, "date")
+    return asof_align_all(left, [(right, columns, tie)], keys=keys, left_is_unique=left_is_unique)
 
 
 def inner_align(a: DataFrame, b: DataFrame, *, keys: list[str], left: str = "a", right: str = "b") -> DataFrame:

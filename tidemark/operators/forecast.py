@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.numeric import change, ratio
-from tidemark.operators.align import asof_align, month_last
+from tidemark.operators.align import asof_align, asof_align_all
 from tidemark.operators.signals import ar_lags, momentum, monthly_returns
 
 AR_ORDER = 3
@@ -60,6 +60,43 @@ def exog_features(exog: DataFrame, series_ids: list[str], *, lag: int = EXOG_LAG
     return held.select(F.last_day("_month").alias("date"), *late)
 
 
+def _market_momentum(trend: DataFrame, market_id: str) -> DataFrame:
+    """The market's momentum by date.
+
+    Picked by an aggregate: a filter would be pushed down into whatever built
+    the levels and make it run a second time beside the sectors' run.
+    """
+    mine = F.when(F.col("index_id") == market_id, F.struct("momentum"))
+    return (
+        trend.groupBy("date")
+        .agg(F.max(mine).alias("_row"))
+        .filter(F.col("_row").isNotNull())
+        .select("date", F.col("_row.momentum").alias("market_mom"))
+    )
+
+
+def _with_sector_momentum(rows: DataFrame, trend: DataFrame, sectors: DataFrame) -> DataFrame:
+    """Each ticker's own sector index; a constant where there is no such index.
+
+    Every index opens with a row dated before all others, so a match of any
+    kind tells that the index exists.
+    """
+    opens = F.lag("date").over(Window.partitionBy("index_id").orderBy("date")).isNull()
+    point = F.struct("date", "momentum")
+    early = F.struct(
+        F.lit("0001-01-01").cast("date").alias("date"), F.lit(None).cast("double").alias("momentum")
+    )
+    known_from = (
+        trend.withColumn("_opens", opens)
+        .select("index_id", F.inline(F.when(F.col("_opens"), F.array(early, point)).otherwise(F.array(point))))
+        .withColumn("_held", F.lit(True))
+    )
+    rows = rows.join(sectors.select("ticker", "index_id"), "ticker", "left")
+    rows = asof_align(rows, known_from, keys=["index_id"], columns=["momentum", "_held"])
+    value = F.when(F.col("_held"), F.col("momentum")).otherwise(F.lit(0.0))
+    return rows.withColumn("sector_mom", value).drop("index_id", "_held", "momentum")
+
+
 def arx_features(
     prices: DataFrame,
     *,
@@ -84,42 +121,22 @@ def arx_features(
     returns = monthly_returns(prices, keys=["ticker"])
     rows = ar_lags(returns, ar_order, keys=["ticker"]).withColumn("target", F.lead("ret_lag0").over(by_ticker))
     names = [f"ret_lag{i}" for i in range(ar_order)]
+    shared = []
     if exog is not None and exog_ids:
         found = exog_features(exog, exog_ids, lag=exog_lag)
         columns = [c for c in found.columns if c != "date"]
-        rows = asof_align(rows, found, keys=[], columns=columns)
+        shared.append((found, columns, None))
         names += columns
     if levels is not None:
         trend = momentum(levels, momentum_window, keys=["index_id"])
         if sectors is not None:
-            # Each index opens with an undated-early row: a match of any kind tells that the index exists.
-            opens = F.lag("date").over(Window.partitionBy("index_id").orderBy("date")).isNull()
-            point = F.struct("date", "momentum")
-            early = F.struct(
-                F.lit("0001-01-01").cast("date").alias("date"), F.lit(None).cast("double").alias("momentum")
-            )
-            points = F.when(F.col("_opens"), F.array(early, point)).otherwise(F.array(point))
-            known_from = (
-                trend.withColumn("_opens", opens)
-                .select("index_id", F.inline(points))
-                .withColumn("_held", F.lit(True))
-            )
-            rows = rows.join(sectors.select("ticker", "index_id"), "ticker", "left")
-            rows = asof_align(rows, known_from, keys=["index_id"], columns=["momentum", "_held"])
-            value = F.when(F.col("_held"), F.col("momentum")).otherwise(F.lit(0.0))
-            rows = rows.withColumn("sector_mom", value).drop("index_id", "_held", "momentum")
+            rows = _with_sector_momentum(rows, trend, sectors)
             names.append("sector_mom")
         if market_id is not None:
-            # Picked by an aggregate: a filter would be pushed into the index build and run it twice.
-            mine = F.when(F.col("index_id") == market_id, F.struct("momentum"))
-            market = (
-                trend.groupBy("date")
-                .agg(F.max(mine).alias("_row"))
-                .filter(F.col("_row").isNotNull())
-                .select("date", F.col("_row.momentum").alias("market_mom"))
-            )
-            rows = asof_align(rows, market, keys=[], columns=["market_mom"])
+            shared.append((_market_momentum(trend, market_id), ["market_mom"], None))
             names.append("market_mom")
+    if shared:
+        rows = asof_align_all(rows, shared, keys=[])
     return rows.dropna(subset=[*names, "target"]).select("ticker", "date", *names, "target")
 
 

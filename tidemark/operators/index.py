@@ -65,10 +65,8 @@ def _opening_rows(
     )
     cap = known(F.col("close") * F.col("shares_out"))
     eligible = is_member(F.col("date"), F.col("from_date"), F.col("to_date"))
-    return (
-        first.join(members, "ticker")
-        .groupBy("index_id", "ticker", "period", "date")
-        .agg(F.max(F.when(eligible & (cap > 0), cap)).alias("cap"))
+    return first.join(members, "ticker").select(
+        "index_id", "ticker", "period", "date", F.when(eligible & (cap > 0), cap).alias("cap")
     )
 
 
@@ -180,10 +178,6 @@ def _daily_growth(prices: DataFrame, members: DataFrame, rebalance: str) -> Data
     return daily.select("index_id", "period", "rebalance_date", "date", growth("pr"), growth("tr"))
 
 
-def _one_row_per_member(members: DataFrame) -> DataFrame:
-    return members.select("index_id", "ticker", "from_date", "to_date")
-
-
 def index_levels_chain(
     prices: DataFrame,
     members: DataFrame,
@@ -193,7 +187,7 @@ def index_levels_chain(
     rebalance: str = "Q",
 ) -> DataFrame:
     """Levels with the chain behind them: period growth and day-on-day factor per track."""
-    daily = _daily_growth(_from_base(prices, base_date), _one_row_per_member(members), rebalance)
+    daily = _daily_growth(_from_base(prices, base_date), members, rebalance)
     by_index = Window.partitionBy("index_id").orderBy("period", "date")
     finished = by_index.rowsBetween(Window.unboundedPreceding, -1)
     closes = F.coalesce(F.lead("period").over(by_index) != F.col("period"), F.lit(False))

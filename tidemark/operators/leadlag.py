@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.numeric import ratio
+from tidemark.operators.skew import spread_join
 
 MIN_PAIRS = 3
 SMALL_SAMPLE = 30
@@ -50,8 +51,13 @@ def lead_lag(
     """
     pair = ["indicator", "target"]
     none = F.lit(None).cast("double")
-    lhs = indicators.join(pairs, "indicator").select(*pair, "date", F.col(value).alias("ind"), none.alias("tgt"))
-    rhs = targets.join(pairs, "target").select(*pair, "date", none.alias("ind"), F.col(value).alias("tgt"))
+    # One series may take part in very many pairs, so each side meets the pairs in parts.
+    lhs = spread_join(pairs, indicators, "indicator", by="target").select(
+        *pair, "date", F.col(value).alias("ind"), none.alias("tgt")
+    )
+    rhs = spread_join(pairs, targets, "target", by="indicator").select(
+        *pair, "date", none.alias("ind"), F.col(value).alias("tgt")
+    )
     # An undated row per pair keeps pairs without any data in the result.
     seed = pairs.select(*pair, F.lit(None).cast("date").alias("date"), none.alias("ind"), none.alias("tgt"))
     merged = (

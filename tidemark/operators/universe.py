@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.text import contains_any, index_name
+from tidemark.operators.skew import spread_join
 
 
 def universe_members(securities: DataFrame, subsector: str | None = None) -> DataFrame:
@@ -35,11 +36,12 @@ def eligible_members(members: DataFrame, rebalances: DataFrame) -> DataFrame:
 
     The dates of an index fit one short array (a few per year), so each member
     row expands to its own dates and members are never paired with each other.
+    The members of a large index are dealt out over several tasks.
     """
     dates = rebalances.groupBy("index_id").agg(F.collect_set("rebalance_date").alias("dates"))
     inside = F.filter("dates", lambda d: is_member(d, F.col("from_date"), F.col("to_date")))
     return (
-        members.join(dates, "index_id")
+        spread_join(members, dates, "index_id", by="ticker")
         .select("index_id", F.explode(inside).alias("rebalance_date"), "ticker")
         .distinct()
     )

@@ -34,9 +34,11 @@ def asof_indicator(spark, sf_dir):
 def _stock_and_sector(spark, sf_dir):
     """Two panels keyed by ticker: its own adjusted close and its sector index."""
     own = c.adjusted(spark, sf_dir)
+    # By (index, day) and not by index alone: a sector may hold a third of all stocks.
     sector = (
-        c.total_return(spark, sf_dir)
-        .join(c.sector_of(spark, sf_dir), "index_id")
+        own.select("ticker", "date")
+        .join(c.sector_of(spark, sf_dir), "ticker")
+        .join(c.total_return(spark, sf_dir), ["index_id", "date"])
         .select("ticker", "date", "value")
     )
     return own, sector

@@ -10,9 +10,16 @@ from tidemark.schemas import OBSERVATION_KEY, OBSERVATIONS, RAW_LANDING
 from tidemark.sources.landing import normalize_payload
 
 
-def landing_stream(spark: SparkSession, landing_path: str) -> DataFrame:
+MAX_FILES_PER_BATCH = 10_000
+
+
+def landing_stream(spark: SparkSession, landing_path: str, *, max_files: int = MAX_FILES_PER_BATCH) -> DataFrame:
+    """Landed pulls as a stream; a long backlog is taken up in batches of `max_files`."""
     return (
-        spark.readStream.schema(RAW_LANDING).option("recursiveFileLookup", "true").parquet(landing_path)
+        spark.readStream.schema(RAW_LANDING)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", max_files)
+        .parquet(landing_path)
     )
 
 
@@ -29,7 +36,13 @@ def _store_batch(store_path: str, rejects_path: str):
 
 
 def incremental_ingest(
-    spark: SparkSession, landing_path: str, store_path: str, rejects_path: str, checkpoint_path: str
+    spark: SparkSession,
+    landing_path: str,
+    store_path: str,
+    rejects_path: str,
+    checkpoint_path: str,
+    *,
+    max_files: int = MAX_FILES_PER_BATCH,
 ):
     """Take up every landed file not seen yet, then stop. Returns the finished query.
 
@@ -38,7 +51,7 @@ def incremental_ingest(
     vintage, and no watermark is needed.
     """
     query = (
-        landing_stream(spark, landing_path)
+        landing_stream(spark, landing_path, max_files=max_files)
         .writeStream.foreachBatch(_store_batch(store_path, rejects_path))
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
