@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.numeric import ratio
 from tidemark.functions.periods import TRAILING_DAYS, window_start
-from tidemark.operators.signals import yoy, zscore
+from tidemark.operators.signals import rebased_pair, relative_strength, yoy, zscore
+from tidemark.operators.skew import spread_join
 
 TAIL_LENGTH = 60
 
@@ -39,6 +40,29 @@ def performance_table(index_values: DataFrame, *, track: str = "level_tr") -> Da
     return performance_summary(index_values, keys=["index_id"], value=track)
 
 
+def _tracks_of_pairs(index_values: DataFrame, pairs: DataFrame, track: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides' levels keyed by (index_id, benchmark_id); a popular benchmark is dealt out."""
+    levels = index_values.select("index_id", "date", F.col(track).alias("value"))
+    keys = ["index_id", "benchmark_id"]
+    own = spread_join(pairs.select(*keys), levels, "index_id", by="benchmark_id")
+    bench = spread_join(
+        pairs.select(*keys), levels.withColumnRenamed("index_id", "benchmark_id"), "benchmark_id", by="index_id"
+    )
+    return own, bench
+
+
+def relative_tracks(index_values: DataFrame, pairs: DataFrame, *, track: str = "level_tr") -> DataFrame:
+    """Relative strength of each (index_id, benchmark_id); above 100 the index is ahead."""
+    own, bench = _tracks_of_pairs(index_values, pairs, track)
+    return relative_strength(own, bench, keys=["index_id", "benchmark_id"])
+
+
+def rebased_pairs(index_values: DataFrame, pairs: DataFrame, *, track: str = "level_tr") -> DataFrame:
+    """Both levels of each (index_id, benchmark_id), 100 at their common start."""
+    own, bench = _tracks_of_pairs(index_values, pairs, track)
+    return rebased_pair(own, bench, keys=["index_id", "benchmark_id"])
+
+
 def latest_weights(weights: DataFrame, securities: DataFrame) -> DataFrame:
     """Weights at each index's last rebalance, heaviest first."""
     last = weights.groupBy("index_id").agg(F.max("rebalance_date").alias("rebalance_date"))
@@ -87,15 +111,21 @@ def constituent_returns(prices: DataFrame, latest: DataFrame, window_days: int)
 
 
 def movers_topk(returns: DataFrame, k: int = 10) -> DataFrame:
-    """Best and worst k constituents per index; the lists overlap in a small index."""
-    per_index = Window.partitionBy("index_id")
-    best = F.row_number().over(per_index.orderBy(F.desc("return_pct"), "ticker"))
-    worst = F.row_number().over(per_index.orderBy("return_pct", F.desc("ticker")))
-    sides = [
-        returns.withColumn("position", rank).filter(F.col("position") <= k).withColumn("side", F.lit(side))
-        for side, rank in (("gainers", best), ("losers", worst))
-    ]
-    return sides[0].unionByName(sides[1])
+    """Best and worst k constituents per index; the lists overlap in a small index.
+
+    Each row stands in both lists, so one pass ranks them and every task keeps
+    only its own best k of each list before the shuffle.
+    """
+    sides = F.explode(F.array(F.lit("gainers"), F.lit("losers")))
+    score = F.when(F.col("side") == "gainers", F.col("return_pct")).otherwise(-F.col("return_pct"))
+    order = Window.partitionBy("index_id", "side").orderBy(F.desc("_score"), "ticker")
+    return (
+        returns.withColumn("side", sides)
+        .withColumn("_score", score)
+        .withColumn("position", F.row_number().over(order))
+        .filter(F.col("position") <= k)
+        .drop("_score")
+    )
 
 
 def indicator_snapshot(

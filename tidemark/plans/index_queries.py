@@ -74,20 +74,22 @@ def eligible_members(spark, sf_dir):
     return universe.eligible_members(mem, dates)
 
 
+def _benchmark_pairs(spark, sf_dir):
+    ids = tables.baselines(spark, sf_dir).select(F.col("index_id").alias("benchmark_id"))
+    return ids.select(F.lit(c.MARKET).alias("index_id"), "benchmark_id")
+
+
 def relative_track(spark, sf_dir):
     """The whole index against every benchmark."""
-    from tidemark.operators import signals
-
-    bench = index.baseline_index(tables.baseline_prices(spark, sf_dir), tables.baselines(spark, sf_dir))
-    ids = tables.baselines(spark, sf_dir).select("index_id")
-    market = c.total_return(spark, sf_dir).filter(F.col("index_id") == c.MARKET).select("date", "value")
-    own = market.join(
-        bench.select("index_id", "date"), "date"
-    ).select("index_id", "date", "value")
-    against = bench.join(ids, "index_id", "left_semi").select("index_id", "date", F.col("level_tr").alias("value"))
-    return signals.relative_strength(own, against, keys=["index_id"]).select(
-        "index_id", "date", c.sig("strength").alias("strength")
+    rows = reports.relative_tracks(_all_levels(spark, sf_dir), _benchmark_pairs(spark, sf_dir))
+    return rows.withColumn("strength", c.sig("strength"))
+
+
+def rebased_benchmarks(spark, sf_dir):
+    rows = reports.rebased_pairs(
+        _all_levels(spark, sf_dir), _benchmark_pairs(spark, sf_dir), track="level_pr"
     )
+    return rows.withColumns({"a": c.sig("a"), "b": c.sig("b")})
 
 
 def available_indices(spark, sf_dir):
@@ -183,7 +185,7 @@ _MOVERS = f"""
     FROM (SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY return_pct DESC, ticker) AS position,
                  'gainers' AS side FROM cret
           UNION ALL
-          SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY return_pct, ticker DESC), 'losers' FROM cret)
+          SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY return_pct, ticker), 'losers' FROM cret)
     WHERE position <= 10"""
 
 _SNAPSHOT = f"""
@@ -245,10 +247,22 @@ QUERIES = {
     "relative_track": (
         relative_track,
         sql(
-            f"""SELECT index_id, date, {sig('a / b / first_value(a / b) OVER w * 100')} AS strength
-                FROM (SELECT base.index_id, date, l.level_tr AS a, base.level_tr AS b
+            f"""SELECT 'ALL' AS index_id, benchmark_id, date,
+                       {sig('a / b / first_value(a / b) OVER w * 100')} AS strength
+                FROM (SELECT base.index_id AS benchmark_id, date, l.level_tr AS a, base.level_tr AS b
+                      FROM base JOIN (SELECT * FROM lev WHERE index_id = 'ALL') l USING (date))
+                WINDOW w AS (PARTITION BY benchmark_id ORDER BY date)""",
+            "lev", "base",
+        ),
+    ),
+    "rebased_benchmarks": (
+        rebased_benchmarks,
+        sql(
+            f"""SELECT 'ALL' AS index_id, benchmark_id, date, {sig('a / first_value(a) OVER w * 100')} AS a,
+                       {sig('b / first_value(b) OVER w * 100')} AS b
+                FROM (SELECT base.index_id AS benchmark_id, date, l.level_pr AS a, base.level_pr AS b
                       FROM base JOIN (SELECT * FROM lev WHERE index_id = 'ALL') l USING (date))
-                WINDOW w AS (PARTITION BY index_id ORDER BY date)""",
+                WINDOW w AS (PARTITION BY benchmark_id ORDER BY date)""",
             "lev", "base",
         ),
     ),

@@ -31,21 +31,23 @@ def local_session(cpus: int | str = "*", *, app: str = "tidemark", memory: str =
     return spark
 
 
+_own_root: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
     Only a local session may fall back to a temporary folder: on a cluster the
     executors would each see a different one.
     """
-    conf = spark.sparkContext.getConf()
-    named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not _own_root:
+        _own_root.append(tempfile.mkdtemp(prefix="tidemark-"))
+    return _own_root[0]
 
 
 def new_workspace(spark: SparkSession, tag: str) -> str:
