@@ -138,6 +138,10 @@ def test_bad_payloads_are_rejected_without_harm(spark):
         pulls(spark, [("X", "2020-06-01T10:00:00", broken), ("Y", "2020-06-01T10:00:00", "no json"), ("Z", "2020-06-01T10:00:00", '{"observations": []}')])
     )
     assert values(good, "series_id", "date", "value") == [("X", day("2020-01-02"), 2.0)]
+    odd = ['{"note": 1}', '{"observations": null}', '{"observations": "x"}', '{"observations": [{"date": "2020-01-01", "value": "nan"}]}']
+    fine, broken = landing.normalize_payload(pulls(spark, [(str(i), "2020-06-01T10:00:00", p) for i, p in enumerate(odd)]))
+    assert values(fine, "series_id", "value", order="series_id") == [("3", None)]
+    assert sorted(r.series_id for r in broken.collect()) == ["1", "2"]
     counts = {(r.series_id, r.reason): r.rows for r in landing.reject_counts(bad).collect()}
     assert counts == {("X", "bad value"): 1, ("X", "bad date"): 1, ("Y", "unreadable payload"): 1}
 

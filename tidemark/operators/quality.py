@@ -13,6 +13,8 @@ from tidemark.functions.periods import STALE_AFTER_DAYS, by_frequency
 BAD_CLOSE = "non-positive or null close"
 BAD_ADJ_CLOSE = "non-positive or null adj_close"
 
+CLEAN, REJECTED = "clean", "rejected"
+
 
 def tag_prices(prices: DataFrame) -> DataFrame:
     """Add `reason`: NULL for a usable row, else what is wrong; close is named first."""
@@ -29,6 +31,12 @@ def sanitize_prices(prices: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clean, tagged.filter(F.col("reason").isNotNull())
 
 
+def price_status(tagged: DataFrame) -> DataFrame:
+    """Add `status` to tagged prices, to store both kinds in one pass."""
+    clean = F.col("reason").isNull()
+    return tagged.withColumn("status", F.when(clean, F.lit(CLEAN)).otherwise(F.lit(REJECTED)))
+
+
 def quarantine_summary(rejected: DataFrame, examples: int = 5) -> DataFrame:
     """Rejected rows per reason, with the first few tickers in name order.
 

@@ -9,6 +9,8 @@ combines before the shuffle. `compact` folds the batches into a new folder.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -71,9 +73,10 @@ def upsert_series_meta(existing: DataFrame, specs: DataFrame, bounds: DataFrame,
     return upsert(existing, batch, META_KEY)
 
 
-def write_batch(rows: DataFrame, path: str, batch: int) -> None:
-    """Write one batch of a store; writing the same number again replaces it."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def write_batch(rows: DataFrame, path: str, batch: int, *, parts: Sequence[str] = ()) -> None:
+    """Write one batch of a store; writing the same number again replaces all of it."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(*parts).parquet(f"{path}/batch={batch}")
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -7,18 +7,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.operators import quality
 from tidemark.operators.index import build_all_indices
-from tidemark.operators.quality import sanitize_prices
 from tidemark.operators.universe import index_members
 from tidemark.operators.writers import (
+    last_per_key,
     read_batches,
     read_index_values,
     read_index_weights,
-    read_store,
     replace_index,
     write_batch,
 )
-from tidemark.schemas import OBSERVATION_REJECTS, PRICE_KEY, PRICE_REJECTS, PRICES
+from tidemark.schemas import OBSERVATION_REJECTS, PRICE_KEY, PRICE_PRINTS, PRICES
 from tidemark.streaming.ingest import incremental_ingest, stored_observations
 
 
@@ -32,15 +32,24 @@ class Store:
         return f"{self.root.rstrip('/')}/{table}"
 
 
-def ingest_prices(spark: SparkSession, store: Store, prices: DataFrame, batch: int) -> None:
-    """Quarantine bad rows and store the rest."""
-    clean, rejected = sanitize_prices(prices)
-    write_batch(clean, store.path("prices"), batch)
-    write_batch(rejected, store.path("price_rejects"), batch)
+def ingest_prices(store: Store, prices: DataFrame, batch: int) -> None:
+    """Store clean and rejected rows side by side, in one pass over the prices."""
+    rows = quality.price_status(quality.tag_prices(prices))
+    write_batch(rows, store.path("prices"), batch, parts=["status"])
+
+
+def _prints(spark: SparkSession, store: Store, status: str) -> DataFrame:
+    rows = read_batches(spark, store.path("prices"), PRICE_PRINTS)
+    return rows.filter(F.col("status") == status)
 
 
 def stored_prices(spark: SparkSession, store: Store) -> DataFrame:
-    return read_store(spark, store.path("prices"), PRICES, PRICE_KEY)
+    rows = _prints(spark, store, quality.CLEAN).select(*PRICES.names, "batch")
+    return last_per_key(rows, PRICE_KEY, "batch")
+
+
+def rejected_prices(spark: SparkSession, store: Store) -> DataFrame:
+    return _prints(spark, store, quality.REJECTED)
 
 
 def refresh(
@@ -69,7 +78,7 @@ def refresh(
             spark, landing_path, store.path("observations"), store.path("observation_rejects"), store.path("_progress")
         )
     if prices is not None:
-        ingest_prices(spark, store, prices, batch)
+        ingest_prices(store, prices, batch)
     kept = stored_prices(spark, store)
     levels, weights = build_all_indices(
         kept, index_members(securities, prefix), kept, baselines,
@@ -89,10 +98,9 @@ def refresh(
         )
 
     rejects = read_batches(spark, store.path("observation_rejects"), OBSERVATION_REJECTS)
-    price_rejects = read_batches(spark, store.path("price_rejects"), PRICE_REJECTS)
     return (
         step("observations", stored_observations(spark, store.path("observations")), rejects)
-        .unionByName(step("prices", kept, price_rejects))
+        .unionByName(step("prices", kept, rejected_prices(spark, store)))
         .unionByName(step("index_values", read_index_values(spark, store.path("index_values")), None))
         .unionByName(step("index_weights", read_index_weights(spark, store.path("index_weights")), None))
     )

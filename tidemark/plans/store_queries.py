@@ -153,9 +153,8 @@ def prices_wide(spark, sf_dir):
 
 
 def sanitize_prices(spark, sf_dir):
-    clean, rejected = quality.sanitize_prices(tables.raw_prints(spark, sf_dir))
-    tagged = clean.withColumn("reason", F.lit("")).unionByName(rejected)
-    return tagged.select("ticker", "date", "l_orderkey", "l_linenumber", "reason")
+    tagged = quality.price_status(quality.tag_prices(tables.raw_prints(spark, sf_dir)))
+    return tagged.select("ticker", "date", "l_orderkey", "l_linenumber", "status", "reason")
 
 
 def quarantine_summary(spark, sf_dir):
@@ -178,7 +177,7 @@ def series_meta(spark, sf_dir):
 
 _REASON = """
     CASE WHEN l_tax IN (0.0, 0.08) THEN 'non-positive or null close'
-         WHEN l_discount IN (0.0, 0.1) THEN 'non-positive or null adj_close' ELSE '' END"""
+         WHEN l_discount IN (0.0, 0.1) THEN 'non-positive or null adj_close' END"""
 
 _STALE = """
     SELECT source, series_id, frequency, last_obs,
@@ -368,7 +367,11 @@ QUERIES = {
     ),
     "sanitize_prices": (
         sanitize_prices,
-        sql(f"SELECT ticker, date, l_orderkey, l_linenumber, {_REASON} AS reason FROM line", "line"),
+        sql(
+            f"""SELECT *, CASE WHEN reason IS NULL THEN 'clean' ELSE 'rejected' END AS status
+                FROM (SELECT ticker, date, l_orderkey, l_linenumber, {_REASON} AS reason FROM line)""",
+            "line",
+        ),
     ),
     "quarantine_summary": (
         quarantine_summary,
@@ -377,7 +380,7 @@ QUERIES = {
                        string_agg(ticker, ',' ORDER BY ticker) FILTER (pos <= 5) AS tickers
                 FROM (SELECT reason, ticker, n, row_number() OVER (PARTITION BY reason ORDER BY ticker) AS pos
                       FROM (SELECT {_REASON} AS reason, ticker, count(*) AS n FROM line GROUP BY ALL)
-                      WHERE reason <> '')
+                      WHERE reason IS NOT NULL)
                 GROUP BY reason""",
             "line",
         ),

@@ -30,7 +30,10 @@ RAW_LANDING = _struct(source=_S, series_id=_S, fetched_at=_TS, payload=_S)
 OBSERVATION_REJECTS = _struct(
     source=_S, series_id=_S, fetched_at=_TS, date_text=_S, value_text=_S, reason=_S
 )
-PRICE_REJECTS = _struct(ticker=_S, date=_D, close=_F, adj_close=_F, shares_out=_F, reason=_S)
+# stored prices and rejected ones; status is "clean" or "rejected" and a folder level
+PRICE_PRINTS = _struct(
+    ticker=_S, date=_D, close=_F, adj_close=_F, shares_out=_F, reason=_S, status=_S
+)
 # the JSON document inside RAW_LANDING.payload
 PAYLOAD = _struct(observations=T.ArrayType(_struct(date=_S, value=_S)))
 # key: slug; rank is unique

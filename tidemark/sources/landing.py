@@ -41,63 +41,80 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
 def parse_payload(pulls: DataFrame) -> DataFrame:
     """One row per observation with the value's text and its parsed forms."""
     text = F.col("obs.value")
-    marked = text.isNull() | text.isin(*MISSING_MARKS)
     parsed = pulls.select(
         "source",
         "series_id",
         "fetched_at",
         F.to_date("fetched_at").alias("as_of"),
+        "payload",
         F.from_json("payload", PAYLOAD).alias("doc"),
     )
+    # A document without the list is empty; one that is no document, or whose list is no list, is unreadable.
+    listed = F.col("doc.observations")
+    fields = F.json_object_keys("payload")
+    broken = F.coalesce(F.array_contains(fields, "observations"), F.lit(True))
     rows = parsed.select(
         "source", "series_id", "fetched_at", "as_of",
-        F.col("doc.observations").isNull().alias("unreadable"),
-        F.posexplode_outer("doc.observations").alias("pos", "obs"),
+        F.when(listed.isNull(), broken).otherwise(F.lit(False)).alias("unreadable"),
+        F.posexplode_outer(listed).alias("pos", "obs"),
     )
     return rows.select(
         "source", "series_id", "fetched_at", "as_of", "pos", "unreadable",
         F.col("obs.date").alias("date_text"),
         F.col("obs.date").try_cast("date").alias("date"),
         text.alias("value_text"),
-        F.when(~marked, known(text.try_cast("double"))).alias("value"),
-        marked.alias("marked"),
-    )
+        (text.isNull() | text.isin(*MISSING_MARKS)).alias("marked"),
+        text.try_cast("double").alias("number"),
+    ).withColumn("value", F.when(~F.col("marked"), known(F.col("number"))))
 
 
 def _why_rejected() -> Column:
-    no_entry = F.col("pos").isNull()
+    entry = F.col("pos").isNotNull()
     return (
         F.when(F.col("unreadable"), F.lit("unreadable payload"))
-        .when(~no_entry & F.col("date").isNull(), F.lit("bad date"))
-        .when(~no_entry & ~F.col("marked") & F.col("value").isNull(), F.lit("bad value"))
+        .when(entry & F.col("date").isNull(), F.lit("bad date"))
+        .when(entry & ~F.col("marked") & F.col("number").isNull(), F.lit("bad value"))
     )
 
 
-def normalize_payload(pulls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(observations, rejects) of landed pulls.
+def tag_payload(pulls: DataFrame) -> DataFrame:
+    """Parsed observations with `reason`: NULL where readable."""
+    return parse_payload(pulls).withColumn("reason", _why_rejected())
 
-    The fetch day is the vintage. "." and "" and null are missing values; any
-    other text that is no number goes to `rejects` with its reason.
-    """
-    rows = parse_payload(pulls).withColumn("reason", _why_rejected())
-    good = rows.filter(F.col("reason").isNull() & F.col("pos").isNotNull()).select(
+
+def split_payload(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observations, rejects) of tagged rows."""
+    good = tagged.filter(F.col("reason").isNull() & F.col("pos").isNotNull()).select(
         "source", "series_id", "date", "as_of", "value", F.lit(True).alias("as_of_is_fetch"),
         "fetched_at", "pos",
     )
-    bad = rows.filter(F.col("reason").isNotNull()).select(
+    bad = tagged.filter(F.col("reason").isNotNull()).select(
         "source", "series_id", "fetched_at", "date_text", "value_text", "reason"
     )
     return good, bad
 
 
-def replay_landing(pulls: DataFrame) -> DataFrame:
-    """Rebuild the observations from every landed pull; later pulls of a day win."""
-    good, _ = normalize_payload(pulls)
+def normalize_payload(pulls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observations, rejects) of landed pulls.
+
+    The fetch day is the vintage. "." and "" and null are missing values; any
+    other text that is no number goes to `rejects` with its reason.
+    """
+    return split_payload(tag_payload(pulls))
+
+
+def last_landed(good: DataFrame) -> DataFrame:
+    """One value per vintage: the later pull of a day wins, then the later entry."""
     return good.groupBy("source", "series_id", "date", "as_of").agg(
         F.max_by("value", F.struct("fetched_at", "pos")).alias("value")
     )
 
 
+def replay_landing(pulls: DataFrame) -> DataFrame:
+    """Rebuild the observations from every landed pull."""
+    return last_landed(normalize_payload(pulls)[0])
+
+
 def reject_counts(rejects: DataFrame) -> DataFrame:
     """Errors per series and reason."""
     return rejects.groupBy("source", "series_id", "reason").agg(F.count(F.lit(1)).alias("rows"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.readers import series_bounds
 from tidemark.operators.writers import read_store, write_batch
 from tidemark.schemas import OBSERVATION_KEY, OBSERVATIONS, RAW_LANDING
-from tidemark.sources.landing import normalize_payload
+from tidemark.sources.landing import last_landed, split_payload, tag_payload
 
 
 MAX_FILES_PER_BATCH = 10_000
@@ -25,12 +26,14 @@ def landing_stream(spark: SparkSession, landing_path: str, *, max_files: int = M
 
 def _store_batch(store_path: str, rejects_path: str):
     def write(pulls: DataFrame, batch_id: int) -> None:
-        good, bad = normalize_payload(pulls)
-        rows = good.groupBy(*OBSERVATION_KEY).agg(
-            F.max_by("value", F.struct("fetched_at", "pos")).alias("value")
-        )
-        write_batch(rows, store_path, batch_id)
-        write_batch(bad, rejects_path, batch_id)
+        # Kept for the two writes, so that files are read and parsed once.
+        tagged = tag_payload(pulls).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            good, bad = split_payload(tagged)
+            write_batch(last_landed(good), store_path, batch_id)
+            write_batch(bad, rejects_path, batch_id)
+        finally:
+            tagged.unpersist()
 
     return write
 
