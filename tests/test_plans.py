@@ -16,7 +16,7 @@ from tidemark.operators import align, index, leadlag, readers  # noqa: E402
 from tidemark.schemas import OBSERVATIONS  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-WRITES = {"incremental_ingest", "refresh", "land_raw", "replay_landing", "stored_prices", "replace_index"}
+WRITES = {"incremental_ingest", "refresh", "land_raw", "replay_landing", "stored_prices", "stored_current_series", "replace_index"}
 
 
 @pytest.fixture(autouse=True)

@@ -30,6 +30,18 @@ def test_newest_vintage_may_be_null(spark):
     assert values(now, "value") == [(None,)]
 
 
+def test_last_write_of_the_newest_vintage(spark):
+    from pyspark.sql import functions as F
+
+    first = observations(spark).withColumn("batch", F.lit(0))
+    again = observations(spark).withColumn("value", F.col("value") + 1).withColumn("batch", F.lit(1))
+    both = again.unionByName(first)
+    now = readers.current_series(both, series_id="X", write_order="batch")
+    assert values(now, "value") == [(106.0,), (8.0,)]
+    then = readers.series_as_known_on(both, "2020-01-20", series_id="X", write_order="batch")
+    assert values(then, "value") == [(101.0,)]
+
+
 def test_last_date(spark):
     obs = observations(spark)
     assert readers.last_obs_date_of(obs, "FRED", "X").collect()[0][0] == day("2020-03-01")

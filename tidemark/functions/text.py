@@ -25,8 +25,3 @@ def contains_any(tags: Column, terms: Iterable[str]) -> Column:
     joined = F.lower(F.array_join(tags, " "))
     hits = [joined.contains(term.lower()) for term in terms]
     return F.coalesce(reduce(Column.__or__, hits), F.lit(False)) if hits else F.lit(True)
-
-
-def title(col: Column) -> Column:
-    """`digital_health` -> `Digital Health`."""
-    return F.initcap(F.replace(col, F.lit("_"), F.lit(" ")))

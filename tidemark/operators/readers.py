@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
+# Batch numbers lie below this.
+BATCH_NUMBERS = 2**32
 PRICE_COLUMNS = ("close", "adj_close", "shares_out")
 
 
@@ -27,25 +29,45 @@ def last_obs_date_of(obs: DataFrame, source: str, series_id: str) -> DataFrame:
     return _one_series(obs, source, series_id).agg(F.max("date").alias("last_obs"))
 
 
-def current_series(obs: DataFrame, source: str | None = None, series_id: str | None = None) -> DataFrame:
+def current_series(
+    obs: DataFrame,
+    source: str | None = None,
+    series_id: str | None = None,
+    *,
+    write_order: str | None = None,
+) -> DataFrame:
     """Newest vintage of each period, for all series or one.
 
     `max_by` keeps a NULL value if the newest vintage has one. It needs no sort
     and combines before the shuffle, so a series or period with very many
     vintages sends one row per map task.
+
+    `obs` holds each vintage once. Raw batches of a store may hold one several
+    times: `write_order` names their batch number, and the last write of the
+    newest vintage is found in the same single aggregate.
     """
+    rank = F.col("as_of")
+    if write_order is not None:
+        # One whole number orders by vintage, then by batch; it hashes where a struct would sort.
+        rank = F.unix_date("as_of").cast("bigint") * BATCH_NUMBERS + F.col(write_order)
     return (
         _one_series(obs, source, series_id)
         .groupBy("source", "series_id", "date")
-        .agg(F.max_by("value", "as_of").alias("value"))
+        .agg(F.max_by("value", rank).alias("value"))
     )
 
 
 def series_as_known_on(
-    obs: DataFrame, known_date: dt.date | str, source: str | None = None, series_id: str | None = None
+    obs: DataFrame,
+    known_date: dt.date | str,
+    source: str | None = None,
+    series_id: str | None = None,
+    *,
+    write_order: str | None = None,
 ) -> DataFrame:
     """Newest vintage of each period among those published by `known_date`."""
-    return current_series(obs.filter(F.col("as_of") <= F.lit(known_date).cast("date")), source, series_id)
+    published = obs.filter(F.col("as_of") <= F.lit(known_date).cast("date"))
+    return current_series(published, source, series_id, write_order=write_order)
 
 
 def series_catalog(meta: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.functions.text import index_name
 from tidemark.operators import forecast, index, readers, reports, signals, universe, writers
 from tidemark.schemas import SERIES_META
 from tidemark.sources import driver_tables as tables
@@ -67,7 +68,7 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sector_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, index_id): the index of each security's own sub-sector."""
     return tables.securities(spark, sf_dir).select(
-        "ticker", tables.sector_index(F.col("subsector")).alias("index_id")
+        "ticker", index_name(MARKET, F.col("subsector")).alias("index_id")
     )
 
 

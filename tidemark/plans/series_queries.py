@@ -231,12 +231,8 @@ _SEGMENT_LL = (
 )
 
 
-def _spliced(tail: str, final: str, *names: str) -> str:
-    return sql(f"{tail} {final}", *names).replace(") , ", "), ", 1)
-
-
 _HONESTY = f"""
-    SELECT indicator, target, best_lag, {r('best_corr')} AS best_corr, best_n, combos AS combinations_tested,
+    SELECT indicator, target, best_lag::integer AS best_lag, {r('best_corr')} AS best_corr, best_n, combos AS combinations_tested,
            min_n < 30 AS small_sample,
            concat_ws(' | ',
              CASE WHEN min_n < 30 THEN 'Small effective sample (<30) at one or more lags; correlations unstable.' END,
@@ -411,10 +407,10 @@ QUERIES = {
     ),
     "lead_lag": (
         lead_lag,
-        _spliced(
-            _STOCK_LL, f"SELECT indicator, target, lag, {r('corr')} AS corr, n FROM ll", "sec", "ret", "mom"
+        sql(
+            f"{_STOCK_LL} SELECT indicator, target, lag::integer AS lag, {r('corr')} AS corr, n FROM ll", "sec", "ret", "mom"
         ),
     ),
-    "lead_lag_matrix": (lead_lag_matrix, _spliced(_SEGMENT_LL, _MATRIX, "spec", "cur", "ilev")),
-    "honesty_report": (honesty_report, _spliced(_STOCK_LL, _HONESTY, "sec", "ret", "mom", "spec")),
+    "lead_lag_matrix": (lead_lag_matrix, sql(f"{_SEGMENT_LL} {_MATRIX}", "spec", "cur", "ilev")),
+    "honesty_report": (honesty_report, sql(f"{_STOCK_LL} {_HONESTY}", "sec", "ret", "mom", "spec")),
 }

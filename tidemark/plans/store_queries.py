@@ -8,7 +8,7 @@ from tidemark.operators import index, quality, readers, universe, writers
 from tidemark.plans import common as c
 from tidemark.plans.oracle import sig, sql
 from tidemark.plans.refresh import Store, refresh
-from tidemark.schemas import PRICE_KEY, PRICES, SECURITIES
+from tidemark.schemas import OBSERVATIONS, PRICE_KEY, PRICES, SECURITIES
 from tidemark.session import new_workspace
 from tidemark.sources import driver_tables as tables, landing, prices as price_source
 from tidemark.streaming import ingest
@@ -117,6 +117,16 @@ def upsert_securities(spark, sf_dir):
     return writers.upsert_securities(loaded, text).drop("notes")
 
 
+def stored_current_series(spark, sf_dir):
+    """Two batches of vintages, the second restating some of the first, read in one aggregate."""
+    path = new_workspace(spark, "vintages")
+    obs = tables.observations(spark, sf_dir)
+    writers.write_batch(obs, path, 0)
+    recent = obs.filter(F.col("as_of") >= F.lit("2000-01-01").cast("date"))
+    writers.write_batch(recent.withColumn("value", F.col("value") * 2), path, 1)
+    return readers.current_series(writers.read_batches(spark, path, OBSERVATIONS), write_order="batch")
+
+
 def stored_prices(spark, sf_dir):
     """Batches written to a store, one of them twice, compacted and read back."""
     root = new_workspace(spark, "store")
@@ -210,7 +220,7 @@ QUERIES = {
     "refresh": (
         run_refresh,
         sql(
-            """SELECT 'observations' AS step, count(*) AS rows, 0 AS errors FROM landed
+            """SELECT 'observations' AS step, count(*) AS rows, 0::bigint AS errors FROM landed
                UNION ALL SELECT 'prices', (SELECT count(*) FROM px) + (SELECT count(*) FROM bpx), 0
                UNION ALL SELECT 'index_values', (SELECT count(*) FROM days) + (SELECT count(*) FROM bpx), 0
                UNION ALL SELECT 'index_weights', (SELECT count(*) FROM wt), 0""",
@@ -269,6 +279,14 @@ QUERIES = {
         upsert_securities,
         sql("SELECT ticker, name, subsector, NULL::date AS from_date, to_date FROM sec", "sec"),
     ),
+    "stored_current_series": (
+        stored_current_series,
+        sql(
+            """SELECT source, series_id, date, CASE WHEN as_of >= date '2000-01-01' THEN value * 2 ELSE value END AS value
+               FROM obs QUALIFY row_number() OVER (PARTITION BY source, series_id, date ORDER BY as_of DESC) = 1""",
+            "obs",
+        ),
+    ),
     "stored_prices": (
         stored_prices,
         sql(

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.numeric import ratio
-from tidemark.functions.text import index_name
 
 INDEX_PREFIX = "ALL"
 BASELINE_PREFIX = "BASE_"
@@ -250,14 +249,3 @@ def tagged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("name"),
         F.array_append(F.split("p_name", " "), F.col("p_type")).alias("focus"),
     )
-
-
-def members(securities_df: DataFrame, prefix: str = INDEX_PREFIX) -> DataFrame:
-    """Membership of every index: the whole universe and one per sub-sector."""
-    from tidemark.operators.universe import index_members
-
-    return index_members(securities_df, prefix)
-
-
-def sector_index(subsector: Column, prefix: str = INDEX_PREFIX) -> Column:
-    return index_name(prefix, subsector)
