@@ -156,6 +156,9 @@ def test_build_all(spark):
     assert all(r.level_pr == pytest.approx(100) for r in levels.filter(f"date = '{days[0]}'").collect())
     assert levels_of(levels, "ALL_PHARMA")[-1][1] == pytest.approx(109.0)
     assert weights.filter("index_id = 'ALL'").count() == 2
+    more = ids.unionByName(spark.createDataFrame([("BASE_NONE", "NONE")], "index_id string, ticker string"))
+    priced = index.priced_indices(px, universe.index_members(secs, "ALL"), more, base_date="2020-01-01")
+    assert sorted(r.index_id for r in priced.collect()) == sorted(counts)
 
 
 def test_rebalance_codes(spark):

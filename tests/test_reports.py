@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from helpers import day, month_ends, prices, series, values
+from helpers import day, month_ends, prices, series
 from pyspark.sql import functions as F
 
 from tidemark.operators import reports

@@ -242,6 +242,17 @@ def baseline_index(prices: DataFrame, baselines: DataFrame, *, base_value: float
     )
 
 
+def priced_indices(
+    prices: DataFrame, members: DataFrame, baselines: DataFrame, *, base_date: dt.date | str | None = None
+) -> DataFrame:
+    """Ids of the indices `build_all_indices` yields levels for, without building them."""
+    traded = _from_base(prices, base_date).select("ticker").distinct()
+    usable = prices.filter((F.col("close") > 0) & (F.col("adj_close") > 0)).select("ticker").distinct()
+    own = members.select("index_id", "ticker").join(traded, "ticker", "left_semi")
+    bench = baselines.select("index_id", "ticker").join(usable, "ticker", "left_semi")
+    return own.unionByName(bench).select("index_id").distinct()
+
+
 def build_all_indices(
     prices: DataFrame,
     members: DataFrame,

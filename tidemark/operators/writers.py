@@ -100,17 +100,20 @@ def compact(spark: SparkSession, path: str, target: str, schema: T.StructType, k
     write_batch(read_store(spark, path, schema, key), target, 0)
 
 
-def replace_index(levels: DataFrame, weights: DataFrame, values_path: str, weights_path: str) -> None:
+def replace_index(
+    levels: DataFrame, weights: DataFrame, values_path: str, weights_path: str, *, ids: DataFrame | None = None
+) -> None:
     """Replace the stored values and weights of exactly the index ids in `levels`.
 
     Both tables are partitioned by index_id and only the partitions written are
     overwritten. An index with levels but no weights must lose its old weights:
-    its partition is written with one row without ticker, which readers skip.
+    every partition is written with one row without ticker, which readers skip.
     The rebalance hint gathers an index into few files and splits a large one.
+    `ids` names the ids in `levels`, one row each, if that is known more cheaply
+    than by building the levels once more.
     """
-    ids = [frame.select("index_id").distinct() for frame in (levels, weights)]
-    bare = ids[0].join(ids[1], "index_id", "left_anti")
-    all_weights = weights.unionByName(bare, allowMissingColumns=True)
+    ids = levels.select("index_id").distinct() if ids is None else ids.select("index_id")
+    all_weights = weights.unionByName(ids, allowMissingColumns=True)
     for rows, path in ((levels, values_path), (all_weights, weights_path)):
         (
             rows.hint("rebalance", "index_id")

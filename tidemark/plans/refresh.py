@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import quality
-from tidemark.operators.index import build_all_indices
+from tidemark.operators.index import build_all_indices, priced_indices
 from tidemark.operators.universe import index_members
 from tidemark.operators.writers import (
     last_per_key,
@@ -80,11 +80,13 @@ def refresh(
     if prices is not None:
         ingest_prices(store, prices, batch)
     kept = stored_prices(spark, store)
+    members = index_members(securities, prefix)
     levels, weights = build_all_indices(
-        kept, index_members(securities, prefix), kept, baselines,
-        base_value=base_value, base_date=base_date, rebalance=rebalance,
+        kept, members, kept, baselines, base_value=base_value, base_date=base_date, rebalance=rebalance
     )
-    replace_index(levels, weights, store.path("index_values"), store.path("index_weights"))
+    # Which tickers are priced does not depend on the last write, so the raw batches will do.
+    ids = priced_indices(_prints(spark, store, quality.CLEAN), members, baselines, base_date=base_date)
+    replace_index(levels, weights, store.path("index_values"), store.path("index_weights"), ids=ids)
 
     n = F.count(F.lit(1))
 
