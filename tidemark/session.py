@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", *, app: str = "tidemark", memory: str = "8g") -> SparkSession:
-    """A local session for tests and benchmarks; clusters bring their own."""
+def local_session(
+    cpus: int | str = "*", *, app: str = "tidemark", memory: str = "8g", scratch: str | None = None
+) -> SparkSession:
+    """A local session for tests and benchmarks; clusters bring their own.
+
+    scratch becomes spark.checkpoint.dir. Without it the session gets a new
+    temporary folder, which is removed when Python ends.
+    """
+    if scratch is None:
+        scratch = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     cores = os.cpu_count() if cpus == "*" else int(cpus)
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"file://{scratch}")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
@@ -31,23 +43,10 @@ def local_session(cpus: int | str = "*", *, app: str = "tidemark", memory: str =
     return spark
 
 
-_own_root: list[str] = []
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it.
-
-    Only a local session may fall back to a temporary folder: on a cluster the
-    executors would each see a different one.
-    """
+    """The folder all executors share: spark.checkpoint.dir, or one below the warehouse where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if not _own_root:
-        _own_root.append(tempfile.mkdtemp(prefix="tidemark-"))
-    return _own_root[0]
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def new_workspace(spark: SparkSession, tag: str) -> str:
