@@ -17,103 +17,56 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import let, uniform
+from tidemark.llm.common import durable, uniform
 
-_SMALL = 24  # below this, factorials come from a table built here
+def _hypergeometric(draws: str, good: str, total: str, u: str) -> str:
+    """SQL text: good items among the draws without return, by inversion of u in [0, 1).
 
-
-def _log_factorial(x: Column) -> Column:
-    small = F.array(*[F.lit(math.lgamma(k + 1.0)) for k in range(_SMALL)])
-    y = x.cast("double")
-    stirling = (
-        (y + 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi)
-        + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    )
-    return F.when(x < _SMALL, F.get(small, x.cast("int"))).otherwise(stirling)
-
-
-def hypergeometric(draws: Column, good: Column, total: Column, u: Column) -> Column:
-    """Good items among the draws without return, by inversion of u in [0, 1).
-
-    Weights are taken relative to the mode over 12 deviations either side; what
-    lies beyond is below the precision of a double.
+    Walks the weights by their ratio over 12 deviations and more to either side of
+    the mean; what lies beyond is below the precision of a double.
     """
+    mean = f"({draws} * double({good}) / greatest({total}, 1))"
+    # Whole numbers that bound the walk: 12 deviations and 24 more.
+    reach = f"(12 * sqrt({mean} * (1 - double({good}) / greatest({total}, 1))) + 24)"
+    low = f"greatest(0, {draws} - ({total} - {good}), bigint(floor({mean} - {reach})))"
+    high = f"least({draws}, {good}, bigint(ceil({mean} + {reach})))"
+    step = f"(double({good} - k) * ({draws} - k)) / (double(k + 1) * ({total} - {good} - {draws} + k + 1))"
+    between = "if(r.hi > r.lo, sequence(r.lo, r.hi - 1), cast(array() AS array<bigint>))"
+    whole = (
+        f"aggregate({between}, struct(1.0D AS w, 1.0D AS s), "
+        f"(a, k) -> struct(a.w * {step} AS w, a.s + a.w * {step} AS s), a -> a.s)"
+    )
+    pick = (
+        f"aggregate({between}, struct(1.0D AS w, 1.0D AS s, r.lo AS x), (a, k) -> "
+        f"if(a.s > g, a, struct(a.w * {step} AS w, a.s + a.w * {step} AS s, k + 1 AS x)), a -> a.x)"
+    )
+    return (
+        f"transform(array(struct({low} AS lo, {high} AS hi)), r -> "
+        f"transform(array({u} * {whole}), g -> {pick})[0])[0]"
+    )
+
 
-    def log_weight(k: Column) -> Column:
-        return -(
-            _log_factorial(k) + _log_factorial(good - k)
-            + _log_factorial(draws - k) + _log_factorial(total - good - draws + k)
-        )
-
-    share = good / F.greatest(total, F.lit(1))
-    mean = draws * share
-    spread = F.sqrt(mean * (1 - share) * (total - draws) / F.greatest(total - 1, F.lit(1)))
-    low = F.greatest(F.lit(0), draws - (total - good), F.floor(mean - 12 * spread - 24)).cast("long")
-    high = F.least(draws, good, F.ceil(mean + 12 * spread + 24)).cast("long")
-    mode = F.least(high, F.greatest(low, F.floor(mean).cast("long")))
-
-    def pick(low_: Column, high_: Column, top: Column) -> Column:
-        weights = F.transform(F.sequence(low_, high_), lambda k: F.exp(log_weight(k) - top))
-
-        def chosen(w: Column) -> Column:
-            goal = u * F.aggregate(w, F.lit(0.0), lambda a, b: a + b)
-            walked = F.aggregate(
-                w,
-                F.struct(F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("steps"), F.lit(False).alias("done")),
-                lambda a, b: F.struct(
-                    (a["sum"] + b).alias("sum"),
-                    F.when(a["done"], a["steps"]).otherwise(a["steps"] + 1).alias("steps"),
-                    (a["done"] | (a["sum"] + b > goal)).alias("done"),
-                ),
-            )
-            return low_ + walked["steps"]
-
-        return let(weights, chosen)
-
-    inner = let(low, lambda lo: let(high, lambda hi: let(log_weight(mode), lambda top: pick(lo, hi, top))))
-    return F.when(high <= low, high).otherwise(inner)
-
-
-def matrix_rows(sizes: Column, caps: Column, seed: int, tag: Column) -> Column:
+def _matrix_rows(sizes: str, caps: str, seed: int, tag: str) -> Column:
     """array<array<long>>: what each of `sizes` sends to each of `caps`.
 
     The sizes add up to the caps. Row after row, cell after cell: each cell is
     hypergeometric given those before, which gives the joint law exactly.
     """
-    empty = F.array().cast("array<array<bigint>>")
-
-    def row(size: Column, left: Column, p: Column) -> Column:
-        start = F.struct(
-            size.alias("draws"),
-            F.aggregate(left, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"),
-            F.array().cast("array<bigint>").alias("cells"),
-        )
-
-        def cell(state: Column, good: Column) -> Column:
-            x = hypergeometric(
-                state["draws"], good, state["total"], uniform(seed, tag, p, F.size(state["cells"]), "cell")
-            )
-            return let(
-                x,
-                lambda k: F.struct(
-                    (state["draws"] - k).alias("draws"),
-                    (state["total"] - good).alias("total"),
-                    F.concat(state["cells"], F.array(k)).alias("cells"),
-                ),
-            )
-
-        return F.aggregate(left, start, cell)["cells"]
-
-    def add(state: Column, size: Column) -> Column:
-        return let(
-            row(size, state["left"], F.size(state["rows"])),
-            lambda cells: F.struct(
-                F.zip_with(state["left"], cells, lambda a, b: a - b).alias("left"),
-                F.concat(state["rows"], F.array(cells)).alias("rows"),
-            ),
-        )
-
-    return F.aggregate(sizes, F.struct(caps.alias("left"), empty.alias("rows")), add)["rows"]
+    u = (
+        f"shiftrightunsigned(xxhash64({seed}L, {tag}, size(m.done), size(c.cells)), 11) * {2.0**-53!r}D"
+    )
+    cell = _hypergeometric("c.draws", "good", "c.total", u)
+    row = (
+        "aggregate(m.rest, struct(n AS draws, aggregate(m.rest, 0L, (a, b) -> a + b) AS total, "
+        "cast(array() AS array<bigint>) AS cells), (c, good) -> transform(array("
+        f"{cell}), x -> struct(c.draws - x AS draws, c.total - good AS total, "
+        "concat(c.cells, array(x)) AS cells))[0], c -> c.cells)"
+    )
+    return F.expr(
+        f"aggregate({sizes}, struct({caps} AS rest, cast(array() AS array<array<bigint>>) AS done), "
+        f"(m, n) -> transform(array({row}), z -> struct(zip_with(m.rest, z, (a, b) -> a - b) AS rest, "
+        "concat(m.done, array(z)) AS done))[0], m -> m.done)"
+    )
 
 
 def communication_matrix(counts: DataFrame, n_shards: int, side: int, seed: int) -> DataFrame:
@@ -139,13 +92,13 @@ def communication_matrix(counts: DataFrame, n_shards: int, side: int, seed: int)
         .agg(F.array_sort(F.collect_list(F.struct("grp", "size"))).alias("groups"))
         .where(F.size("groups") > 0)
         .withColumn("caps", caps)
-        .withColumn("rows", matrix_rows(F.col("groups.size"), F.col("caps"), seed, F.lit("groups")))
+        .withColumn("rows", _matrix_rows("groups.size", "caps", seed, "-1"))
         .select(F.explode(F.arrays_zip(F.col("groups.grp").alias("grp"), F.col("rows").alias("row"))).alias("z"))
         .select("z.grp", F.col("z.row").alias("caps"))
     )
     return (
         per_group.join(top, "grp")
-        .withColumn("rows", matrix_rows(F.col("parts.n"), F.col("caps"), seed, F.col("grp")))
+        .withColumn("rows", _matrix_rows("parts.n", "caps", seed, "grp"))
         .select(F.explode(F.arrays_zip(F.col("parts.part").alias("part"), F.col("rows").alias("cells"))).alias("z"))
         .select("z.part", "z.cells")
     )
@@ -169,7 +122,7 @@ def shuffle_into_shards(
     key = F.xxhash64(F.lit(seed), F.col(id_col), *[F.col(c) for c in salt_cols])
     keyed = base.withColumns({"_h": key, "_part": F.pmod(key, F.lit(parts)).cast("int")})
     counts = keyed.groupBy(F.col("_part").alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    cells = communication_matrix(counts, n_shards, side, seed)
+    cells = durable(communication_matrix(counts, n_shards, side, seed), "matrix")
 
     # Permute locally, then deal by the matrix row: the first cells[0] rows to shard 0, and so on.
     local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit("local"), "_h"), "_h")
