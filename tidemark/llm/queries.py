@@ -4,8 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, sharding, warc
-from tidemark.llm.common import table
+from tidemark.llm import chat, mixing, recompression, sharding, syncmers, warc
+from tidemark.llm.common import table, word_count
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of repeated 20-word windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return recompression.remove_repeats(docs, width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+_OP1_SQL = r"""
+WITH t AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20)
+), f AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM s) WHERE r > 1
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM f) GROUP BY doc_id
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text
+  FROM placed LEFT JOIN gone USING (doc_id) WHERE gone IS NULL OR NOT list_contains(gone, p) GROUP BY doc_id
+)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone.gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mixing.mix(docs).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
+    )
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts, of their edited texts and of the documents next to them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return syncmers.compare_edited(docs)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +140,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # name -> (query, checking SQL or None)
 QUERIES = {
+    "op1_substring_dedup": (op1_substring_dedup, _OP1_SQL),
+    "op2_mixing": (op2_mixing, None),
+    "op3_fingerprints": (op3_fingerprints, None),
     "op7_chat_format": (op7_chat_format, _OP7_SQL),
     "op8_warc": (op8_warc, _OP8_SQL),
     "op9_sharding": (op9_sharding, None),
