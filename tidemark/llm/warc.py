@@ -198,13 +198,11 @@ def gzip_members(raw: bytes) -> Iterator[bytes]:
         raw = unpack.unused_data
 
 
-def write_packages(records: DataFrame, n_packages: int, *, zip64: bool = False) -> DataFrame:
+def write_packages(records: DataFrame, *, zip64: bool = False) -> DataFrame:
     """Write records (page_id, url, payload, digest, refers_to) and return the manifest (path, bytes, records).
 
-    A row goes to a package by its page_id and digest, so one page or payload that
-    holds a third of all rows is the only thing that could gather, and payloads do
-    not: revisits carry none. A task streams its package to a name of its own, so a
-    repeated task leaves a file that no manifest names. An empty table makes no package.
+    Each partition becomes one package, streamed to a file of its own name, so a
+    repeated task leaves a file that no manifest names. An empty partition makes none.
     """
     folder = f"{shared_folder(records.sparkSession)}/llm/warc-{uuid.uuid4().hex}"
 
@@ -238,10 +236,8 @@ def write_packages(records: DataFrame, n_packages: int, *, zip64: bool = False)
             out.close()
             yield pd.DataFrame({"path": [f"{folder}/{name}"], "bytes": [package.at], "records": [rows]})
 
-    dealt = records.select(
-        "page_id", "url", "payload", "digest", F.col("refers_to").cast("long").alias("refers_to")
-    ).repartition(n_packages, F.xxhash64("page_id", "url"))
-    return durable(dealt.mapInPandas(write, MANIFEST), "manifest")
+    columns = ("page_id", "url", "payload", "digest", F.col("refers_to").cast("long").alias("refers_to"))
+    return durable(records.select(*columns).mapInPandas(write, MANIFEST), "manifest")
 
 
 def package_ranges(packages: DataFrame, *, range_bytes: int = 1 << 20) -> DataFrame:
@@ -299,9 +295,16 @@ def mark_revisits(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     """
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("_sha1"))
-    first = rows.where(F.octet_length("payload") >= min_bytes).groupBy("_sha1").agg(F.min("page_id").alias("_first"))
-    marked = rows.join(first, "_sha1", "left").withColumn(
-        "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
+    # Decided on ids and digests alone; payloads move once, by page.
+    known = rows.select("page_id", "_sha1", F.octet_length("payload").alias("_bytes")).distinct()
+    first = known.where(F.col("_bytes") >= min_bytes).groupBy("_sha1").agg(F.min("page_id").alias("_first"))
+    refers = known.join(first, "_sha1").where(~F.col("page_id").eqNullSafe(F.col("_first"))).select(
+        F.col("page_id").alias("_page"), F.col("_sha1").alias("_hex"), F.col("_first").alias("refers_to")
+    )
+    marked = rows.join(
+        refers.where(F.col("refers_to").isNotNull()),
+        F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_sha1") == F.col("_hex")),
+        "left",
     )
     return marked.select("page_id", "url", "payload", base32(F.col("_sha1")).alias("digest"), "refers_to")
 
@@ -325,7 +328,7 @@ def archive_pages(pages: DataFrame, *, min_bytes: int = 0, zip64: bool = False,
     """
     spark = pages.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    manifest = write_packages(mark_revisits(pages, min_bytes=min_bytes), n, zip64=zip64)
+    manifest = write_packages(mark_revisits(pages, min_bytes=min_bytes), zip64=zip64)
     # Packages to tasks, then ranges to tasks: a large package is read by many.
     ranges = package_ranges(manifest.repartition(n, "path"))
     return read_records(ranges.repartition(n, "path", "start"), payloads=payloads)
