@@ -167,21 +167,24 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.5, cap: float = 2.
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of docs as often as the mix takes it, same columns."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    # Rows alike in id, source and size are interchangeable and numbered on both sides.
-    alike = Window.partitionBy("doc_id", "source", "_size").orderBy(F.lit(0))
-    plan = mix(sized.select("doc_id", "source", F.col("_size").alias("size")), **options)
-    plan = plan.where(F.col("copies") > 0).select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies"
+    size = word_count(F.col("text"))
+    key = F.xxhash64(F.lit(1), "doc_id", "source", "_size")
+    plan = mix(docs.select("doc_id", "source", size.alias("size")), **options).withColumnRenamed("size", "_size")
+    # Rows alike in id, source and size are interchangeable: how many are taken once more than the rest.
+    plan = (
+        plan.groupBy(key.alias("_key"))
+        .agg(F.min("copies").alias("_least"), F.max("copies").alias("_most"), F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
+        .where("_most > 0")
+        .select("_key", "_least", (F.col("_sum") - F.col("_least") * F.col("_rows")).alias("_more"))
     )
-    plan = plan.withColumn("_m", F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy(F.desc("copies"))))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
-        & (F.col("_size") == F.col("_z")) & (F.col("_n") == F.col("_m"))
-    )
+    numbered = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
     return (
-        sized.withColumn("_n", F.row_number().over(alike))
-        .join(plan, same)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        docs.withColumn("_size", size)
+        .withColumn("_key", key)
+        .withColumn("_n", numbered)
+        .join(plan, "_key")
+        .withColumn("_copies", F.col("_least") + F.when(F.col("_n") <= F.col("_more"), 1).otherwise(0))
+        .where("_copies > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select(*docs.columns)
     )
