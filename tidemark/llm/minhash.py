@@ -13,8 +13,8 @@ are confirmed on full sets, in three steps that between them look at every pair
 of classes that shares a bucket, except pairs that are in one group by then:
 each class with the head of a bucket that it shares most bands with; with the
 heads of its other buckets; and, in buckets that still hold more than one group,
-the members of different groups with each other. No step lists the pairs inside a
-group.
+the members of different groups with each other, found by their rarest shingles.
+No step lists the pairs inside a group.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.common import durable
 from tidemark.llm.words import Names, mix, split, windows
@@ -142,6 +142,43 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return sized.join(one.drop("_n"), "a").join(two.drop("_m"), "b").mapInPandas(compare, "a long, b long")
 
 
+def prefix_pairs(sets: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): classes of different groups that may reach the ratio; placed: rep, _g.
+
+    The shingles of a set are ranked by how many of these sets hold them, rarest
+    first. Sets that share `need` shingles have their first common one among the
+    first n - need + 1 of either; pairs without such a one are not made. A copy with
+    many changes starts with shingles of its own and so meets nobody, however
+    many copies of the same text there are.
+    """
+
+    def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, n, group, raw in batch.itertuples(index=False, name=None):
+                yield pd.DataFrame({"rep": doc, "n": n, "grp": group, "shingle": np.frombuffer(raw, np.int64)})
+
+    own = sets.withColumnRenamed("doc_id", "rep").join(placed, "rep").select("rep", "n_shingles", "_g", "shingles")
+    rows = own.mapInPandas(unfold, "rep long, n long, grp long, shingle long")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("held", "shingle"))
+    # No partner of a set of n is smaller than num / den * n, so need is at least that.
+    most = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    first = rows.join(held, "shingle").withColumn("at", rank).where(F.col("at") <= most)
+    first = durable(first.select("shingle", "rep", "n", "grp", "at"), "prefixes")
+    mixed = first.groupBy("shingle").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high")
+    first = first.join(mixed.select("shingle"), "shingle")
+    need = F.ceil((F.col("l.n") + F.col("r.n")) * num / F.lit(num + den))
+    meets = (
+        (F.col("l.shingle") == F.col("r.shingle"))
+        & (F.col("l.grp") < F.col("r.grp"))
+        & (F.col("l.at") <= F.col("l.n") - need + 1)
+        & (F.col("r.at") <= F.col("r.n") - need + 1)
+        & (den * F.least("l.n", "r.n") >= num * F.greatest("l.n", "r.n"))
+    )
+    pairs = first.alias("l").join(first.alias("r"), meets)
+    return pairs.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the least node that it reaches.
 
@@ -225,11 +262,10 @@ def near_duplicates(
         groups = components(links)
 
     # Members of different groups that are still in one bucket; heads have been compared.
-    placed = grouped(members, "rep", "_g")
+    placed = grouped(members, "rep", "_g").where("rep <> head")
     mixed = placed.groupBy("bucket").agg(F.min("_g").alias("_low"), F.max("_g").alias("_high")).where("_low < _high")
-    left = durable(placed.join(mixed.select("bucket"), "bucket").where("rep <> head").select("bucket", "rep", "_g"), "mixed")
-    other = left.select("bucket", F.col("rep").alias("b"), F.col("_g").alias("_gb"))
-    cross = left.withColumnRenamed("rep", "a").join(other, "bucket").where("_g < _gb").select("a", "b").distinct()
+    left = durable(placed.join(mixed.select("bucket"), "bucket").select("rep", "_g").distinct(), "mixed")
+    cross = prefix_pairs(sets, left, num, den)
     last = durable(confirmed(cross, sets, num, den), "links")
     if not last.isEmpty():
         groups = components(links.unionByName(last))
