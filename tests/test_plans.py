@@ -12,11 +12,15 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 import check  # noqa: E402
 from tidemark import session  # noqa: E402
-from tidemark.operators import align, index, leadlag, readers  # noqa: E402
+from tidemark.operators import align, index, leadlag, readers, signals, skew  # noqa: E402
+from tidemark.plans import forecast_queries, index_queries, series_queries, store_queries  # noqa: E402
 from tidemark.schemas import OBSERVATIONS  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-WRITES = {"incremental_ingest", "refresh", "land_raw", "replay_landing", "stored_prices", "stored_current_series", "replace_index"}
+WRITES = {
+    "incremental_ingest", "refresh", "refreshed_levels", "refreshed_weights", "refreshed_catalogue", "refreshed_health",
+    "land_raw", "replay_landing", "stored_prices", "stored_current_series", "replace_index",
+}
 
 
 @pytest.fixture(autouse=True)
@@ -24,12 +28,20 @@ def long_plans(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
 
 
+# The corpus subpackage has its own tests and may be left out.
+CORE = {
+    name: query
+    for module in (store_queries, series_queries, index_queries, forecast_queries)
+    for name, query in module.QUERIES.items()
+}
+
+
 def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
 def test_no_cross_joins_and_no_row_python(spark):
-    for name, run in entry.queries().items():
+    for name, (run, _) in CORE.items():
         if name not in WRITES:
             text = plan(run(spark, SF))
             for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "RDDScan"):
@@ -37,8 +49,8 @@ def test_no_cross_joins_and_no_row_python(spark):
 
 
 def test_every_query_is_named_once_and_checked():
-    assert set(entry.oracle_sql()) < set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"walk_forward", "forecast_leaderboard"}
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(CORE) <= set(entry.oracle_sql())
 
 
 def test_point_in_time_filter_reaches_the_files(spark, tmp_path):
@@ -76,21 +88,64 @@ def test_asof_needs_no_join_for_unique_rows(spark):
     assert "Join" not in text and text.count("Exchange") == 1
 
 
-def fake_session(named, master):
-    return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default=None: named or default),
-        sparkContext=SimpleNamespace(master=master),
-    )
+def fake_session(**settings):
+    get = lambda key, default=None: settings.get(key.replace(".", "_"), default)
+    return SimpleNamespace(conf=SimpleNamespace(get=get))
 
 
 def test_scratch_folder_is_the_clusters():
-    shared = fake_session("/shared/scratch/", "yarn")
+    shared = fake_session(spark_checkpoint_dir="/shared/scratch/")
     assert session.new_workspace(shared, "x").startswith("/shared/scratch/tidemark/x-")
     assert session.new_workspace(shared, "x") != session.new_workspace(shared, "x")
-    with pytest.raises(RuntimeError):
-        session.scratch_root(fake_session(None, "yarn"))
-    own = session.scratch_root(fake_session(None, "local[2]"))
-    assert own == session.scratch_root(fake_session(None, "local[4]"))
+    unset = fake_session(spark_sql_warehouse_dir="hdfs://store/warehouse/")
+    assert session.scratch_root(unset) == "hdfs://store/warehouse/_scratch"
+
+
+def test_only_hot_keys_are_repeated(spark):
+    rows = [("hot", str(k)) for k in range(300)] + [(f"k{k}", "x") for k in range(100)]
+    big = spark.createDataFrame(rows, "key string, part string")
+    small = spark.createDataFrame([(k, 1.0) for k in ("hot", "k1", "k2", "other")], "key string, v double")
+    assert skew.hot_keys(big, "key") == []  # too few rows to matter
+    assert skew.hot_keys(big, "key", least=0) == ["hot"]
+    assert "Generate" not in plan(skew.spread_join(big, small, "key", by="part"))
+    spread = skew.spread_join(big, small, "key", by="part", hot=["hot"])
+    assert "Generate" in plan(spread)
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, big.join(small, "key").collect()))
+
+
+def test_series_of_the_catalogue_are_not_a_fixed_list(spark, tmp_path):
+    """A sixth segment, added to the tables, takes part everywhere."""
+    con = check.connect(SF)
+    for name in ("lineitem", "orders", "part", "supplier", "nation", "region"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    con.execute(
+        f"""COPY (SELECT * REPLACE (CASE WHEN c_custkey % 5 = 0 THEN 'ZOOLOGY' ELSE c_mktsegment END AS c_mktsegment)
+                  FROM customer) TO '{tmp_path}/customer.parquet'"""
+    )
+    for name in ("exog_features", "asof_indicator", "asof_known", "arx_features"):
+        got = CORE[name][0](spark, str(tmp_path)).toPandas()
+        assert "ZOOLOGY" in got.get("series_id", got.get("feature")).str.replace("exog_", "").unique()
+        assert check.difference(got, check.connect(str(tmp_path)).execute(CORE[name][1]).df()) is None
+
+
+def test_knowledge_date_prefers_the_newest_period(spark):
+    from helpers import day
+
+    vintages = [("k", "2020-02-01", "2020-03-01", 2.0), ("k", "2020-03-01", "2020-04-01", 3.0), ("k", "2020-02-01", "2020-04-05", 2.5)]
+    vintages += [("k", "2020-03-01", "2020-04-20", None)]
+    right = spark.createDataFrame([(k, day(d), day(a), v) for k, d, a, v in vintages], "key string, date date, as_of date, value double")
+    dates = ["2020-01-01", "2020-03-15", "2020-04-10", "2020-04-10", "2020-04-20"]
+    left = spark.createDataFrame([("k", day(d)) for d in dates], "key string, date date")
+    got = align.asof_known(left, right, keys=["key"]).orderBy("date").collect()
+    assert [(r.period and str(r.period), r.value) for r in got] == [
+        (None, None), ("2020-02-01", 2.0), ("2020-03-01", 3.0), ("2020-03-01", 3.0), ("2020-03-01", None)
+    ]
+
+
+def test_rolling_windows_are_running_sums(spark):
+    s = series(spark, [("a", "2020-01-01", 1.0)])
+    text = plan(signals.zscore(s, 252, keys=["key"]))
+    assert "-251" not in text and text.count("Exchange") == 1
 
 
 def test_entry(spark):

@@ -11,15 +11,15 @@ from tidemark.streaming import ingest
 
 def test_quarantine(spark):
     rows = [
-        ("LLY", "100.0", "100.0"), ("BAD", "0.0", "50.0"), ("NEG", "-5.0", "50.0"), ("NUL", "50.0", None),
-        ("TXT", "abc", "1"), ("NAN", "NaN", "1"), ("INF", "Infinity", "1"), ("BOTH", "0", "0"),
+        ("fine", "12.5", "12.25"), ("zero", "0", "7.5"), ("below", "-0.01", "7.5"), ("half", "3.75", None),
+        ("words", "closed", "2"), ("nan", "NaN", "2"), ("endless", "Infinity", "2"), ("neither", "0", "-1"),
     ]
     frame = spark.createDataFrame(rows, "ticker string, close string, adj_close string")
     clean, rejected = quality.sanitize_prices(frame)
-    assert [r.ticker for r in clean.collect()] == ["LLY", "INF"]
+    assert [r.ticker for r in clean.collect()] == ["fine", "endless"]
     reasons = {r.ticker: r.reason for r in rejected.collect()}
-    assert reasons.pop("NUL") == "non-positive or null adj_close"
-    assert set(reasons) == {"BAD", "NEG", "TXT", "NAN", "BOTH"}
+    assert reasons.pop("half") == "non-positive or null adj_close"
+    assert set(reasons) == {"zero", "below", "words", "nan", "neither"}
     assert set(reasons.values()) == {"non-positive or null close"}
 
 

@@ -42,6 +42,16 @@ def test_last_write_of_the_newest_vintage(spark):
     assert values(then, "value") == [(101.0,)]
 
 
+def test_batch_numbers_have_no_limit(spark):
+    """A batch numbered by milliseconds never outweighs a newer vintage."""
+    rows = [("S", "X", day("2020-01-01"), day("2020-02-01"), 1.0, 1_700_000_000_000), ("S", "X", day("2020-01-01"), day("2020-02-02"), 2.0, -5)]
+    rows += [("S", "Y", day("2020-01-01"), day("2020-02-01"), v, b) for v, b in ((3.0, 2**63 - 1), (4.0, -(2**63)))]
+    obs = spark.createDataFrame(rows, "source string, series_id string, date date, as_of date, value double, batch long")
+    now = readers.current_series(obs, write_order="batch")
+    assert values(now, "value", order="series_id") == [(2.0,), (3.0,)]
+    assert "SortAggregate" not in now._jdf.queryExecution().executedPlan().toString()
+
+
 def test_last_date(spark):
     obs = observations(spark)
     assert readers.last_obs_date_of(obs, "FRED", "X").collect()[0][0] == day("2020-03-01")

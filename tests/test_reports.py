@@ -25,7 +25,7 @@ def test_performance(spark):
     assert out["a"]["YTD"] == pytest.approx((s.iloc[-1] / s["2024-01-01"] - 1) * 100)
     assert out["a"]["1Y"] > out["a"]["1M"] > 0
     assert out["short"]["1D"] == pytest.approx(100) and out["short"]["1W"] is None and out["short"]["YTD"] is None
-    assert "none" not in out
+    assert set(out["none"].values()) == {"none", None}
 
 
 LATEST = "index_id string, ticker string, name string, subsector string, weight double"
@@ -44,7 +44,8 @@ def test_movers(spark):
     names = [("I", t, t.lower(), "s", 0.25) for t in ("AAA", "BBB", "CCC", "NEW")] + [("J", "CCC", "ccc", "s", 1.0)]
     latest = spark.createDataFrame(names, LATEST)
     out = reports.constituent_returns(mover_prices(spark), latest, 365)
-    assert [(r.index_id, r.ticker) for r in out.collect()] == [("I", "AAA"), ("I", "BBB"), ("I", "CCC"), ("J", "CCC")]
+    shown = [(r.index_id, r.ticker) for r in reports.best_first(out).collect()]
+    assert shown == [("I", "AAA"), ("I", "BBB"), ("I", "CCC"), ("J", "CCC")]
     top = reports.movers_topk(out, 2)
     got = {(r.index_id, r.side): [] for r in top.collect()}
     for r in top.orderBy("index_id", "side", "position").collect():
@@ -56,7 +57,7 @@ def test_latest_weights(spark):
     rows = [("I", day("2020-01-01"), "A", 1.0), ("I", day("2020-04-01"), "A", 0.123456), ("I", day("2020-04-01"), "B", 0.876544), ("J", day("2020-01-01"), "A", 1.0)]
     weights = spark.createDataFrame(rows, "index_id string, rebalance_date date, ticker string, weight double")
     secs = spark.createDataFrame([("A", "a", "s")], "ticker string, name string, subsector string")
-    out = reports.latest_weights(weights, secs)
+    out = reports.heaviest_first(reports.latest_weights(weights, secs))
     assert [(r.index_id, r.ticker, r.name) for r in out.collect()] == [("I", "B", None), ("I", "A", "a"), ("J", "A", "a")]
     assert [r.weight for r in reports.weights_in_percent(out).collect()] == [87.65, 12.35, 100.0]
 

@@ -69,14 +69,49 @@ def asof_align(
 ) -> DataFrame:
     """As-of join of one right side; see `asof_align_all`.
 
-    `right_date` may name the day a value became known instead of the period it
-    describes, which keeps values out that were published later.
+    `right_date` may name another date of the right side. To keep out values that
+    were published later, use `asof_known`: it matches the publication day and
+    still finds the newest period.
     """
     if right_date != "date":
         right = right.drop("date").withColumnRenamed(right_date, "date")
     return asof_align_all(left, [(right, columns, tie)], keys=keys, left_is_unique=left_is_unique)
 
 
+def asof_known(
+    left: DataFrame,
+    vintages: DataFrame,
+    *,
+    keys: list[str],
+    value: str = "value",
+    known: str = "as_of",
+    period: str = "period",
+) -> DataFrame:
+    """Left rows with the newest period known on their date, in its newest vintage known then.
+
+    `vintages` is (keys, date, `known`, value), each vintage once. A revision of an
+    older period never hides a newer period; a NULL in the newest vintage is
+    carried. Adds `period` and `value`, NULL where nothing was known yet. One
+    running maximum over (period, vintage) per key, on distinct left dates.
+    """
+    seen = vintages.select(*keys, F.col(known).alias("_day"), F.struct("date", known, value).alias("_seen"))
+    # One row per key and publication day before anything is ordered.
+    seen = seen.groupBy(*keys, "_day").agg(F.max("_seen").alias("_seen")).withColumn("_probe", F.lit(False))
+    probes = left.select(*keys, F.col("date").alias("_day")).distinct().withColumn("_probe", F.lit(True))
+    upto = (
+        Window.partitionBy(*(keys or [F.lit(0)]))
+        .orderBy("_day", "_probe")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    found = (
+        seen.unionByName(probes, allowMissingColumns=True)
+        .withColumn("_best", F.max("_seen").over(upto))
+        .filter("_probe")
+        .select(*keys, F.col("_day").alias("date"), F.col("_best.date").alias(period), F.col(f"_best.{value}").alias(value))
+    )
+    return left.join(found, [*keys, "date"], "left")
+
+
 def inner_align(a: DataFrame, b: DataFrame, *, keys: list[str], left: str = "a", right: str = "b") -> DataFrame:
     """Common dates with both values present."""
     lhs = a.filter(F.col("value").isNotNull()).select(*keys, "date", F.col("value").alias(left))

@@ -10,6 +10,7 @@ from tidemark.functions.numeric import change, ratio
 from tidemark.operators.align import asof_align, asof_align_all
 from tidemark.operators.signals import ar_lags, momentum, monthly_returns
 
+# The defaults of the model.
 AR_ORDER = 3
 L2 = 10.0
 MIN_TRAIN = 36
@@ -144,13 +145,25 @@ def feature_names(features: DataFrame) -> list[str]:
     return [c for c in features.columns if c not in ("ticker", "date", "target")]
 
 
-@F.pandas_udf(T.DoubleType())
-def _ridge_prediction(
+_FIT = T.StructType(
+    [
+        T.StructField("pred", T.DoubleType()),
+        T.StructField("intercept", T.DoubleType()),
+        T.StructField("coef", T.ArrayType(T.DoubleType())),
+    ]
+)
+
+
+@F.pandas_udf(_FIT)
+def _ridge_fit(
     n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.Series, x: pd.Series, l2: pd.Series
-) -> pd.Series:
-    """Solve one small ridge system per row from its training sums, all rows of a batch at once."""
+) -> pd.DataFrame:
+    """Solve one small ridge system per row from its training sums, all rows of a batch at once.
+
+    Coefficients are per unit of each feature; a constant feature has 0.
+    """
     if len(n) == 0:
-        return pd.Series([], dtype="float64")
+        return pd.DataFrame({"pred": [], "intercept": [], "coef": []})
     count = n.to_numpy(dtype=float)[:, None]
     mean_x = np.stack(sx.to_numpy()) / count
     k = mean_x.shape[1]
@@ -171,16 +184,18 @@ def _ridge_prediction(
     cov_y = np.where(flat, 0.0, cov_y) / sd
     cov += l2.to_numpy(dtype=float)[:, None, None] * np.eye(k)
     coef = np.linalg.solve(cov, cov_y[:, :, None])[:, :, 0]
-    z = (np.stack(x.to_numpy()) - mean_x) / sd
-    return pd.Series(mean_y[:, 0] + (z * coef).sum(axis=1))
+    coef = coef / sd
+    pred = mean_y[:, 0] + ((np.stack(x.to_numpy()) - mean_x) * coef).sum(axis=1)
+    return pd.DataFrame({"pred": pred, "intercept": mean_y[:, 0] - (mean_x * coef).sum(axis=1), "coef": list(coef)})
 
 
 def walk_forward(
-    features: DataFrame, *, min_train: int = MIN_TRAIN, l2: float = L2
+    features: DataFrame, *, min_train: int = MIN_TRAIN, l2: float = L2, coefficients: bool = False
 ) -> DataFrame:
     """Predict each month from a ridge fitted on the ticker's earlier months only.
 
-    Returns (ticker, date, pred, actual) for every month after `min_train`. The
+    Returns (ticker, date, pred, actual) for every month after `min_train`; with
+    `coefficients` also each fit's intercept and its coefficients by feature. The
     fit needs only sums over the earlier rows, so one expanding window per
     ticker replaces a refit per month; Python solves the k x k systems in Arrow
     batches. Values are taken relative to the ticker's first row, which keeps
@@ -197,6 +212,7 @@ def walk_forward(
         F.first("target").over(start).alias("_origin"),
         (F.col("target") - F.first("target").over(start)).alias("_y"),
         *[(F.col(c) - F.first(c).over(start)).alias(x) for c, x in zip(names, xs)],
+        F.array(*[F.first(c).over(start) for c in names]).alias("_from"),
     )
     over = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
@@ -214,9 +230,19 @@ def walk_forward(
         sums(f"{x} * _y" for x in xs).alias("_sxy"),
         F.expr(f"sum(_y) {over}").alias("_sy"),
         F.array(*xs).alias("_x"),
+        "_from",
     ).filter(F.col("_n") >= min_train)
-    pred = _ridge_prediction("_n", "_sx", "_sxx", "_sxy", "_sy", "_x", F.lit(float(l2)))
-    return trained.select("ticker", "date", (F.col("_origin") + pred).alias("pred"), F.col("target").alias("actual"))
+    fit = _ridge_fit("_n", "_sx", "_sxx", "_sxy", "_sy", "_x", F.lit(float(l2)))
+    fitted = trained.select("ticker", "date", "target", "_origin", "_from", fit.alias("_fit"))
+    more = []
+    if coefficients:
+        moved = F.zip_with("_fit.coef", "_from", lambda c, o: c * o)
+        shift = F.aggregate(moved, F.lit(0.0), lambda a, b: a + b)
+        named = F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.col("_fit.coef"))
+        more = [(F.col("_origin") + F.col("_fit.intercept") - shift).alias("intercept"), named.alias("coef")]
+    return fitted.select(
+        "ticker", "date", (F.col("_origin") + F.col("_fit.pred")).alias("pred"), F.col("target").alias("actual"), *more
+    )
 
 
 def forecast_metrics(backtest: DataFrame, tickers: DataFrame) -> DataFrame:

@@ -94,13 +94,17 @@ def lead_lag_matrix(result: DataFrame, max_lag: int = 12) -> DataFrame:
 
 
 def honesty_report(
-    result: DataFrame, *, keys: list[str], n_indicators_tested: int | DataFrame = 1
+    result: DataFrame, *, keys: list[str], n_indicators_tested: int | DataFrame | None = None
 ) -> DataFrame:
     """How a lead-lag result could mislead: best lag, combinations tested, warnings.
 
-    `n_indicators_tested` is a number, or a one-row frame that counts them.
+    `n_indicators_tested` is a number, or a one-row frame that counts the
+    indicators scanned. By default the distinct indicators of `result` are
+    counted, which reads it twice, or 1 where it names none.
     """
     tested = n_indicators_tested
+    if tested is None:
+        tested = result.select(F.countDistinct("indicator")) if "indicator" in result.columns else 1
     tested = tested.scalar() if isinstance(tested, DataFrame) else F.lit(tested)
     valid = F.col("corr").isNotNull()
     rank = F.when(valid, F.struct(F.abs("corr"), -F.col("lag")))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, functions as F
 
-# Batch numbers lie below this.
-BATCH_NUMBERS = 2**32
 PRICE_COLUMNS = ("close", "adj_close", "shares_out")
 
 
@@ -48,8 +47,9 @@ def current_series(
     """
     rank = F.col("as_of")
     if write_order is not None:
-        # One whole number orders by vintage, then by batch; it hashes where a struct would sort.
-        rank = F.unix_date("as_of").cast("bigint") * BATCH_NUMBERS + F.col(write_order)
+        # One decimal orders by vintage, then by batch, for any 64-bit batch number; it hashes where a struct would sort.
+        days = F.unix_date("as_of").cast("decimal(38,0)")
+        rank = days * F.lit(Decimal(2**64)) + F.col(write_order).cast("decimal(20,0)")
     return (
         _one_series(obs, source, series_id)
         .groupBy("source", "series_id", "date")

@@ -18,18 +18,18 @@ GROUP_ORDER = ("prices", "labor", "spending", "macro")
 def performance_summary(levels: DataFrame, *, keys: list[str], value: str = "value") -> DataFrame:
     """Trailing returns in percent, one column per window and one row per key.
 
-    The base of a window is the last value on or before its start. Two
-    aggregates that combine before the shuffle; nothing is sorted.
+    The base of a window is the last value on or before its start. A key without
+    any value has NULL in every window. The last date is found in a window by
+    key and the bases in an aggregate by the same key, so levels are read and
+    moved once.
     """
-    usable = levels.filter(F.col(value).isNotNull())
-    last = usable.groupBy(*keys).agg(
-        F.max("date").alias("_last_date"), F.max_by(value, "date").alias("_last")
-    )
+    known = F.when(F.col(value).isNotNull(), F.col("date"))
+    rows = levels.select(*keys, "date", value).withColumn("_end", F.max(known).over(Window.partitionBy(*keys)))
     bases = [
-        F.max_by(value, F.when(F.col("date") <= window_start(F.col("_last_date"), label), F.col("date"))).alias(label)
+        F.max_by(value, F.when(known <= window_start(F.col("_end"), label), F.col("date"))).alias(label)
         for label in TRAILING_DAYS
     ]
-    rows = usable.join(last, keys).groupBy(*keys, "_last").agg(*bases)
+    rows = rows.groupBy(*keys).agg(F.max_by(value, known).alias("_last"), *bases)
     return rows.select(
         *keys, *[((ratio(F.col("_last"), F.col(label)) - 1.0) * 100.0).alias(label) for label in TRAILING_DAYS]
     )
@@ -64,17 +64,24 @@ def rebased_pairs(index_values: DataFrame, pairs: DataFrame, *, track: str = "le
 
 
 def latest_weights(weights: DataFrame, securities: DataFrame) -> DataFrame:
-    """Weights at each index's last rebalance, heaviest first."""
+    """Weights at each index's last rebalance; `heaviest_first` orders them."""
     last = weights.groupBy("index_id").agg(F.max("rebalance_date").alias("rebalance_date"))
     named = securities.select("ticker", "name", "subsector")
     return (
         weights.join(last, ["index_id", "rebalance_date"])
         .join(named, "ticker", "left")
         .select("index_id", "ticker", "name", "subsector", "weight")
-        .orderBy("index_id", F.desc("weight"), "ticker")
     )
 
 
+def heaviest_first(latest: DataFrame) -> DataFrame:
+    return latest.orderBy("index_id", F.desc("weight"), "ticker")
+
+
+def best_first(returns: DataFrame) -> DataFrame:
+    return returns.orderBy("index_id", F.desc("return_pct"), "ticker")
+
+
 def weights_in_percent(latest: DataFrame) -> DataFrame:
     return latest.withColumn("weight", F.round(F.col("weight") * 100, 2))
 
@@ -88,7 +95,7 @@ def constituent_prices(prices: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def constituent_returns(prices: DataFrame, latest: DataFrame, window_days: int) -> DataFrame:
-    """Return in percent per constituent over the window, best first.
+    """Return in percent per constituent over the window; `best_first` orders them.
 
     The window ends on the last price date of any ticker. Names without a price
     on or before its start, or with a base of 0, are dropped. Prices are reduced
@@ -106,7 +113,6 @@ def constituent_returns(prices: DataFrame, latest: DataFrame, window_days: int)
         latest.join(per_ticker, "ticker")
         .select("index_id", "ticker", "name", "subsector", pct.alias("return_pct"))
         .filter(F.col("return_pct").isNotNull())
-        .orderBy("index_id", F.desc("return_pct"), "ticker")
     )
 
 

@@ -63,10 +63,45 @@ def qoq(series: DataFrame, *, keys: list[str], value: str = "value", out: str =
     return pct_change(series, 1, keys=keys, value=value, out=out)
 
 
-def _trailing_z(keys: list[str], value: str, window: int) -> Column:
-    w = _ordered(keys).rowsBetween(-(window - 1), 0)
-    score = ratio(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w))
-    return F.when(F.count(value).over(w) == window, score)
+def _running(series: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Running count, sum and sum of squares of a series.
+
+    Values are taken relative to the series' first one, so differences of the
+    sums keep their digits. `_same` counts the rows since the value last changed.
+    """
+    w = _ordered(keys)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = series.withColumns(
+        {
+            "_c": F.col(value) - F.first(value, ignorenulls=True).over(upto),
+            "_i": F.row_number().over(w),
+            "_moved": ~F.col(value).eqNullSafe(F.lag(value).over(w)),
+        }
+    )
+    return rows.withColumns(
+        {
+            "_n": F.count("_c").over(upto),
+            "_s": F.coalesce(F.sum("_c").over(upto), F.lit(0.0)),
+            "_q": F.coalesce(F.sum(F.col("_c") * F.col("_c")).over(upto), F.lit(0.0)),
+            "_same": F.col("_i") - F.max(F.when(F.col("_moved"), F.col("_i"))).over(upto) + 1,
+        }
+    )
+
+
+_RUNNING = ("_c", "_i", "_moved", "_n", "_s", "_q", "_same")
+
+
+def _over(keys: list[str], column: str, window: int) -> Column:
+    """A running sum's part inside the trailing window: linear, whatever the window's length."""
+    return F.col(column) - F.coalesce(F.lag(column, window).over(_ordered(keys)), F.lit(0))
+
+
+def _trailing_z(keys: list[str], window: int) -> Column:
+    n, s, q = (_over(keys, c, window) for c in ("_n", "_s", "_q"))
+    spread = F.sqrt(F.greatest(q - s * s / window, F.lit(0.0)) / max(window - 1, 1))
+    # A window without any change has no deviation, which rounding must not hide.
+    deviation = F.when((F.col("_same") < window) & F.lit(window > 1), spread)
+    return F.when(n == window, ratio(F.col("_c") - s / window, deviation))
 
 
 def zscore(
@@ -78,20 +113,25 @@ def zscore(
     value: str = "value",
     out: str = "zscore",
 ) -> DataFrame:
-    """Distance from the trailing mean in sample standard deviations, full windows only."""
+    """Distance from the trailing mean in sample standard deviations, full windows only.
+
+    Windows come from running sums, so each row costs the same for any length.
+    """
+    rows = _running(series, keys, value)
     if window is not None:
-        score = _trailing_z(keys, value, window)
+        score = _trailing_z(keys, window)
     else:
-        score = _by_code(frequency, ZSCORE_WINDOW, ZSCORE_WINDOW["M"], lambda n: _trailing_z(keys, value, n))
-    return series.withColumn(out, score)
+        score = _by_code(frequency, ZSCORE_WINDOW, ZSCORE_WINDOW["M"], lambda n: _trailing_z(keys, n))
+    return rows.withColumn(out, score).drop(*[c for c in _RUNNING if c != out])
 
 
 def smooth(
     series: DataFrame, window: int, *, keys: list[str], value: str = "value", out: str = "smooth"
 ) -> DataFrame:
     """Trailing moving average, full windows only."""
-    w = _ordered(keys).rowsBetween(-(window - 1), 0)
-    return series.withColumn(out, F.when(F.count(value).over(w) == window, F.avg(value).over(w)))
+    rows = _running(series, keys, value)
+    mean = F.col(value) - F.col("_c") + _over(keys, "_s", window) / window
+    return rows.withColumn(out, F.when(_over(keys, "_n", window) == window, mean)).drop(*[c for c in _RUNNING if c != out])
 
 
 def diffusion(

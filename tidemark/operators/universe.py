@@ -39,11 +39,11 @@ def eligible_members(members: DataFrame, rebalances: DataFrame) -> DataFrame:
     The members of a large index are dealt out over several tasks.
     """
     dates = rebalances.groupBy("index_id").agg(F.collect_set("rebalance_date").alias("dates"))
-    inside = F.filter("dates", lambda d: is_member(d, F.col("from_date"), F.col("to_date")))
-    return (
-        spread_join(members, dates, "index_id", by="ticker")
-        .select("index_id", F.explode(inside).alias("rebalance_date"), "ticker")
-        .distinct()
+    # A member's spells in one row, so that unfolding its dates repeats none of them.
+    spells = members.groupBy("index_id", "ticker").agg(F.collect_set(F.struct("from_date", "to_date")).alias("spells"))
+    inside = F.filter("dates", lambda d: F.exists("spells", lambda s: is_member(d, s["from_date"], s["to_date"])))
+    return spread_join(spells, dates, "index_id", by="ticker").select(
+        "index_id", F.explode(inside).alias("rebalance_date"), "ticker"
     )
 
 

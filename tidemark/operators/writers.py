@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tidemark.operators.quality import assert_unique_key
 from tidemark.schemas import (
     INDEX_VALUES,
     INDEX_WEIGHTS,
@@ -73,12 +74,33 @@ def upsert_series_meta(existing: DataFrame, specs: DataFrame, bounds: DataFrame,
     return upsert(existing, batch, META_KEY)
 
 
-def write_batch(rows: DataFrame, path: str, batch: int, *, parts: Sequence[str] = ()) -> None:
-    """Write one batch of a store; writing the same number again replaces all of it."""
+def write_batch(
+    rows: DataFrame,
+    path: str,
+    batch: int,
+    *,
+    parts: Sequence[str] = (),
+    key: list[str] | None = None,
+    seq: str | None = None,
+) -> None:
+    """Write one batch of a store; writing the same number again replaces all of it.
+
+    With `key` the batch holds each key once: `seq` says which of several rows
+    came last, and without it a key that occurs twice is an error. So no read has
+    to choose between rows of one batch.
+    """
+    if key is not None:
+        rows = assert_unique_key(rows, key) if seq is None else last_per_key(rows, key, seq)
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
     writer.partitionBy(*parts).parquet(f"{path}/batch={batch}")
 
 
+def next_batch(spark: SparkSession, path: str) -> int:
+    """The number after the last batch of a store, 0 for an empty one."""
+    numbers = read_batches(spark, path, T.StructType([])).agg(F.max("batch")).first()[0]
+    return 0 if numbers is None else numbers + 1
+
+
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Every row of every batch with its batch number; a store not begun yet is empty."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
@@ -96,8 +118,13 @@ def read_store(spark: SparkSession, path: str, schema: T.StructType, key: list[s
 
 
 def compact(spark: SparkSession, path: str, target: str, schema: T.StructType, key: list[str]) -> None:
-    """Fold a store into one batch of a new store folder; the old one stays untouched."""
-    write_batch(read_store(spark, path, schema, key), target, 0)
+    """Fold a store into one batch of a new store folder; the old one stays untouched.
+
+    The batch has the number of the last one folded, so whoever writes on, by
+    `next_batch` or by a stream that had written before, comes after it and
+    replaces none of it.
+    """
+    write_batch(read_store(spark, path, schema, key), target, max(0, next_batch(spark, path) - 1))
 
 
 def replace_index(

@@ -12,8 +12,6 @@ from tidemark.sources import driver_tables as tables
 BASE_DATE = "1995-01-01"
 FETCHED_AT = "2002-01-01 00:00:00"
 MARKET = tables.INDEX_PREFIX
-# The market segments of the driver's customers.
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 def r(col: Column | str, digits: int = 6) -> Column:
@@ -48,6 +46,18 @@ def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.prices(spark, sf_dir).select("ticker", "date", F.col("adj_close").alias("value"))
 
 
+def series_ids(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The catalogue's series, which become columns."""
+    specs = tables.series_specs(spark, sf_dir).select("series_id").distinct().orderBy("series_id")
+    return [row.series_id for row in specs.collect()]
+
+
+def long_form(rows: DataFrame, keys: list[str], name: str, value: str = "value") -> DataFrame:
+    """Columns other than the keys as rows, rounded."""
+    columns = [c for c in rows.columns if c not in keys]
+    return rows.unpivot(keys, columns, name, value).withColumn(value, r(value))
+
+
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.current_series(tables.observations(spark, sf_dir))
 
@@ -72,11 +82,13 @@ def sector_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """The design matrix of all tickers, or of those named in `only`."""
+    own = adjusted(spark, sf_dir)
     return forecast.arx_features(
-        adjusted(spark, sf_dir),
+        own if only is None else own.join(only.select("ticker"), "ticker", "left_semi"),
         exog=forecast.exog_panel(current(spark, sf_dir)),
-        exog_ids=SEGMENTS,
+        exog_ids=series_ids(spark, sf_dir),
         levels=total_return(spark, sf_dir),
         sectors=sector_of(spark, sf_dir),
         market_id=MARKET,

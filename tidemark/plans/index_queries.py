@@ -76,7 +76,7 @@ def eligible_members(spark, sf_dir):
 
 def _benchmark_pairs(spark, sf_dir):
     ids = tables.baselines(spark, sf_dir).select(F.col("index_id").alias("benchmark_id"))
-    return ids.select(F.lit(c.MARKET).alias("index_id"), "benchmark_id")
+    return ids.select(F.when(F.col("benchmark_id").isNotNull(), F.lit(c.MARKET)).alias("index_id"), "benchmark_id")
 
 
 def relative_track(spark, sf_dir):

@@ -37,6 +37,25 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
                cast(sum(qty) AS double) AS shares_out
         FROM line JOIN part ON l_partkey = p_partkey GROUP BY p_brand, date""",
     ),
+    # The last share count of each supplier and order day.
+    "counts": (
+        ["line"],
+        """
+        SELECT ticker, cast(o_orderdate AS date) AS date,
+               arg_max(l_quantity * 1000, (l_orderkey * 10 + l_linenumber) * 100 + l_quantity) AS shares
+        FROM line JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON ticker = cast(s_suppkey AS varchar)
+        WHERE s_acctbal >= 0 GROUP BY ALL""",
+    ),
+    # The last usable print of each ticker and day, from the unchecked ones.
+    "cleanpx": (
+        ["line"],
+        """
+        SELECT ticker, date, l_extendedprice / l_quantity AS close,
+               l_extendedprice / l_quantity * (1 - l_discount) AS adj_close, l_quantity AS shares_out
+        FROM line WHERE l_tax NOT IN (0.0, 0.08) AND l_discount NOT IN (0.0, 0.1)
+        QUALIFY row_number() OVER (PARTITION BY ticker, date
+                                   ORDER BY l_orderkey * 10 + l_linenumber DESC, l_quantity DESC, gross DESC, l_discount DESC) = 1""",
+    ),
     "sec": (
         [],
         """
@@ -245,17 +264,18 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
 }
 
 
-def _needed(names: list[str], seen: dict[str, None]) -> dict[str, None]:
+def _needed(names: list[str], seen: dict[str, None], known: dict) -> dict[str, None]:
     for name in names:
         if name not in seen:
-            _needed(FRAGMENTS[name][0], seen)
+            _needed(known[name][0], seen, known)
             seen[name] = None
     return seen
 
 
-def sql(final: str, *names: str) -> str:
-    """`final` below the fragments it names and those they read."""
-    parts = [f"{name} AS MATERIALIZED ({FRAGMENTS[name][1]})" for name in _needed(list(names), {})]
+def sql(final: str, *names: str, prices: str = "px") -> str:
+    """`final` below the fragments it names and those they read; `prices` may stand in for px."""
+    known = FRAGMENTS | ({"px": ([prices], f"SELECT * FROM {prices}")} if prices != "px" else {})
+    parts = [f"{name} AS MATERIALIZED ({known[name][1]})" for name in _needed(list(names), {}, known)]
     return f"WITH {', '.join(parts)} {final}" if parts else final
 
 

@@ -5,21 +5,38 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import quality
 from tidemark.operators.index import build_all_indices, priced_indices
 from tidemark.operators.universe import index_members
 from tidemark.operators.writers import (
+    compact,
     last_per_key,
+    next_batch,
     read_batches,
     read_index_values,
     read_index_weights,
+    read_store,
     replace_index,
+    upsert_securities,
+    upsert_series_meta,
     write_batch,
 )
-from tidemark.schemas import OBSERVATION_REJECTS, PRICE_KEY, PRICE_PRINTS, PRICES
-from tidemark.streaming.ingest import incremental_ingest, stored_observations
+from tidemark.schemas import (
+    META_KEY,
+    OBSERVATION_KEY,
+    OBSERVATION_REJECTS,
+    OBSERVATIONS,
+    PRICE_KEY,
+    PRICE_PRINTS,
+    PRICES,
+    SECURITIES,
+    SECURITY_KEY,
+    SERIES_META,
+)
+from tidemark.streaming.ingest import incremental_ingest, stored_bounds, stored_observations
 
 
 @dataclass(frozen=True)
@@ -32,10 +49,32 @@ class Store:
         return f"{self.root.rstrip('/')}/{table}"
 
 
-def ingest_prices(store: Store, prices: DataFrame, batch: int) -> None:
-    """Store clean and rejected rows side by side, in one pass over the prices."""
+def ingest_prices(store: Store, prices: DataFrame, batch: int, *, seq: str | None = None) -> None:
+    """Store clean and rejected rows side by side, in one pass over the prices.
+
+    Prices may come as text. Clean rows are stored as numbers, rejected ones keep
+    the text that was sent. Of several clean rows of one ticker and day the one
+    with the greatest `seq` is kept; without `seq` there must be one.
+    """
     rows = quality.price_status(quality.tag_prices(prices))
-    write_batch(rows, store.path("prices"), batch, parts=["status"])
+    rejected = F.col("status") == quality.REJECTED
+    number = lambda c: F.expr(f"try_cast({c} AS double)")
+    text = lambda c: F.when(rejected, F.col(c).cast("string"))
+    typed = rows.select(
+        "ticker", F.col("date").cast("date").alias("date"), number("close").alias("close"),
+        number("adj_close").alias("adj_close"), number("shares_out").alias("shares_out"),
+        text("close").alias("close_text"), text("adj_close").alias("adj_close_text"), "reason", "status",
+        *([F.col(seq).alias("_seq")] if seq else []),
+    )
+    clean = typed.filter(~rejected)
+    if seq is None:
+        quality.assert_unique_key(clean, PRICE_KEY)
+        write_batch(typed, store.path("prices"), batch, parts=["status"])
+        return
+    # A rejected row is a key of its own, so that one aggregate settles the clean ones and keeps all others.
+    one = F.when(rejected, F.monotonically_increasing_id())
+    settled = last_per_key(typed.withColumn("_row", one), [*PRICE_KEY, "status", "_row"], "_seq").drop("_row")
+    write_batch(settled, store.path("prices"), batch, parts=["status"])
 
 
 def _prints(spark: SparkSession, store: Store, status: str) -> DataFrame:
@@ -52,57 +91,128 @@ def rejected_prices(spark: SparkSession, store: Store) -> DataFrame:
     return _prints(spark, store, quality.REJECTED)
 
 
+def stored_securities(spark: SparkSession, store: Store) -> DataFrame:
+    return read_store(spark, store.path("securities"), SECURITIES, SECURITY_KEY)
+
+
+def stored_series_meta(spark: SparkSession, store: Store) -> DataFrame:
+    return read_store(spark, store.path("series_meta"), SERIES_META, META_KEY)
+
+
 def refresh(
     spark: SparkSession,
     store: Store,
     *,
     landing_path: str | None,
     prices: DataFrame | None,
-    securities: DataFrame,
+    securities: DataFrame | None,
     baselines: DataFrame,
     batch: int,
     prefix: str,
+    specs: DataFrame | None = None,
+    price_seq: str | None = None,
+    fetched_at: str | None = None,
     base_value: float = 100.0,
     base_date: dt.date | str | None = None,
     rebalance: str = "Q",
 ) -> DataFrame:
-    """Run every step and report (step, rows, errors).
+    """Run every step and report (step, rows, errors, error).
 
     A bad payload or price row is counted as an error of its step and stops
-    nothing else. `landing_path` and `prices` may be None to leave what is stored
-    as it is. Rebuilt indices are read back from the store, so their reports do not
-    compute them again.
+    nothing else. A step that fails as a whole is reported with its error; the
+    steps after it work on what is stored. Inputs that are None leave what is
+    stored as it is. The catalogue of `specs` is stored with the first and last
+    period of each series. Rebuilt indices are read back from the store, so their
+    reports do not compute them again.
     """
-    if landing_path is not None:
+    failed: dict[str, str] = {}
+
+    def attempt(step: str, action) -> None:
+        try:
+            action()
+        except Exception as error:  # noqa: BLE001  one bad source must not stop the others
+            failed[step] = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"[:500]
+
+    def observations() -> None:
         incremental_ingest(
             spark, landing_path, store.path("observations"), store.path("observation_rejects"), store.path("_progress")
         )
+
+    def catalogue() -> None:
+        bounds = stored_bounds(spark, store.path("observations"))
+        rows = upsert_series_meta(stored_series_meta(spark, store).limit(0), specs, bounds, fetched_at=fetched_at)
+        write_batch(rows, store.path("series_meta"), batch)
+
+    def names() -> None:
+        rows = upsert_securities(spark.createDataFrame([], SECURITIES), _with_columns(securities, SECURITIES))
+        write_batch(rows, store.path("securities"), batch)
+
+    def indices() -> None:
+        kept, members = stored_prices(spark, store), index_members(stored_securities(spark, store), prefix)
+        levels, weights = build_all_indices(
+            kept, members, kept, baselines, base_value=base_value, base_date=base_date, rebalance=rebalance
+        )
+        # Which tickers are priced does not depend on the last write, so the raw batches will do.
+        ids = priced_indices(_prints(spark, store, quality.CLEAN), members, baselines, base_date=base_date)
+        replace_index(levels, weights, store.path("index_values"), store.path("index_weights"), ids=ids)
+
+    if landing_path is not None:
+        attempt("observations", observations)
+    if specs is not None:
+        attempt("series_meta", catalogue)
+    if securities is not None:
+        attempt("securities", names)
     if prices is not None:
-        ingest_prices(store, prices, batch)
-    kept = stored_prices(spark, store)
-    members = index_members(securities, prefix)
-    levels, weights = build_all_indices(
-        kept, members, kept, baselines, base_value=base_value, base_date=base_date, rebalance=rebalance
-    )
-    # Which tickers are priced does not depend on the last write, so the raw batches will do.
-    ids = priced_indices(_prints(spark, store, quality.CLEAN), members, baselines, base_date=base_date)
-    replace_index(levels, weights, store.path("index_values"), store.path("index_weights"), ids=ids)
+        attempt("prices", lambda: ingest_prices(store, prices, batch, seq=price_seq))
+    attempt("indices", indices)
 
     n = F.count(F.lit(1))
+    zero = F.lit(0).cast("bigint")
 
-    def step(name: str, rows: DataFrame, errors: DataFrame | None) -> DataFrame:
-        counted = rows.select(n.alias("rows"), F.lit(0).cast("bigint").alias("errors"))
+    def count(step: str, rows: DataFrame, errors: DataFrame | None = None, of: str | None = None) -> DataFrame:
+        counted = rows.select(n.alias("rows"), zero.alias("errors"))
         if errors is not None:
-            bad = errors.select(F.lit(0).cast("bigint").alias("rows"), n.alias("errors"))
-            counted = counted.unionByName(bad)
+            counted = counted.unionByName(errors.select(zero.alias("rows"), n.alias("errors")))
+        why = failed.get(of or step)
         return counted.agg(F.sum("rows").alias("rows"), F.sum("errors").alias("errors")).select(
-            F.lit(name).alias("step"), "rows", "errors"
+            F.lit(step).alias("step"),
+            "rows",
+            (F.col("errors") + F.lit(0 if why is None else 1)).alias("errors"),
+            F.lit(why).cast("string").alias("error"),
         )
 
+    def indexed(step: str, read) -> DataFrame:
+        try:
+            return count(step, read(spark, store.path(step)), of="indices")
+        except AnalysisException:  # no index has been stored yet
+            return count(step, spark.range(0), of="indices")
+
     rejects = read_batches(spark, store.path("observation_rejects"), OBSERVATION_REJECTS)
     return (
-        step("observations", stored_observations(spark, store.path("observations")), rejects)
-        .unionByName(step("prices", kept, rejected_prices(spark, store)))
-        .unionByName(step("index_values", read_index_values(spark, store.path("index_values")), None))
-        .unionByName(step("index_weights", read_index_weights(spark, store.path("index_weights")), None))
+        count("observations", stored_observations(spark, store.path("observations")), rejects)
+        .unionByName(count("series_meta", stored_series_meta(spark, store)))
+        .unionByName(count("securities", stored_securities(spark, store)))
+        .unionByName(count("prices", stored_prices(spark, store), rejected_prices(spark, store)))
+        .unionByName(indexed("index_values", read_index_values))
+        .unionByName(indexed("index_weights", read_index_weights))
     )
+
+
+def _with_columns(rows: DataFrame, schema) -> DataFrame:
+    """The schema's columns, NULL where the rows have none."""
+    return rows.select(
+        *[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    )
+
+
+def compact_store(spark: SparkSession, store: Store, target: Store) -> None:
+    """Fold every keyed table into one batch of a new store; indices are rebuilt there by the next refresh."""
+    compact(spark, store.path("observations"), target.path("observations"), OBSERVATIONS, OBSERVATION_KEY)
+    compact(spark, store.path("series_meta"), target.path("series_meta"), SERIES_META, META_KEY)
+    compact(spark, store.path("securities"), target.path("securities"), SECURITIES, SECURITY_KEY)
+    last = max(0, next_batch(spark, store.path("prices")) - 1)
+    clean = _with_columns(stored_prices(spark, store), PRICE_PRINTS).withColumn("status", F.lit(quality.CLEAN))
+    rows = clean.unionByName(rejected_prices(spark, store).select(*clean.columns))
+    write_batch(rows, target.path("prices"), last, parts=["status"])
+    rejects = read_batches(spark, store.path("observation_rejects"), OBSERVATION_REJECTS).drop("batch")
+    write_batch(rejects, target.path("observation_rejects"), last)

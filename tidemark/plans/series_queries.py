@@ -23,7 +23,7 @@ def asof_align(spark, sf_dir):
 def asof_indicator(spark, sf_dir):
     """Index levels with the market's monthly order value per segment, as of each day."""
     levels = c.total_return(spark, sf_dir).filter(F.col("index_id") == c.MARKET)
-    series = F.explode(F.array(*[F.lit(s) for s in c.SEGMENTS])).alias("series_id")
+    series = F.explode(F.array(*[F.lit(s) for s in c.series_ids(spark, sf_dir)])).alias("series_id")
     left = levels.select(series, "date", F.col("value").alias("level"))
     right = c.current(spark, sf_dir).select("series_id", "date", "value")
     return align.asof_align(
@@ -31,6 +31,14 @@ def asof_indicator(spark, sf_dir):
     ).select("series_id", "date", c.sig("level").alias("level"), "value")
 
 
+def asof_known(spark, sf_dir):
+    """Each day of the market index with the newest order month known then, per segment, as known then."""
+    days = c.total_return(spark, sf_dir).filter(F.col("index_id") == c.MARKET).select("date")
+    series = F.explode(F.array(*[F.lit(s) for s in c.series_ids(spark, sf_dir)])).alias("series_id")
+    vintages = tables.observations(spark, sf_dir).select("series_id", "date", "as_of", "value")
+    return align.asof_known(days.select(series, "date"), vintages, keys=["series_id"])
+
+
 def _stock_and_sector(spark, sf_dir):
     """Two panels keyed by ticker: its own adjusted close and its sector index."""
     own = c.adjusted(spark, sf_dir)
@@ -61,10 +69,7 @@ def rebased_pair(spark, sf_dir):
 def outer_align(spark, sf_dir):
     base = tables.prices(spark, sf_dir).select("ticker", "date", F.col("close").alias("value"))
     counts = (
-        tables.share_counts(spark, sf_dir)
-        .withColumn("date", F.date_add("date", 1))
-        .groupBy("ticker", "date")
-        .agg(F.max_by("shares", "seq").alias("value"))
+        tables.share_counts(spark, sf_dir).groupBy("ticker", "date").agg(F.max_by("shares", "seq").alias("value"))
     )
     return align.outer_align(base, counts, keys=["ticker"])
 
@@ -138,16 +143,17 @@ def indicator_detail(spark, sf_dir):
     return out.select("source", "series_id", "date", "value", c.r("yoy_pct", 4).alias("yoy_pct"))
 
 
+def _sector_pairs(spark, sf_dir):
+    return c.sector_of(spark, sf_dir).select(F.col("ticker").alias("indicator"), F.col("index_id").alias("target"))
+
+
 def _lead_lag(spark, sf_dir):
     """Every stock's monthly returns against those of its sector index."""
     stocks = c.stock_returns(spark, sf_dir).select(F.col("ticker").alias("indicator"), "date", F.col("ret").alias("value"))
     sectors = signals.monthly_returns(c.total_return(spark, sf_dir), keys=["index_id"]).select(
         F.col("index_id").alias("target"), "date", F.col("ret").alias("value")
     )
-    pairs = c.sector_of(spark, sf_dir).select(
-        F.col("ticker").alias("indicator"), F.col("index_id").alias("target")
-    )
-    return leadlag.lead_lag(stocks, sectors, pairs, max_lag=MAX_LAG)
+    return leadlag.lead_lag(stocks, sectors, _sector_pairs(spark, sf_dir), max_lag=MAX_LAG)
 
 
 def lead_lag(spark, sf_dir):
@@ -163,9 +169,9 @@ def _indicators_vs_market(spark, sf_dir):
     tgt = signals.monthly_yoy(market, keys=["index_id"]).select(
         F.col("index_id").alias("target"), "date", F.col("yoy").alias("value")
     )
-    pairs = tables.series_specs(spark, sf_dir).select(
-        F.col("series_id").alias("indicator"), F.lit(c.MARKET).alias("target")
-    )
+    # Not a bare literal, which would turn the join on the target into a product.
+    target = F.when(F.col("series_id").isNotNull(), F.lit(c.MARKET))
+    pairs = tables.series_specs(spark, sf_dir).select(F.col("series_id").alias("indicator"), target.alias("target"))
     return leadlag.lead_lag(ind, tgt, pairs, max_lag=MAX_LAG)
 
 
@@ -175,7 +181,7 @@ def lead_lag_matrix(spark, sf_dir):
 
 
 def honesty_report(spark, sf_dir):
-    tested = tables.series_specs(spark, sf_dir).select(F.count(F.lit(1)))
+    tested = _sector_pairs(spark, sf_dir).select(F.countDistinct("indicator"))
     out = leadlag.honesty_report(
         _lead_lag(spark, sf_dir), keys=["indicator", "target"], n_indicators_tested=tested
     )
@@ -239,7 +245,7 @@ _HONESTY = f"""
              CASE WHEN combos > 20 THEN combos || ' indicator x lag combinations tested; expect spurious '
                || '''significant'' hits by chance. Prefer a pre-registered hypothesis.' END,
              'Exploratory only -- not a predictive or trading signal.') AS warnings
-    FROM (SELECT indicator, target, count(*) * (SELECT count(*) FROM spec) AS combos, min(n) AS min_n
+    FROM (SELECT indicator, target, count(*) * (SELECT count(*) FROM (SELECT DISTINCT ticker FROM sec)) AS combos, min(n) AS min_n
           FROM ll GROUP BY ALL)
     LEFT JOIN (SELECT indicator, target, lag AS best_lag, corr AS best_corr, n AS best_n FROM ll
                WHERE corr IS NOT NULL
@@ -265,11 +271,9 @@ QUERIES = {
         sql(
             """SELECT p.ticker, p.date, p.l_orderkey, p.l_linenumber, h.shares
                FROM line p ASOF LEFT JOIN (
-                   SELECT ticker, date, arg_max(l_quantity * 1000, l_orderkey * 10 + l_linenumber) AS shares
-                   FROM line JOIN supplier ON ticker = cast(s_suppkey AS varchar)
-                   WHERE s_acctbal >= 0 AND day(date) <= 7 AND l_tax <= 0.04 GROUP BY ticker, date) h
+                   SELECT ticker, date, shares FROM counts) h
                ON p.ticker = h.ticker AND p.date >= h.date""",
-            "line",
+            "line", "counts",
         ),
     ),
     "asof_indicator": (
@@ -281,6 +285,19 @@ QUERIES = {
             "lev", "spec", "cur",
         ),
     ),
+    "asof_known": (
+        asof_known,
+        sql(
+            """SELECT d.series_id, d.date, best.date AS period, best.value AS value
+               FROM (SELECT DISTINCT date, series_id FROM (SELECT date FROM px) CROSS JOIN spec) d
+               ASOF LEFT JOIN (
+                   SELECT series_id, as_of, max({'date': date, 'as_of': as_of, 'value': value}) OVER (
+                       PARTITION BY series_id ORDER BY as_of RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best
+                   FROM obs) o
+               ON d.series_id = o.series_id AND d.date >= o.as_of""",
+            "px", "spec", "obs",
+        ),
+    ),
     "relative_strength": (
         relative_strength,
         sql(
@@ -302,12 +319,8 @@ QUERIES = {
         outer_align,
         sql(
             """SELECT ticker, date, x.close AS a, h.shares AS b FROM px x
-               FULL JOIN (SELECT ticker, date + 1 AS date,
-                                 arg_max(l_quantity * 1000, l_orderkey * 10 + l_linenumber) AS shares
-                          FROM line JOIN supplier ON ticker = cast(s_suppkey AS varchar)
-                          WHERE s_acctbal >= 0 AND day(date) <= 7 AND l_tax <= 0.04 GROUP BY ALL) h
-               USING (ticker, date)""",
-            "px", "line",
+               FULL JOIN counts h USING (ticker, date)""",
+            "px", "counts",
         ),
     ),
     "subsector_tracks": (
@@ -412,5 +425,5 @@ QUERIES = {
         ),
     ),
     "lead_lag_matrix": (lead_lag_matrix, sql(f"{_SEGMENT_LL} {_MATRIX}", "spec", "cur", "ilev")),
-    "honesty_report": (honesty_report, sql(f"{_STOCK_LL} {_HONESTY}", "sec", "ret", "mom", "spec")),
+    "honesty_report": (honesty_report, sql(f"{_STOCK_LL} {_HONESTY}", "sec", "ret", "mom")),
 }

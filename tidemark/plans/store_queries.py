@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import index, quality, readers, universe, writers
 from tidemark.plans import common as c
 from tidemark.plans.oracle import sig, sql
+from tidemark.plans import refresh as refresh_plan
 from tidemark.plans.refresh import Store, refresh
 from tidemark.schemas import OBSERVATIONS, PRICE_KEY, PRICES, SECURITIES
 from tidemark.session import new_workspace
@@ -51,14 +52,68 @@ def incremental_ingest(spark, sf_dir):
     return ingest.stored_observations(spark, f"{root}/observations")
 
 
-def run_refresh(spark, sf_dir):
+def _prints_as_sent(spark, sf_dir):
+    """Unchecked prints of all stocks and the benchmarks' prices, all as text, with their order."""
+    own = tables.raw_prints(spark, sf_dir)
+    number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    # Lines that share a number are told apart by what they say.
+    seq = F.struct(number.alias("n"), F.col("shares_out").alias("q"), F.col("cents").alias("c"), F.col("off").alias("o"))
+    line = own.select("ticker", "date", "close", "adj_close", "shares_out", seq.alias("seq"))
+    none = F.struct(
+        F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("q"), F.lit(0).cast("bigint").alias("c"), F.lit(0.0).alias("o")
+    )
+    bench = tables.baseline_prices(spark, sf_dir).select(
+        "ticker", "date", *[F.col(c).cast("string").alias(c) for c in ("close", "adj_close")], "shares_out", none.alias("seq")
+    )
+    return line.unionByName(bench)
+
+
+def _refreshed(spark, sf_dir):
+    """A refresh of a new store from landed pulls and unchecked prints: the store and its report."""
     root = new_workspace(spark, "refresh")
     landing.land_raw(tables.landing(spark, sf_dir), f"{root}/raw")
-    both = tables.prices(spark, sf_dir).unionByName(tables.baseline_prices(spark, sf_dir))
-    return refresh(
-        spark, Store(f"{root}/store"), landing_path=f"{root}/raw", prices=both,
-        securities=tables.securities(spark, sf_dir), baselines=tables.baselines(spark, sf_dir),
-        batch=1, prefix=c.MARKET, base_date=c.BASE_DATE,
+    specs = tables.daily_series(spark, sf_dir).select("source", "series_id").distinct().select(
+        "*", F.col("series_id").alias("metric_name"), F.lit("D").alias("frequency"), F.lit("USD").alias("unit"),
+        F.lit("spending").alias("subsector"),
+    )
+    store = Store(f"{root}/store")
+    report = refresh(
+        spark, store, landing_path=f"{root}/raw", prices=_prints_as_sent(spark, sf_dir),
+        securities=tables.securities(spark, sf_dir), baselines=tables.baselines(spark, sf_dir), specs=specs,
+        batch=1, prefix=c.MARKET, price_seq="seq", fetched_at=c.FETCHED_AT, base_date=c.BASE_DATE,
+    )
+    return store, report
+
+
+def run_refresh(spark, sf_dir):
+    return _refreshed(spark, sf_dir)[1]
+
+
+def refreshed_levels(spark, sf_dir):
+    """Stored levels of every index after a refresh."""
+    rows = writers.read_index_values(spark, _refreshed(spark, sf_dir)[0].path("index_values"))
+    return rows.select("index_id", "date", c.sig("level_pr").alias("level_pr"), c.sig("level_tr").alias("level_tr"))
+
+
+def refreshed_weights(spark, sf_dir):
+    rows = writers.read_index_weights(spark, _refreshed(spark, sf_dir)[0].path("index_weights"))
+    return rows.select("index_id", "rebalance_date", "ticker", c.sig("weight").alias("weight"))
+
+
+def refreshed_catalogue(spark, sf_dir):
+    """The stored catalogue after a refresh, with what is stale by it."""
+    store, _ = _refreshed(spark, sf_dir)
+    return quality.staleness(refresh_plan.stored_series_meta(spark, store), "2024-06-01").select(
+        "source", "series_id", "frequency", "first_obs", "last_obs", "last_fetched", "stale"
+    )
+
+
+def refreshed_health(spark, sf_dir):
+    """The health line of a refreshed store."""
+    store, _ = _refreshed(spark, sf_dir)
+    return quality.health_summary(
+        spark, refresh_plan.stored_series_meta(spark, store), refresh_plan.stored_securities(spark, store),
+        writers.read_index_values(spark, store.path("index_values")), refresh_plan.stored_prices(spark, store),
     )
 
 
@@ -157,9 +212,10 @@ def replace_index(spark, sf_dir):
 
 
 def prices_wide(spark, sf_dir):
-    brands = [f"Brand#{i}" for i in range(1, 26)]
-    wide = readers.prices_wide(tables.baseline_prices(spark, sf_dir), "close", brands)
-    return wide.withColumnsRenamed({b: b.lower().replace("#", "_") for b in brands})
+    """A column for every ticker of the benchmark catalogue, returned in long form."""
+    tickers = [row.ticker for row in tables.baselines(spark, sf_dir).select("ticker").orderBy("ticker").collect()]
+    wide = readers.prices_wide(tables.baseline_prices(spark, sf_dir), "close", tickers)
+    return wide.unpivot(["date"], tickers, "ticker", "close")
 
 
 def sanitize_prices(spark, sf_dir):
@@ -220,11 +276,45 @@ QUERIES = {
     "refresh": (
         run_refresh,
         sql(
-            """SELECT 'observations' AS step, count(*) AS rows, 0::bigint AS errors FROM landed
-               UNION ALL SELECT 'prices', (SELECT count(*) FROM px) + (SELECT count(*) FROM bpx), 0
-               UNION ALL SELECT 'index_values', (SELECT count(*) FROM days) + (SELECT count(*) FROM bpx), 0
-               UNION ALL SELECT 'index_weights', (SELECT count(*) FROM wt), 0""",
-            "landed", "px", "bpx", "days", "wt",
+            f"""SELECT 'observations' AS step, count(*) AS rows, 0::bigint AS errors, NULL::varchar AS error FROM landed
+               UNION ALL SELECT 'series_meta', count(DISTINCT event_type), 0, NULL FROM events
+               UNION ALL SELECT 'securities', count(*), 0, NULL FROM sec
+               UNION ALL SELECT 'prices', (SELECT count(*) FROM px) + (SELECT count(*) FROM bpx), count(*), NULL
+                         FROM line WHERE {_REASON} IS NOT NULL
+               UNION ALL SELECT 'index_values', (SELECT count(*) FROM days) + (SELECT count(*) FROM bpx), 0, NULL
+               UNION ALL SELECT 'index_weights', (SELECT count(*) FROM wt), 0, NULL""",
+            "landed", "px", "bpx", "days", "wt", "sec", "line", prices="cleanpx",
+        ),
+    ),
+    "refreshed_levels": (
+        refreshed_levels,
+        sql(
+            f"""SELECT index_id, date, {sig('level_pr')} AS level_pr, {sig('level_tr')} AS level_tr FROM lev
+                UNION ALL SELECT index_id, date, {sig('level_pr')}, {sig('level_tr')} FROM base""",
+            "lev", "base", prices="cleanpx",
+        ),
+    ),
+    "refreshed_weights": (
+        refreshed_weights,
+        sql(f"SELECT index_id, k AS rebalance_date, ticker, {sig('weight')} AS weight FROM wt", "wt", prices="cleanpx"),
+    ),
+    "refreshed_catalogue": (
+        refreshed_catalogue,
+        sql(
+            """SELECT 'EVT' AS source, series_id, 'D' AS frequency, min(date) AS first_obs, max(date) AS last_obs,
+                      timestamp '2002-01-01 00:00:00' AS last_fetched, date '2024-06-01' - max(date) > 7 AS stale
+               FROM landed GROUP BY series_id""",
+            "landed",
+        ),
+    ),
+    "refreshed_health": (
+        refreshed_health,
+        sql(
+            """SELECT (SELECT count(DISTINCT event_type) FROM events) AS n_indicators, (SELECT count(*) FROM sec) AS n_securities,
+                      (SELECT count(DISTINCT index_id) FROM days) + (SELECT count(DISTINCT ticker) FROM bpx) AS n_indices,
+                      timestamp '2002-01-01 00:00:00' AS last_fetched,
+                      greatest((SELECT max(date) FROM px), (SELECT max(date) FROM bpx)) AS last_price""",
+            "sec", "days", "bpx", prices="cleanpx",
         ),
     ),
     "canonical_prices": (
@@ -247,11 +337,9 @@ QUERIES = {
                            THEN cast(p.ticker AS bigint) * 10.0::double + 1000 ELSE h.shares END AS shares_out
                FROM (SELECT DISTINCT ticker, date FROM line) p
                ASOF LEFT JOIN (
-                   SELECT ticker, date, arg_max(l_quantity * 1000, l_orderkey * 10 + l_linenumber) AS shares
-                   FROM line JOIN supplier ON ticker = cast(s_suppkey AS varchar)
-                   WHERE s_acctbal >= 0 AND day(date) <= 7 AND l_tax <= 0.04 GROUP BY ticker, date) h
+                   SELECT ticker, date, shares FROM counts) h
                ON p.ticker = h.ticker AND p.date >= h.date""",
-            "line",
+            "line", "counts",
         ),
     ),
     "upsert_observations": (
@@ -353,9 +441,8 @@ QUERIES = {
     "prices_wide": (
         prices_wide,
         sql(
-            "SELECT date, "
-            + ", ".join(f"max(close) FILTER (ticker = 'Brand#{i}') AS brand_{i}" for i in range(1, 26))
-            + " FROM bpx GROUP BY date",
+            """SELECT date, ticker, close
+               FROM (SELECT DISTINCT d.date, t.p_brand AS ticker FROM bpx d CROSS JOIN part t) LEFT JOIN bpx USING (date, ticker)""",
             "bpx",
         ),
     ),

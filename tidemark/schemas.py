@@ -30,19 +30,13 @@ RAW_LANDING = _struct(source=_S, series_id=_S, fetched_at=_TS, payload=_S)
 OBSERVATION_REJECTS = _struct(
     source=_S, series_id=_S, fetched_at=_TS, date_text=_S, value_text=_S, reason=_S
 )
-# stored prices and rejected ones; status is "clean" or "rejected" and a folder level
+# stored prices and rejected ones; status is "clean" or "rejected" and a folder level.
+# A rejected row keeps the text of what was sent.
 PRICE_PRINTS = _struct(
-    ticker=_S, date=_D, close=_F, adj_close=_F, shares_out=_F, reason=_S, status=_S
+    ticker=_S, date=_D, close=_F, adj_close=_F, shares_out=_F, close_text=_S, adj_close_text=_S, reason=_S, status=_S
 )
 # the JSON document inside RAW_LANDING.payload
 PAYLOAD = _struct(observations=T.ArrayType(_struct(date=_S, value=_S)))
-# key: slug; rank is unique
-TAGGED_RECORDS = _struct(
-    slug=_S, rank=T.IntegerType(), name=_S, website=_S, hq=_S, investor_type=_S, why_top_25=_S,
-    geography=T.ArrayType(_S), stage=T.ArrayType(_S), focus=T.ArrayType(_S),
-    notable_activity=T.ArrayType(_S), tail_signals=T.ArrayType(_S), sources=T.ArrayType(_S),
-)
-
 OBSERVATION_KEY = ["source", "series_id", "date", "as_of"]
 PRICE_KEY = ["ticker", "date"]
 SECURITY_KEY = ["ticker"]

@@ -211,24 +211,29 @@ def raw_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise((close * (1 - F.col("l_discount"))).cast("string"))
         .alias("adj_close"),
         F.col("l_quantity").alias("shares_out"),
+        _cents("l_extendedprice").alias("cents"),
+        F.col("l_discount").alias("off"),
     )
 
 
 def share_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share-count history: (ticker, date, seq, shares).
+    """Share-count history: (ticker, date, seq, shares), a count reported on every order's day.
 
     Suppliers with a negative balance have none. Several order lines of a day
-    report several counts; `seq` says which came last.
+    report several counts; `seq` says which came last. Orders are placed on other
+    days than those they are shipped and priced on.
     """
     supplier = table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") >= 0).select("s_suppkey")
+    placed = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     return (
         table(spark, sf_dir, "lineitem")
-        .filter((F.dayofmonth("l_shipdate") <= 7) & (F.col("l_tax") <= 0.04))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+        .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("l_suppkey").cast("string").alias("ticker"),
-            F.to_date("l_shipdate").alias("date"),
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+            F.to_date("o_orderdate").alias("date"),
+            # Lines that share a number are told apart by their quantity.
+            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity")).cast("bigint").alias("seq"),
             (F.col("l_quantity") * 1000).alias("shares"),
         )
     )

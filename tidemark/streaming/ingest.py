@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.readers import series_bounds
-from tidemark.operators.writers import read_store, write_batch
+from tidemark.operators.writers import next_batch, read_store, write_batch
 from tidemark.schemas import OBSERVATION_KEY, OBSERVATIONS, RAW_LANDING
 from tidemark.sources.landing import last_landed, split_payload, tag_payload
 
@@ -24,14 +27,32 @@ def landing_stream(spark: SparkSession, landing_path: str, *, max_files: int = M
     )
 
 
-def _store_batch(store_path: str, rejects_path: str):
+def first_batch(spark: SparkSession, store_path: str, checkpoint_path: str) -> int:
+    """The store batch of a stream's first micro-batch, fixed once for each checkpoint.
+
+    A stream counts its micro-batches from 0 for every new checkpoint. It writes
+    after what the store held when it began, so it replaces no batch of another
+    stream, of a compaction or of a writer. The number is kept beside the batches,
+    in a folder that readers skip.
+    """
+    origin = f"{store_path}/_origins/{hashlib.sha1(checkpoint_path.encode()).hexdigest()}"
+    try:
+        return spark.read.schema("first long").parquet(origin).first()[0]
+    except (AnalysisException, TypeError):  # none yet, or not written to the end
+        first = next_batch(spark, store_path)
+        spark.range(1).select(F.lit(first).cast("long").alias("first")).write.mode("overwrite").parquet(origin)
+        return first
+
+
+def _store_batch(store_path: str, rejects_path: str, first: int):
     def write(pulls: DataFrame, batch_id: int) -> None:
+        number = first + batch_id
         # Kept for the two writes, so that files are read and parsed once.
         tagged = tag_payload(pulls).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good, bad = split_payload(tagged)
-            write_batch(last_landed(good), store_path, batch_id)
-            write_batch(bad, rejects_path, batch_id)
+            write_batch(last_landed(good), store_path, number)
+            write_batch(bad, rejects_path, number)
         finally:
             tagged.unpersist()
 
@@ -49,13 +70,14 @@ def incremental_ingest(
 ):
     """Take up every landed file not seen yet, then stop. Returns the finished query.
 
-    Each micro-batch writes its own batch folder under the batch's number, so a
-    batch repeated after a failure replaces itself. Late data is just another
+    Each micro-batch writes its own batch folder, numbered from `first_batch` on, so
+    a batch repeated after a failure replaces itself. Late data is just another
     vintage, and no watermark is needed.
     """
+    first = first_batch(spark, store_path, checkpoint_path)
     query = (
         landing_stream(spark, landing_path, max_files=max_files)
-        .writeStream.foreachBatch(_store_batch(store_path, rejects_path))
+        .writeStream.foreachBatch(_store_batch(store_path, rejects_path, first))
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
         .start()
