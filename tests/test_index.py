@@ -131,33 +131,36 @@ def test_chain_factors_multiply_to_the_level(spark):
 
 
 def test_baseline(spark):
-    rows = [("XLV", "1998-12-22", 10.0, 5.0, None), ("XLV", "2020-01-02", 15.0, 10.0, None), ("UNH", "2020-01-02", 20.0, 20.0, None),
-            ("XLV", "1998-12-21", 0.0, 5.0, None), ("XLV", "1998-12-20", None, 5.0, None)]
-    ids = spark.createDataFrame([("BASE_XLV", "XLV"), ("BASE_NONE", "NONE")], "index_id string, ticker string")
+    rows = [("SEA", "2001-05-03", 8.0, 4.0, None), ("SEA", "2001-05-09", 10.0, 7.0, None), ("SKY", "2001-05-09", 3.0, 3.0, None),
+            ("SEA", "2001-05-02", 0.0, 4.0, None), ("SEA", "2001-05-01", None, 4.0, None), ("SEA", "2001-05-04", 9.0, None, None)]
+    ids = spark.createDataFrame([("BASE_SEA", "SEA"), ("BASE_NONE", "NONE")], "index_id string, ticker string")
     out = index.baseline_index(prices(spark, rows), ids)
     assert values(out, "index_id", "date", "level_pr", "level_tr") == [
-        ("BASE_XLV", day("1998-12-22"), 100.0, 100.0), ("BASE_XLV", day("2020-01-02"), 150.0, 200.0),
+        ("BASE_SEA", day("2001-05-03"), 100.0, 100.0), ("BASE_SEA", day("2001-05-09"), 125.0, 175.0),
     ]
 
 
 def test_build_all(spark):
-    days = [d.date() for d in pd.bdate_range("2020-01-01", periods=10)]
+    # TIN pays no dividend and gains a half; OAK stays and pays, so only its total return rises, by a tenth.
+    days = [day(f"2010-03-{d:02d}") for d in (1, 4, 9, 15, 22)]
     rows = []
     for i, d in enumerate(days):
-        rows += [("XLV", d, 50.0 + i, 50 + 1.5 * i, 10000.0), ("LLY", d, 100.0 + i, 100.0 + i, 1000.0), ("UNH", d, 200.0 + 2 * i, 200.0 + 2 * i, 900.0)]
+        rows += [("TIN", d, 16.0 + 2 * i, 16.0 + 2 * i, 50.0), ("OAK", d, 40.0, 40.0 + i, 20.0), ("SEA", d, 5.0 + i, 5.0, 1.0)]
     secs = spark.createDataFrame(
-        [("LLY", "pharma", None, None), ("UNH", "payers", None, None)], "ticker string, subsector string, from_date date, to_date date"
+        [("TIN", "metal", None, None), ("OAK", "wood", None, None)], "ticker string, subsector string, from_date date, to_date date"
     )
     px = prices(spark, rows)
-    ids = spark.createDataFrame([("BASE_XLV", "XLV")], "index_id string, ticker string")
-    levels, weights = index.build_all_indices(px, universe.index_members(secs, "ALL"), px, ids, base_date="2020-01-01")
+    ids = spark.createDataFrame([("BASE_SEA", "SEA")], "index_id string, ticker string")
+    levels, weights = index.build_all_indices(px, universe.index_members(secs, "ALL"), px, ids, base_date="2010-03-01")
     counts = {r.index_id: r["count"] for r in levels.groupBy("index_id").count().collect()}
-    assert counts == {"BASE_XLV": 10, "ALL": 10, "ALL_PHARMA": 10, "ALL_PAYERS": 10}
-    assert all(r.level_pr == pytest.approx(100) for r in levels.filter(f"date = '{days[0]}'").collect())
-    assert levels_of(levels, "ALL_PHARMA")[-1][1] == pytest.approx(109.0)
-    assert weights.filter("index_id = 'ALL'").count() == 2
+    assert counts == {"BASE_SEA": 5, "ALL": 5, "ALL_METAL": 5, "ALL_WOOD": 5}
+    last = {r.index_id: (r.level_pr, r.level_tr) for r in levels.filter(f"date = '{days[-1]}'").collect()}
+    # ALL holds 800 of each: price (150 + 100) / 2, total return (150 + 110) / 2.
+    want = {"BASE_SEA": (180, 100), "ALL_METAL": (150, 150), "ALL_WOOD": (100, 110), "ALL": (125, 130)}
+    assert {k: pytest.approx(v) for k, v in want.items()} == last
+    assert sorted(r.weight for r in weights.filter("index_id = 'ALL'").collect()) == [0.5, 0.5]
     more = ids.unionByName(spark.createDataFrame([("BASE_NONE", "NONE")], "index_id string, ticker string"))
-    priced = index.priced_indices(px, universe.index_members(secs, "ALL"), more, base_date="2020-01-01")
+    priced = index.priced_indices(px, universe.index_members(secs, "ALL"), more, base_date="2010-03-01")
     assert sorted(r.index_id for r in priced.collect()) == sorted(counts)
 
 

@@ -195,3 +195,14 @@ def test_canonical_prices(spark):
     )
     wanted = spark.createDataFrame([("A",)], "ticker string")
     assert values(price_source.canonical_prices(raw, wanted, "2020-01-01"), "ticker", "date", "close") == [("A", day("2020-01-01"), 1.5)]
+
+
+def test_replay_reads_only_the_folders_asked_for(spark, tmp_path):
+    path = str(tmp_path / "landing")
+    doc = '{"observations": [{"date": "2020-01-01", "value": "1"}]}'
+    for d in (1, 2, 3):
+        landing.land_raw(pulls(spark, [(k, f"2020-05-0{d} 00:00:00", doc) for k in "ab"]), path)
+    rows = landing.read_landing(spark, path, source="S", since="2020-05-02", until="2020-05-02")
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 2 and "PartitionFilters: [isnotnull(source_dir" in text and "fetch_day" in text
+    assert landing.read_landing(spark, path).count() == 6 and landing.read_landing(spark, path, source="none").count() == 0

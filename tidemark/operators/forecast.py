@@ -62,18 +62,25 @@ def exog_features(exog: DataFrame, series_ids: list[str], *, lag: int = EXOG_LAG
 
 
 def _market_momentum(trend: DataFrame, market_id: str) -> DataFrame:
-    """The market's momentum by date.
+    """The market's momentum by date, and `_market`, true from before all dates on if there is such an index.
 
     Picked by an aggregate: a filter would be pushed down into whatever built
     the levels and make it run a second time beside the sectors' run.
     """
     mine = F.when(F.col("index_id") == market_id, F.struct("momentum"))
-    return (
-        trend.groupBy("date")
-        .agg(F.max(mine).alias("_row"))
-        .filter(F.col("_row").isNotNull())
-        .select("date", F.col("_row.momentum").alias("market_mom"))
-    )
+    rows = trend.groupBy("date").agg(F.max(mine).alias("_row")).filter(F.col("_row").isNotNull())
+    rows = rows.select("date", F.col("_row.momentum").alias("market_mom"))
+    # One row per month in all.
+    opens = F.lag("date").over(Window.partitionBy(F.lit(0)).orderBy("date")).isNull()
+    return _known_from_the_start(rows.withColumn("_opens", opens), [], "market_mom").withColumn("_market", F.lit(True))
+
+
+def _known_from_the_start(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with one more, dated before all others and without value, where `_opens`."""
+    point = F.struct("date", value)
+    early = F.struct(F.lit("0001-01-01").cast("date").alias("date"), F.lit(None).cast("double").alias(value))
+    both = F.when(F.col("_opens"), F.array(early, point)).otherwise(F.array(point))
+    return rows.select(*keys, F.inline(both))
 
 
 def _with_sector_momentum(rows: DataFrame, trend: DataFrame, sectors: DataFrame) -> DataFrame:
@@ -83,15 +90,8 @@ def _with_sector_momentum(rows: DataFrame, trend: DataFrame, sectors: DataFrame)
     kind tells that the index exists.
     """
     opens = F.lag("date").over(Window.partitionBy("index_id").orderBy("date")).isNull()
-    point = F.struct("date", "momentum")
-    early = F.struct(
-        F.lit("0001-01-01").cast("date").alias("date"), F.lit(None).cast("double").alias("momentum")
-    )
-    known_from = (
-        trend.withColumn("_opens", opens)
-        .select("index_id", F.inline(F.when(F.col("_opens"), F.array(early, point)).otherwise(F.array(point))))
-        .withColumn("_held", F.lit(True))
-    )
+    known_from = _known_from_the_start(trend.withColumn("_opens", opens), ["index_id"], "momentum")
+    known_from = known_from.withColumn("_held", F.lit(True))
     rows = rows.join(sectors.select("ticker", "index_id"), "ticker", "left")
     rows = asof_align(rows, known_from, keys=["index_id"], columns=["momentum", "_held"])
     value = F.when(F.col("_held"), F.col("momentum")).otherwise(F.lit(0.0))
@@ -116,7 +116,7 @@ def arx_features(
     (index_id, date, value), `sectors` (ticker, index_id). Every feature at a
     month end uses data up to it; the target is the next month's return. A
     ticker whose sector has no index gets a constant there, which the ridge
-    ignores. The names of the features are in `feature_names`.
+    ignores, and so do all tickers where the market has none. The names of the features are in `feature_names`.
     """
     by_ticker = Window.partitionBy("ticker").orderBy("date")
     returns = monthly_returns(prices, keys=["ticker"])
@@ -134,10 +134,12 @@ def arx_features(
             rows = _with_sector_momentum(rows, trend, sectors)
             names.append("sector_mom")
         if market_id is not None:
-            shared.append((_market_momentum(trend, market_id), ["market_mom"], None))
+            shared.append((_market_momentum(trend, market_id), ["market_mom", "_market"], None))
             names.append("market_mom")
     if shared:
         rows = asof_align_all(rows, shared, keys=[])
+    if "market_mom" in names:
+        rows = rows.withColumn("market_mom", F.when(F.col("_market"), F.col("market_mom")).otherwise(F.lit(0.0)))
     return rows.dropna(subset=[*names, "target"]).select("ticker", "date", *names, "target")
 
 

@@ -33,13 +33,19 @@ def _from_base(prices: DataFrame, base_date: dt.date | str | None) -> DataFrame:
 def rebalance_dates(
     prices: DataFrame, members: DataFrame, *, base_date: dt.date | str | None = None, rebalance: str = "Q"
 ) -> DataFrame:
-    """First trading day of each period of each index: (index_id, rebalance_date)."""
+    """First trading day of each period of each index: (index_id, rebalance_date).
+
+    Prices are reduced to one row per ticker and period before they meet the members.
+    """
     tickers = members.select("index_id", "ticker").distinct()
-    return (
+    first = (
         _from_base(prices, base_date)
-        .select("ticker", "date")
-        .join(tickers, "ticker")
-        .groupBy("index_id", period_start(F.col("date"), rebalance).alias("period"))
+        .groupBy("ticker", period_start(F.col("date"), rebalance).alias("period"))
+        .agg(F.min("date").alias("date"))
+    )
+    return (
+        first.join(tickers, "ticker")
+        .groupBy("index_id", "period")
         .agg(F.min("date").alias("rebalance_date"))
         .select("index_id", "rebalance_date")
     )

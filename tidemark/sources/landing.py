@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.numeric import known
 from tidemark.functions.text import path_slug
 from tidemark.schemas import PAYLOAD, RAW_LANDING
 
+FOLDERS = ("source_dir", "series_dir", "fetch_day")
+
 # How a payload writes "no value".
 MISSING_MARKS = (".", "")
 
@@ -31,11 +35,31 @@ def land_raw(pulls: DataFrame, path: str, *, by_series: bool = False) -> None:
     )
     folders = ["source_dir", "series_dir", "fetch_day"] if by_series else ["source_dir", "fetch_day"]
     rows = rows if by_series else rows.drop("series_dir")
-    rows.write.mode("append").partitionBy(*folders).parquet(path)
+    # Gathered by folder, so that a folder gets few files, and split again where one is large.
+    rows.hint("rebalance", *folders).write.mode("append").partitionBy(*folders).parquet(path)
 
 
-def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RAW_LANDING).option("recursiveFileLookup", "true").parquet(path)
+def read_landing(
+    spark: SparkSession,
+    path: str,
+    *,
+    source: str | None = None,
+    since: dt.date | str | None = None,
+    until: dt.date | str | None = None,
+) -> DataFrame:
+    """Landed pulls, all or those of one source and of fetch days from `since` to `until`.
+
+    The choice is made on folder names, so other folders are not read.
+    """
+    layout = T.StructType([*RAW_LANDING.fields, *[T.StructField(c, T.StringType()) for c in FOLDERS]])
+    rows = spark.read.schema(layout).parquet(path)
+    if source is not None:
+        rows = rows.filter((F.col("source_dir") == path_slug(F.lit(source))) & (F.col("source") == source))
+    if since is not None:
+        rows = rows.filter(F.col("fetch_day") >= str(since))
+    if until is not None:
+        rows = rows.filter(F.col("fetch_day") <= str(until))
+    return rows.select(*RAW_LANDING.names)
 
 
 def parse_payload(pulls: DataFrame) -> DataFrame:
