@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.numeric import change, ratio
-from tidemark.operators.align import asof_align, asof_align_all
 from tidemark.operators.signals import ar_lags, momentum, monthly_returns
 
 # The defaults of the model.
@@ -61,41 +60,54 @@ def exog_features(exog: DataFrame, series_ids: list[str], *, lag: int = EXOG_LAG
     return held.select(F.last_day("_month").alias("date"), *late)
 
 
-def _market_momentum(trend: DataFrame, market_id: str) -> DataFrame:
-    """The market's momentum by date, and `_market`, true from before all dates on if there is such an index.
+def _months(columns: list[str]) -> Column:
+    """Aggregate: one row per month as an array in order; a calendar bounds its length."""
+    return F.array_sort(F.collect_list(F.struct("date", *columns)))
 
-    Picked by an aggregate: a filter would be pushed down into whatever built
-    the levels and make it run a second time beside the sectors' run.
+
+def _in_month(months: Column, date: Column) -> Column:
+    """The element of the date's month: the last one after the end, NULL before the start.
+
+    `months` holds consecutive months, so the place follows from the distance to the first.
     """
-    mine = F.when(F.col("index_id") == market_id, F.struct("momentum"))
-    rows = trend.groupBy("date").agg(F.max(mine).alias("_row")).filter(F.col("_row").isNotNull())
-    rows = rows.select("date", F.col("_row.momentum").alias("market_mom"))
-    # One row per month in all.
-    opens = F.lag("date").over(Window.partitionBy(F.lit(0)).orderBy("date")).isNull()
-    return _known_from_the_start(rows.withColumn("_opens", opens), [], "market_mom").withColumn("_market", F.lit(True))
+    first = F.get(months, F.lit(0))["date"]
+    place = (F.year(date) - F.year(first)) * 12 + F.month(date) - F.month(first)
+    return F.get(months, F.least(place, F.size(months) - 1))
 
 
-def _known_from_the_start(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows with one more, dated before all others and without value, where `_opens`."""
-    point = F.struct("date", value)
-    early = F.struct(F.lit("0001-01-01").cast("date").alias("date"), F.lit(None).cast("double").alias(value))
-    both = F.when(F.col("_opens"), F.array(early, point)).otherwise(F.array(point))
-    return rows.select(*keys, F.inline(both))
+def _with_shared(rows: DataFrame, right: DataFrame) -> DataFrame:
+    """Columns of a frame with one row per month, the same for all tickers."""
+    columns = [c for c in right.columns if c != "date"]
+    rows = rows.withColumn("_shared", _in_month(right.agg(_months(columns)).scalar(), F.col("date")))
+    return rows.withColumns({c: F.col("_shared").getField(c) for c in columns}).drop("_shared")
 
 
-def _with_sector_momentum(rows: DataFrame, trend: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Each ticker's own sector index; a constant where there is no such index.
+def _with_momentum(
+    rows: DataFrame, trend: DataFrame, sectors: DataFrame | None, market_id: str | None
+) -> DataFrame:
+    """Momentum of each ticker's own sector and of the market; a constant where there is no such index.
 
-    Every index opens with a row dated before all others, so a match of any
-    kind tells that the index exists.
+    Indices are reduced to one row of months each, which the tickers' sectors and
+    the market are looked up in: levels are built once.
     """
-    opens = F.lag("date").over(Window.partitionBy("index_id").orderBy("date")).isNull()
-    known_from = _known_from_the_start(trend.withColumn("_opens", opens), ["index_id"], "momentum")
-    known_from = known_from.withColumn("_held", F.lit(True))
-    rows = rows.join(sectors.select("ticker", "index_id"), "ticker", "left")
-    rows = asof_align(rows, known_from, keys=["index_id"], columns=["momentum", "_held"])
-    value = F.when(F.col("_held"), F.col("momentum")).otherwise(F.lit(0.0))
-    return rows.withColumn("sector_mom", value).drop("index_id", "_held", "momentum")
+    indices = trend.groupBy("index_id").agg(_months(["momentum"]).alias("_track"))
+
+    def momentum_of(track: Column) -> Column:
+        found = F.when(F.size(track) > 0, _in_month(track, F.col("date"))["momentum"])
+        return F.when(track.isNotNull(), found).otherwise(F.lit(0.0))
+
+    if sectors is not None:
+        rows = (
+            rows.join(sectors.select("ticker", "index_id"), "ticker", "left")
+            .join(indices, "index_id", "left")
+            .withColumn("sector_mom", momentum_of(F.col("_track")))
+            .drop("index_id", "_track")
+        )
+    if market_id is not None:
+        # By an aggregate: a filter would be pushed down into whatever built the levels and run it again.
+        mine = F.first(F.when(F.col("index_id") == market_id, F.col("_track")), ignorenulls=True)
+        rows = rows.withColumn("market_mom", momentum_of(indices.agg(mine).scalar()))
+    return rows
 
 
 def arx_features(
@@ -122,24 +134,13 @@ def arx_features(
     returns = monthly_returns(prices, keys=["ticker"])
     rows = ar_lags(returns, ar_order, keys=["ticker"]).withColumn("target", F.lead("ret_lag0").over(by_ticker))
     names = [f"ret_lag{i}" for i in range(ar_order)]
-    shared = []
     if exog is not None and exog_ids:
         found = exog_features(exog, exog_ids, lag=exog_lag)
-        columns = [c for c in found.columns if c != "date"]
-        shared.append((found, columns, None))
-        names += columns
+        rows = _with_shared(rows, found)
+        names += [c for c in found.columns if c != "date"]
     if levels is not None:
-        trend = momentum(levels, momentum_window, keys=["index_id"])
-        if sectors is not None:
-            rows = _with_sector_momentum(rows, trend, sectors)
-            names.append("sector_mom")
-        if market_id is not None:
-            shared.append((_market_momentum(trend, market_id), ["market_mom", "_market"], None))
-            names.append("market_mom")
-    if shared:
-        rows = asof_align_all(rows, shared, keys=[])
-    if "market_mom" in names:
-        rows = rows.withColumn("market_mom", F.when(F.col("_market"), F.col("market_mom")).otherwise(F.lit(0.0)))
+        rows = _with_momentum(rows, momentum(levels, momentum_window, keys=["index_id"]), sectors, market_id)
+        names += ["sector_mom"] * (sectors is not None) + ["market_mom"] * (market_id is not None)
     return rows.dropna(subset=[*names, "target"]).select("ticker", "date", *names, "target")
 
 
