@@ -174,7 +174,13 @@ def diffusion(
 
 def relative_strength(a: DataFrame, b: DataFrame, *, keys: list[str], base: float = 100.0) -> DataFrame:
     """a / b on their common dates, scaled to start at `base`."""
-    pair = inner_align(a, b, keys=keys).withColumn("_ratio", ratio(F.col("a"), F.col("b")))
+    return strength_of(inner_align(a, b, keys=keys), keys=keys, base=base)
+
+
+def strength_of(pair: DataFrame, *, keys: list[str], base: float = 100.0) -> DataFrame:
+    """a / b of rows that hold both, scaled to start at `base`; rows without one of them don't count."""
+    both = pair.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    pair = both.withColumn("_ratio", ratio(F.col("a"), F.col("b")))
     whole = _ordered(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     line = ratio(F.col("_ratio"), F.first("_ratio").over(whole)) * base
     return pair.select(*keys, "date", line.alias("strength"))
@@ -182,8 +188,13 @@ def relative_strength(a: DataFrame, b: DataFrame, *, keys: list[str], base: floa
 
 def rebased_pair(a: DataFrame, b: DataFrame, *, keys: list[str], base: float = 100.0) -> DataFrame:
     """Both series on their common dates, each scaled to start at `base`."""
+    return rebased_of(inner_align(a, b, keys=keys), keys=keys, base=base)
+
+
+def rebased_of(pair: DataFrame, *, keys: list[str], base: float = 100.0) -> DataFrame:
+    """Columns a and b of rows that hold both, each scaled to start at `base`."""
     whole = _ordered(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pair = inner_align(a, b, keys=keys)
+    pair = pair.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     return pair.select(
         *keys,
         "date",

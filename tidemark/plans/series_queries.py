@@ -39,29 +39,26 @@ def asof_known(spark, sf_dir):
     return align.asof_known(days.select(series, "date"), vintages, keys=["series_id"])
 
 
-def _stock_and_sector(spark, sf_dir):
-    """Two panels keyed by ticker: its own adjusted close and its sector index."""
-    own = c.adjusted(spark, sf_dir)
+def _stock_with_sector(spark, sf_dir):
+    """(ticker, date, a, b): each stock's adjusted close next to its sector index."""
     # By (index, day) and not by index alone: a sector may hold a third of all stocks.
-    sector = (
-        own.select("ticker", "date")
+    return (
+        c.adjusted(spark, sf_dir)
         .join(c.sector_of(spark, sf_dir), "ticker")
-        .join(c.total_return(spark, sf_dir), ["index_id", "date"])
-        .select("ticker", "date", "value")
+        .withColumnRenamed("value", "a")
+        .join(c.total_return(spark, sf_dir).withColumnRenamed("value", "b"), ["index_id", "date"])
+        .select("ticker", "date", "a", "b")
     )
-    return own, sector
 
 
 def relative_strength(spark, sf_dir):
-    own, sector = _stock_and_sector(spark, sf_dir)
-    return signals.relative_strength(own, sector, keys=["ticker"]).select(
+    return signals.strength_of(_stock_with_sector(spark, sf_dir), keys=["ticker"]).select(
         "ticker", "date", c.sig("strength").alias("strength")
     )
 
 
 def rebased_pair(spark, sf_dir):
-    own, sector = _stock_and_sector(spark, sf_dir)
-    return signals.rebased_pair(own, sector, keys=["ticker"]).select(
+    return signals.rebased_of(_stock_with_sector(spark, sf_dir), keys=["ticker"]).select(
         "ticker", "date", c.sig("a").alias("a"), c.sig("b").alias("b")
     )
 
