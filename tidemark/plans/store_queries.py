@@ -27,10 +27,7 @@ def land_raw(spark, sf_dir):
     path = new_workspace(spark, "landing")
     landing.land_raw(tables.landing(spark, sf_dir), path)
     pulls = landing.read_landing(spark, path)
-    rows = landing.parse_payload(pulls)
-    return rows.groupBy("source", "series_id", "as_of").agg(
-        F.count("pos").alias("entries"), F.min("date").alias("first_date"), F.count("value").alias("known")
-    )
+    return landing.parse_payload(pulls).select("source", "series_id", "as_of", "date", "value")
 
 
 def replay_landing(spark, sf_dir):
@@ -195,20 +192,18 @@ def stored_prices(spark, sf_dir):
 
 
 def replace_index(spark, sf_dir):
-    """All indices written, then half of their base replaced for the sub-sectors only."""
+    """All indices written, then half of their base replaced for the sub-sectors only: stored levels and weights."""
     root = new_workspace(spark, "replace")
     px, mem = tables.prices(spark, sf_dir), c.members(spark, sf_dir)
     for base, rows in ((100.0, mem), (50.0, mem.filter(F.col("index_id") != c.MARKET))):
         levels, weights = index.build_index(px, rows, base_value=base, base_date=c.BASE_DATE)
         writers.replace_index(levels, weights, f"{root}/values", f"{root}/weights")
     values = writers.read_index_values(spark, f"{root}/values")
-    weights = writers.read_index_weights(spark, f"{root}/weights")
-    n = weights.groupBy("index_id").agg(F.count(F.lit(1)).alias("weight_rows"))
-    first = values.groupBy("index_id").agg(
-        F.count(F.lit(1)).alias("level_rows"), c.sig(F.min_by("level_pr", "date")).alias("first_level"),
-        c.sig(F.max_by("level_pr", "date")).alias("last_level"),
+    weights = writers.read_index_weights(spark, f"{root}/weights").withColumnRenamed("rebalance_date", "date")
+    none = F.lit(None).cast("string")
+    return values.select("index_id", "date", none.alias("ticker"), c.sig("level_tr").alias("value")).unionByName(
+        weights.select("index_id", "date", "ticker", c.sig("weight").alias("value"))
     )
-    return first.join(n, "index_id", "left")
 
 
 def prices_wide(spark, sf_dir):
@@ -260,8 +255,7 @@ QUERIES = {
     "land_raw": (
         land_raw,
         sql(
-            """SELECT source, series_id, as_of, count(*) AS entries, min(date) AS first_date,
-                      count(value) AS known FROM landed GROUP BY ALL""",
+            "SELECT source, series_id, as_of, date, value FROM landed",
             "landed",
         ),
     ),
@@ -389,13 +383,11 @@ QUERIES = {
     "replace_index": (
         replace_index,
         sql(
-            f"""SELECT index_id, level_rows, {sig('f * CASE WHEN index_id = $$ALL$$ THEN 1 ELSE 0.5 END')} AS first_level,
-                       {sig('l * CASE WHEN index_id = $$ALL$$ THEN 1 ELSE 0.5 END')} AS last_level, weight_rows
-                FROM (SELECT index_id, count(*) AS level_rows, arg_min(level_pr, date) AS f,
-                             arg_max(level_pr, date) AS l FROM lev GROUP BY index_id)
-                LEFT JOIN (SELECT index_id, count(*) AS weight_rows FROM wt GROUP BY index_id) USING (index_id)""",
+            f"""SELECT index_id, date, NULL::varchar AS ticker,
+                       {sig("level_tr * CASE WHEN index_id = 'ALL' THEN 1 ELSE 0.5 END")} AS value FROM lev
+                UNION ALL SELECT index_id, k, ticker, {sig('weight')} FROM wt""",
             "lev", "wt",
-        ).replace("$$ALL$$", "'ALL'"),
+        ),
     ),
     "series_meta": (series_meta, sql("SELECT * FROM meta", "meta")),
     "series_bounds": (
