@@ -16,36 +16,54 @@ document meets all blocks, and documents aren't shuffled.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import word_count
-from tidemark.llm.words import Names, mix, split
+from tidemark.llm.words import mix, split
 
 SHORTEST, LONGEST = 3, 8
 MATCH, MISS, GAP = 2, -1, -1
 FOUND = "doc_id long, item_id long, score double, first_word int, last_word int"
 _EDGE = ".,;:!?\"'()[]{}<>|*_-"
+_EDGE_BYTES = _EDGE.encode()
 
 
-class PlainNames(Names):
-    """Names of words without case and without marks at their ends; what is nothing else is 0."""
+def plain_word(word: bytes) -> str:
+    """A word without case and without marks at its ends."""
+    return word.decode("utf-8", "surrogatepass").strip(_EDGE).lower()
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) >= self.most:
-            self.clear()
-        plain = word.decode("utf-8", "surrogatepass").strip(_EDGE).lower()
-        name = self[word] = xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) | 1 if plain else 0
-        return name
+class Numbers:
+    """Words as numbers of a vocabulary of plain words, 0 for any other word; bare marks are left out.
+
+    Remembers a bounded number of words.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], most: int = 400_000):
+        self.vocabulary = {w.encode("utf-8", "surrogatepass"): k for w, k in vocabulary.items()}
+        self.known: dict[bytes, int] = {}
+        self.most = most
+
+    def number(self, word: bytes) -> int:
+        # As plain_word(), without decoding what is ASCII.
+        plain = word.strip(_EDGE_BYTES)
+        plain = plain.lower() if plain.isascii() else plain_word(plain).encode("utf-8", "surrogatepass")
+        return self.vocabulary.get(plain, 0) if plain else -1
 
     def text(self, text: str | None) -> np.ndarray:
-        names = self.of(split(text))
-        return names[names != 0]
+        words = split(text)
+        numbers = np.fromiter(map(self.known.get, words, repeat(-2)), np.int64, len(words))
+        for i in np.flatnonzero(numbers == -2).tolist():
+            word = words[i]
+            numbers[i] = self.known[word] = self.number(word)
+        if len(self.known) > self.most:
+            self.known.clear()
+        return numbers[numbers >= 0]
 
 
 def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -57,29 +75,24 @@ def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int,
         yield [tuple(r) for r in items.where(slot == k).select("item_id", "text").where("text IS NOT NULL").collect()]
 
 
-def word_shares(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
-    """Words of all docs, and how many of them are each of the sorted `vocabulary`."""
+def word_counts(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[int, np.ndarray]:
+    """Words of all docs, and how many of them are each of the vocabulary, by number."""
+    size = len(vocabulary) + 1
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, counts, total = PlainNames(), np.zeros(len(vocabulary), np.int64), 0
+        numbers, counts = Numbers(vocabulary), np.zeros(size, np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                x = names.text(text)
-                total += len(x)
-                at = np.minimum(np.searchsorted(vocabulary, x), len(vocabulary) - 1)
-                counts += np.bincount(at[vocabulary[at] == x], minlength=len(vocabulary))
+            for at in range(0, len(batch), 100):
+                some = [numbers.text(text) for text in batch["text"].iloc[at : at + 100]]
+                counts += np.bincount(np.concatenate(some), minlength=size)
         seen = np.flatnonzero(counts)
-        yield pd.DataFrame({"word": np.append(-1, seen), "n": np.append(total, counts[seen])})
+        yield pd.DataFrame({"word": seen, "n": counts[seen]})
 
     rows = docs.select("text").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n")).collect()
-    counts = np.zeros(len(vocabulary))
-    total = 0
+    counts = np.zeros(size)
     for word, n in rows:
-        if word < 0:
-            total = n
-        else:
-            counts[word] = n
-    return total, counts
+        counts[word] = n
+    return int(counts.sum()), counts
 
 
 def gram(names: np.ndarray, n: int) -> np.ndarray:
@@ -87,9 +100,13 @@ def gram(names: np.ndarray, n: int) -> np.ndarray:
     m = len(names) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(m, n, np.uint64)
+    return gram_at(names, np.arange(m), n)
+
+
+def gram_at(names: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(len(at), n, np.uint64)
     for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + names[k : k + m]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + names[at + k].astype(np.uint64)
     return mix(out)
 
 
@@ -118,15 +135,22 @@ class Seeds:
             self.by_length[n] = (values, np.array([r[1:] for r in rows], np.int64), sieve)
 
     def hits(self, names: np.ndarray) -> np.ndarray:
-        """Rows (item, start of the item in the document, were it copied there word by word)."""
+        """Rows (place, item, start of the item in the text, were it copied there word by word)."""
         out = []
-        for n, (values, places, sieve) in self.by_length.items():
-            h = gram(names, n)
-            at = np.flatnonzero(sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            low, high = np.searchsorted(values, h[at]), np.searchsorted(values, h[at], "right")
-            for p, a, b in zip(at[high > low], low[high > low], high[high > low]):
-                out += [(places[j, 0], p - places[j, 1]) for j in range(a, b)]
-        return np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
+        run, at, reach = 0, np.arange(len(names)), names > 0
+        for n in sorted(self.by_length):
+            values, places, sieve = self.by_length[n]
+            while run < n:  # words from which n words of the vocabulary follow each other
+                at = at[at + run < len(names)]
+                at = at[reach[at + run]]
+                run += 1
+            h = gram_at(names, at, n)
+            some = sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
+            p, h = at[some], h[some]
+            low, high = np.searchsorted(values, h), np.searchsorted(values, h, "right")
+            for q, a, b in zip(p[high > low], low[high > low], high[high > low]):
+                out += [(q, places[j, 0], q - places[j, 1]) for j in range(a, b)]
+        return np.array(out, np.int64).reshape(-1, 3)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
@@ -145,12 +169,14 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def aligned(names: np.ndarray, items: list[np.ndarray], seeds: Seeds, least: float) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, last word) of the best place of each item that scores `least` or more."""
+def aligned(names: np.ndarray, items: list[np.ndarray], hits: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
+    """(item, score, first word, last word) of the best place of each item that scores `least` or more.
+
+    hits: rows (item, start), where the item would begin.
+    """
     out: dict[int, tuple[float, int, int]] = {}
-    hits = seeds.hits(names)
     reach: dict[int, int] = {}
-    for k, start in hits:
+    for k, start in np.unique(hits, axis=0):
         item = items[k]
         slack = max(4, len(item) // 2)
         if start < reach.get(k, -(1 << 60)):
@@ -168,24 +194,43 @@ class Scanner:
     """Finds the items of one block in texts; made on the driver, used in tasks."""
 
     def __init__(self, block: list[tuple[int, str]], docs: DataFrame, least: float, chance: float, min_words: int):
-        plain = PlainNames()
-        named = [(i, plain.text(t)) for i, t in block]
+        named = [(i, [w for w in map(plain_word, split(t)) if w]) for i, t in block]
         named = [(i, x) for i, x in named if len(x) >= min_words]
-        self.ids, self.items, self.least = [i for i, _ in named], [x for _, x in named], least
-        self.seeds = None
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, x in named for w in x}), 1)}
+        self.ids, self.least, self.seeds = [i for i, _ in named], least, None
+        self.items = [np.array([self.vocabulary[w] for w in x], np.int64) for _, x in named]
         if named:
-            vocabulary = np.unique(np.concatenate(self.items))
-            total, counts = word_shares(docs, vocabulary)
-
-            def share(x: np.ndarray) -> np.ndarray:
-                return np.maximum(counts[np.searchsorted(vocabulary, x)], 1) / max(total, 1)
-
-            self.seeds = Seeds(self.items, share, total, chance)
-
-    def __call__(self, names: np.ndarray) -> list[tuple]:
-        if self.seeds is None or not len(names):
-            return []
-        return [(self.ids[k], *x) for k, *x in aligned(names, self.items, self.seeds, self.least)]
+            total, counts = word_counts(docs, self.vocabulary)
+            share = np.maximum(counts, 1) / max(total, 1)
+            self.seeds = Seeds(self.items, lambda x: share[x], total, chance)
+
+    def __call__(self, texts: Iterable[str | None], together: int = 300_000) -> Iterator[list[tuple]]:
+        """For each text the (item_id, score, first_word, last_word) found; texts are searched some at a time."""
+        numbers, held, size = Numbers(self.vocabulary), [], 0
+        for text in texts:
+            held.append(numbers.text(text) if self.seeds is not None else np.empty(0, np.int64))
+            size += len(held[-1]) + 1
+            if size >= together:
+                yield from self._search(held)
+                held, size = [], 0
+        yield from self._search(held)
+
+    def _search(self, held: list[np.ndarray]) -> Iterator[list[tuple]]:
+        starts = np.append(0, np.cumsum([len(x) + 1 for x in held])).astype(np.int64)
+        hits = np.empty((0, 3), np.int64)
+        if self.seeds is not None and len(held):
+            # A 0 between texts, over which no seed reaches.
+            hits = self.seeds.hits(np.concatenate([y for x in held for y in (x, np.zeros(1, np.int64))]))
+        owner = np.searchsorted(starts, hits[:, 0], "right") - 1
+        order = np.argsort(owner, kind="stable")
+        hits, owner = hits[order], owner[order]
+        for k, names in enumerate(held):
+            own = hits[np.searchsorted(owner, k) : np.searchsorted(owner, k, "right"), 1:]
+            if not len(own):
+                yield []
+                continue
+            own = own - np.array([0, starts[k]])
+            yield [(self.ids[i], *x) for i, *x in aligned(names, self.items, own, self.least)]
 
 
 def scanners(docs, items, *, least=0.5, chance=1e-3, min_words=5, block_words=1_000_000) -> Iterator[Scanner]:
@@ -208,13 +253,8 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     for scan in scanners(docs, items, **options):
 
         def search(batches: Iterator[pd.DataFrame], scan: Scanner = scan) -> Iterator[pd.DataFrame]:
-            plain = PlainNames()
             for batch in batches:
-                rows = [
-                    (doc, *x)
-                    for doc, text in batch.itertuples(index=False, name=None)
-                    for x in scan(plain.text(text))
-                ]
+                rows = [(doc, *x) for doc, found in zip(batch["doc_id"], scan(batch["text"])) for x in found]
                 frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "last_word"])
                 yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
 
@@ -228,12 +268,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
     for scan in scanners(docs, items, **options):
 
         def clean(batches: Iterator, scan: Scanner = scan) -> Iterator:
-            plain = PlainNames()
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                import pyarrow as pa
+            import pyarrow as pa
 
-                yield batch.filter(pa.array([not scan(plain.text(t)) for t in texts], pa.bool_()))
+            for batch in batches:
+                # One text at a time: a batch of long texts is not held twice.
+                keep = [not found for found in scan(t.as_py() for t in batch.column("text"))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
