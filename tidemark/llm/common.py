@@ -43,11 +43,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once, inside lambdas too."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def uniform(*parts: Column | int | str) -> Column:
     """A double in [0, 1) that depends on the parts alone."""
     hashed = F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
