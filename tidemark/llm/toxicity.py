@@ -55,7 +55,7 @@ def features(word: bytes) -> tuple[int, ...]:
 class Reader:
     """Distinct features of a text among the chosen ones, by their number."""
 
-    def __init__(self, chosen: np.ndarray | None = None, most: int = 300_000):
+    def __init__(self, chosen: np.ndarray | None = None, most: int = 100_000):
         self.number = None if chosen is None else {int(x): k for k, x in enumerate(chosen)}
         self.words: dict[bytes, tuple[int, ...]] = {}
         self.most = most
@@ -167,18 +167,25 @@ def train(
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, counts, totals = Reader(), (Counter(), Counter()), [0, 0]
-        for batch in batches:
-            for toxic, text in batch.itertuples(index=False, name=None):
-                counts[int(toxic > 0)].update(read(text))
-                totals[int(toxic > 0)] += 1
-        keys = list(set(counts[0]) | set(counts[1]))
-        yield pd.DataFrame(
-            {
+
+        def told() -> pd.DataFrame:
+            keys = list(set(counts[0]) | set(counts[1]))
+            rows = {
                 "feature": [-1, *keys],
                 "clean": [totals[0], *(counts[0][k] for k in keys)],
                 "toxic": [totals[1], *(counts[1][k] for k in keys)],
             }
-        )
+            counts[0].clear(), counts[1].clear()
+            totals[:] = [0, 0]
+            return pd.DataFrame(rows)
+
+        for batch in batches:
+            for toxic, text in batch.itertuples(index=False, name=None):
+                counts[int(toxic > 0)].update(read(text))
+                totals[int(toxic > 0)] += 1
+                if len(counts[0]) + len(counts[1]) > 200_000:  # bounds the task's memory
+                    yield told()
+        yield told()
 
     tallied = (
         labelled.mapInPandas(tally, "feature long, clean long, toxic long")
@@ -243,7 +250,7 @@ def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
         of = model.scorer()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield batch.filter(pa.array([of(x) < least for x in texts], pa.bool_()))
+            # One text at a time: a batch of long texts is not held twice.
+            yield batch.filter(pa.array([of(x.as_py()) < least for x in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

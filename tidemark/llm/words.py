@@ -8,7 +8,7 @@ import numpy as np
 class Names(dict):
     """Word (bytes) -> 64-bit name, remembered for a bounded number of words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
