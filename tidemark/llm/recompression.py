@@ -109,7 +109,7 @@ def window_keys(names: np.ndarray, width: int, rounds: int = ROUNDS) -> np.ndarr
         best = np.full(n, none, np.uint64)
         np.minimum.at(best, window, np.repeat(key, span))
         keys[open_] = best[open_]
-    return keys
+    return mix(keys)  # spread evenly over all values, by which they are dealt out
 
 
 class Block:
