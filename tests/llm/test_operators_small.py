@@ -247,6 +247,22 @@ def test_battery():
     assert secrets.chi_squared_p(3.84, 1) == pytest.approx(0.05, abs=0.01)
 
 
+def test_secrets_of_one_class(spark):
+    rng = random.Random(19)
+    parts = "the ing tion er en ver heit keit lich ung re que men te con se do lla ar is and of".split()
+    word = lambda n: "".join(rng.choice(parts) for _ in range(n))
+    text = lambda n: " ".join(word(rng.choice((1, 1, 2, 3))) for _ in range(n))
+    rows = [(k, f"{text(300)} {word(8)}abcdefgh {word(7).upper()}ABCDEFGHI {text(5)}") for k in range(60)]
+    chars = "abcdefghijklmnopqrstuvwxyz"
+    drawn = [("".join(rng.choice(a) for _ in range(n))) for a in (chars, chars.upper()) for n in (16, 24, 32, 64) for _ in range(5)]
+    rows += [(100 + k, f"{text(20)} {x} {text(20)}") for k, x in enumerate(drawn)]
+    texts = {k: t for k, t in rows}
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs_of(spark, rows)).select("doc_id", secrets.spans_text("spans").alias("spans")).collect()}
+    right = [got[100 + k] == f"random:{texts[100 + k].index(x)}:{texts[100 + k].index(x) + len(x)}" for k, x in enumerate(drawn)]
+    assert sum(right) >= 36  # of 40; the battery rejects a few
+    assert not any(got[k] for k in range(60))
+
+
 # --- toxicity --------------------------------------------------------------------------------
 
 

@@ -7,11 +7,20 @@ Does it look random in that alphabet? Chi-squared test of uniform use, runs test
 about the middle of the alphabet, serial correlation of neighbours. A candidate
 that any of them rejects (Bonferroni over the three) is no secret.
 
-Does it look like language? Words, paths and names rarely change between capitals,
-small letters, digits and signs from one character to the next. The chance of that
-many changes in text of that length is its p-value. Over all candidates of all
-documents the false discovery rate is controlled (Benjamini-Hochberg), p-values
-weighted by length: a long string has more power, so it gets more of the budget.
+Could it be ordinary text? The same three questions are put against the letters of
+the whole corpus outside of candidates: how often each is used, how often text moves
+between the halves of the alphabet, which letters follow each other. The likelihood
+of the candidate as text over that as random letters is a p-value for text, as such a
+ratio exceeds 1 / p with chance p at most. A fourth piece of evidence is how often the
+candidate changes between capitals, small letters, digits and signs, which words, paths
+and names rarely do. The least of the four is the p-value, each over its share of the
+level: nine tenths for the changes, the rest for the letters, which tell far more a
+character. Strings of one class of characters have three of them. Digits say nothing
+by themselves.
+
+Over all candidates of all documents the false discovery rate is controlled
+(Benjamini-Hochberg), p-values weighted by length: a long string has more power, so it
+gets more of the budget.
 """
 
 from __future__ import annotations
@@ -20,6 +29,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -134,6 +144,91 @@ def language_p(token: str, rate: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in log))
 
 
+# Letters, any other character being one more; pseudo-counts of a row of pairs, so
+# that a corpus of a few hundred letters says next to nothing.
+LETTERS = 26
+PRIOR = 676.0
+CHANGES = 0.9  # of the level, for changes of class
+_FOLD = np.full(256, LETTERS, np.uint16)
+for _k in range(LETTERS):
+    _FOLD[ord("a") + _k] = _FOLD[ord("A") + _k] = _k
+
+
+def folded(text: str) -> np.ndarray:
+    """Letters as numbers without case, one number for all else."""
+    return _FOLD[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+
+
+class Background:
+    """How ordinary text uses letters, from the counts of pairs of neighbours, LETTERS standing for all else."""
+
+    def __init__(self, pairs: np.ndarray):
+        letters = pairs[:LETTERS].sum(axis=1) + pairs[:, :LETTERS].sum(axis=0)
+        self.single = (letters + PRIOR / LETTERS) / (letters.sum() + PRIOR)
+        inner = pairs[:LETTERS, :LETTERS]
+        self.next = (inner + PRIOR * self.single) / (inner.sum(axis=1, keepdims=True) + PRIOR)
+        self.known: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def ratios(self, alphabet: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logs of text over random letters of the alphabet: of a letter, of a letter's half after another, of a pair.
+
+        Nothing is said where a character is no letter.
+        """
+        if alphabet not in self.known:
+            own = np.unique(folded(alphabet))
+            own = own[own < LETTERS].astype(np.int64)
+            n = len(own)
+            use, runs, pairs = np.zeros(LETTERS + 1), np.zeros((LETTERS + 1,) * 2), np.zeros((LETTERS + 1,) * 2)
+            if n:
+                single = self.single[own] / self.single[own].sum()
+                follow = self.next[np.ix_(own, own)]
+                follow = follow / follow.sum(axis=1, keepdims=True)
+                use[own], pairs[np.ix_(own, own)] = np.log(single * n), np.log(follow * n)
+                half = 2 * np.arange(n) >= n
+                for x in (False, True):
+                    for y in (False, True):
+                        if (half == x).any() and (half == y).any():
+                            text = single[half == x] @ follow[np.ix_(half == x, half == y)].sum(axis=1)
+                            text /= single[half == x].sum() * (half == y).mean()
+                            runs[np.ix_(own[half == x], own[half == y])] = math.log(text)
+            self.known[alphabet] = use, runs, pairs
+        return self.known[alphabet]
+
+    def text_p(self, token: str) -> tuple[float, float, float]:
+        """Chances that ordinary text has letters, runs and neighbours as random as those of the token."""
+        use, runs, pairs = self.ratios(alphabet_of(token))
+        at = folded(token)
+        a, b = at[:-1], at[1:]
+        first = use[at[:1]].sum()  # no letter before it
+        # A letter after another character starts anew.
+        fresh = first + use[b[a == LETTERS]].sum()
+        return tuple(math.exp(min(0.0, x)) for x in (use[at].sum(), runs[a, b].sum(), fresh + pairs[a, b].sum()))
+
+
+def background(docs: DataFrame) -> Background:
+    """The letters of all texts outside of candidates."""
+    side = LETTERS + 1
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        candidate, counts = re.compile(CANDIDATE), np.zeros(side * side, np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                at = folded(candidate.sub(" ", text or ""))
+                counts += np.bincount(at[:-1] * side + at[1:], minlength=side * side)
+        seen = np.flatnonzero(counts)
+        yield pd.DataFrame({"pair": seen, "n": counts[seen]})
+
+    counts = np.zeros(side * side)
+    for pair, n in docs.select("text").mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n")).collect():
+        counts[pair] = n
+    return Background(counts.reshape(side, side))
+
+
+def text_p(token: str, letters: Background, rate: float) -> float:
+    """Chance that ordinary text looks as random as the token: the least of four, each over its share of the level."""
+    return min(1.0, language_p(token, rate) / CHANGES, *(3 * p / (1 - CHANGES) for p in letters.text_p(token)))
+
+
 _SPAN = "array<struct<start: int, kind: int, end: int>>"
 FOUND = (
     f"doc_id long, base {_SPAN}, tested long, letters long, "
@@ -141,7 +236,7 @@ FOUND = (
 )
 
 
-def scan(docs: DataFrame, rate: float, level: float, reject: float) -> DataFrame:
+def scan(docs: DataFrame, letters: Background, rate: float, level: float, reject: float) -> DataFrame:
     """Known spans of each document, its candidates counted, and those that may be secrets."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,19 +249,21 @@ def scan(docs: DataFrame, rate: float, level: float, reject: float) -> DataFrame
                 base += [(m.start(), 1, m.end()) for m in access.finditer(text)]
                 base += [(m.start(), 2, m.end()) for m in hexes.finditer(text)]
                 base.sort()
-                tested = letters = 0
+                tested = size = 0
                 open_ = []
                 for m in candidate.finditer(text):
                     token = m[0].rstrip("=")
                     tested += 1
-                    letters += len(token)
-                    p = language_p(token, rate)
+                    size += len(token)
+                    if any(a < m.end() and m.start() < b for a, _, b in base):
+                        continue
+                    p = text_p(token, letters, rate)
                     # No weight lets more than level * length / 16 through.
-                    if p > level * len(token) / 16 or any(a < m.end() and m.start() < b for a, _, b in base):
+                    if p > level * len(token) / 16:
                         continue
                     if randomness_p(token) >= reject:
                         open_.append((m.start(), m.end(), len(token), math.log10(max(p, 1e-300))))
-                rows.append((doc, base, tested, letters, open_))
+                rows.append((doc, base, tested, size, open_))
             yield pd.DataFrame(rows, columns=["doc_id", "base", "tested", "letters", "open"]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(search, FOUND)
@@ -181,7 +278,7 @@ def find_secrets(docs: DataFrame, *, level: float = 0.01, reject: float = 0.01,
     of character. One row for each row of docs; null texts are empty; ids may be null
     or repeated; other columns are ignored.
     """
-    found = durable(scan(docs, rate, level, reject), "secrets")
+    found = durable(scan(docs, background(docs), rate, level, reject), "secrets")
     total = found.agg(F.sum("tested").alias("m"), F.sum("letters").alias("n")).first()
     m, mean = total["m"] or 0, (total["n"] or 0) / max(total["m"] or 0, 1)
     # Weighted p-values in steps of a fiftieth of a power of ten, rounded up: a short table, whatever the input.
