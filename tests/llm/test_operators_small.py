@@ -530,6 +530,39 @@ def test_decontamination(spark):
     assert none.collect() == [] and decontaminate.contaminated(docs.limit(0), docs_of(spark, items, "item_id long, text string")).collect() == []
 
 
+def test_heavy_edits_against_full_alignment(spark):
+    rng = random.Random(20)
+    # Few words, most of them common, so that items and texts share many by chance.
+    draw = lambda n: [f"v{min(int(rng.expovariate(0.02)), 400)}" for _ in range(n)]
+    items = [draw(n) for n in (5, 6, 7, 9, 12, 15, 20, 31, 38, 59)]
+    swap = lambda w, step: ["new" if k % step == step - 1 else x for k, x in enumerate(w)]
+    drop = lambda w, step: [x for k, x in enumerate(w) if k % step != step - 1]
+    weave = lambda w: [y for x in w for y in (x, "new")]
+
+    def some(w, share):
+        out = []
+        for x in w:
+            kind = rng.choice("sid") if rng.random() < share else "k"
+            out += {"k": [x], "s": draw(1), "i": [x, *draw(1)], "d": []}[kind]
+        return out
+
+    texts = []
+    for w in items:
+        copies = [swap(w, 3), swap(w, 4), drop(w, 3), weave(w), *(some(w, rng.uniform(0.1, 0.8)) for _ in range(12))]
+        texts += [draw(rng.randrange(60)) + x + draw(rng.randrange(60)) for x in copies]
+    number = {x: k for k, x in enumerate(sorted({x for w in items for x in w}), 1)}
+    want = {}
+    for doc, text in enumerate(texts):
+        for item, w in enumerate(items):
+            score, _ = decontaminate.align(np.array([number[x] for x in w]), np.array([number.get(x, 0) for x in text]))
+            if score >= 0.5:
+                want[doc, item] = score
+    docs = docs_of(spark, [(k, " ".join(x)) for k, x in enumerate(texts)])
+    got = decontaminate.contaminated(docs, docs_of(spark, [(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()} == want
+    assert all((16 * k + j, k) in want for k, w in enumerate(items) for j in range(4) if j or len(w) % 3 == 0)
+
+
 def test_alignment_against_the_textbook():
     rng = random.Random(17)
     for _ in range(60):

@@ -1,13 +1,18 @@
-"""Benchmark decontamination: rare seeds find candidates, local alignment scores them.
-
-Seeds are word n-grams of the test items. From each word of an item on, the
-shortest n-gram is taken that the corpus would hold by chance less than `chance`
-times, going by how often its words occur in all documents. That a passage was
-copied into many documents makes none of its seeds common.
-
-Where a document holds a seed, the stretch around it that the item would cover is
-aligned with the item (Smith-Waterman over words), so copies with changed, dropped
-or added words still score. The score is the share of the best possible one.
+"""Benchmark decontamination: gapped pairs of words find candidates, local alignment scores them.
+
+A copy scores the share of the best possible alignment (Smith-Waterman over words), so
+copies with changed, dropped or added words count as well. With L words in the item, M
+of them matched and E edits between them, 2 M - E >= 2 `least` L. Of the M - 1 pairs of
+matches that follow each other at most E / 2 have two edits or more between them, so at
+least `least` L - 1 have none or one: the pair stands next to each other or one word
+apart, in the item and in the text. All matches of the copy lie on diagonals (place in
+the text less place in the item) that differ by E <= 2 (1 - `least`) L at most.
+
+So an item's seeds are its pairs of words at distance one and two, and a stretch of text
+is a candidate where enough of them fall on near diagonals. The places whose pairs are
+commonest in the documents are left out of an item's seeds, and as many hits less are
+asked for: whatever is left out, no copy is lost, at any size of the corpus. Candidates
+are aligned with the item and scored.
 
 Test items are read in blocks of bounded size; each block goes to every task, each
 document meets all blocks, and documents aren't shuffled.
@@ -16,7 +21,7 @@ document meets all blocks, and documents aren't shuffled.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +31,6 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.common import word_count
 from tidemark.llm.words import mix, split
 
-SHORTEST, LONGEST = 3, 8
 MATCH, MISS, GAP = 2, -1, -1
 FOUND = "doc_id long, item_id long, score double, first_word int, last_word int"
 _EDGE = ".,;:!?\"'()[]{}<>|*_-"
@@ -95,62 +99,90 @@ def word_counts(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[int, np.nd
     return int(counts.sum()), counts
 
 
-def gram(names: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n-gram from each word on."""
-    m = len(names) - n + 1
-    if m <= 0:
-        return np.empty(0, np.uint64)
-    return gram_at(names, np.arange(m), n)
-
-
-def gram_at(names: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(len(at), n, np.uint64)
-    for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + names[at + k].astype(np.uint64)
-    return mix(out)
-
-
 class Seeds:
-    """The seeds of a block of items, by length: sorted hashes with the item and the place of each."""
+    """The seeds of a block of items: sorted hashes of pairs of words, with the item and the place of each."""
 
-    def __init__(self, items: list[np.ndarray], share: Callable[[np.ndarray], np.ndarray], total: int, chance: float):
-        found: dict[int, list[tuple[int, int, int]]] = {}
+    def __init__(self, items: list[np.ndarray], share: np.ndarray, least: float):
+        sizes = [len(names) for names in items]
+        self.need = np.zeros(len(items), np.int64)  # hits of an item at least
+        self.drift = np.array([int(2 * (1 - least) * n + 1e-9) + 1 for n in sizes], np.int64)  # diagonals of a copy
+        rows = []
         for k, names in enumerate(items):
-            logs = np.append(0.0, np.cumsum(np.log(share(names))))
-            taken = 0
-            for at in range(len(names)):
-                for n in range(min(SHORTEST, len(names)), min(LONGEST, len(names) - at) + 1):
-                    if math.log(max(total, 1)) + logs[at + n] - logs[at] <= math.log(chance):
-                        found.setdefault(n, []).append((int(gram(names[at : at + n], n)[0]), k, at))
-                        taken += 1
-                        break
-            if not taken and len(names):  # nothing rare in it: only the whole item will do
-                found.setdefault(len(names), []).append((int(gram(names, len(names))[0]), k, 0))
-        self.by_length = {}
-        for n, rows in found.items():
-            rows.sort()
-            values = np.array([r[0] for r in rows], np.uint64)
-            sieve = np.zeros(1 << 20, bool)
-            sieve[(values & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.by_length[n] = (values, np.array([r[1:] for r in rows], np.int64), sieve)
-
-    def hits(self, names: np.ndarray) -> np.ndarray:
-        """Rows (place, item, start of the item in the text, were it copied there word by word)."""
-        out = []
-        run, at, reach = 0, np.arange(len(names)), names > 0
-        for n in sorted(self.by_length):
-            values, places, sieve = self.by_length[n]
-            while run < n:  # words from which n words of the vocabulary follow each other
-                at = at[at + run < len(names)]
-                at = at[reach[at + run]]
-                run += 1
-            h = gram_at(names, at, n)
-            some = sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-            p, h = at[some], h[some]
-            low, high = np.searchsorted(values, h), np.searchsorted(values, h, "right")
-            for q, a, b in zip(p[high > low], low[high > low], high[high > low]):
-                out += [(q, places[j, 0], q - places[j, 1]) for j in range(a, b)]
-        return np.array(out, np.int64).reshape(-1, 3)
+            sure = math.ceil(least * len(names) - 1 - 1e-9)
+            if sure < 1:  # so short that one word may be enough
+                self.need[k] = 1
+                rows += [(self._hash(names, 0), np.full(len(names), k), np.arange(len(names)))]
+                continue
+            freq = share[names]
+            pairs = freq[:-1] * (freq[1:] + np.append(freq[2:], 0.0))
+            out = sure // 2
+            self.need[k] = sure - out
+            at = np.sort(np.argsort(pairs, kind="stable")[: len(pairs) - out])
+            far = at[at + 2 < len(names)]
+            for places, step in ((at, 1), (far, 2)):
+                rows.append((self._hash(names[places], names[places + step]), np.full(len(places), k), places))
+        values, owner, place = (np.concatenate(x) if rows else np.empty(0, np.int64) for x in (zip(*rows) if rows else [()] * 3))
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner, self.place = values[order].astype(np.uint64), owner[order], place[order]
+        self.bits = np.uint64((1 << max(20, (16 * len(values)).bit_length())) - 1)
+        self.sieve = np.zeros(int(self.bits) + 1, bool)
+        self.sieve[(self.values & self.bits).astype(np.int64)] = True
+        self.single = bool((self.need == 1).any())
+
+    @staticmethod
+    def _hash(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        """Of a pair of words, or of one word where the second is 0. Numbers of words are below 2^32: no two are alike."""
+        return mix((a.astype(np.uint64) << np.uint64(32)) + np.asarray(b).astype(np.uint64))
+
+    def hits(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each hit the place in the text, the item and the place in the item."""
+        found = []
+        at = np.flatnonzero(names > 0)
+        for step in (1, 2, 0) if self.single else (1, 2):
+            p = at[at + step < len(names)]
+            p = p[names[p + step] > 0]
+            h = self._hash(names[p], names[p + step] if step else 0)
+            some = self.sieve[(h & self.bits).astype(np.int64)]
+            p, h = p[some], h[some]
+            low = np.searchsorted(self.values, h)
+            n = np.searchsorted(self.values, h, "right") - low
+            p, low, n = p[n > 0], low[n > 0], n[n > 0]
+            rows = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            found.append((np.repeat(p, n), self.owner[rows], self.place[rows]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def regions(self, names: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Rows (text, item, first diagonal, last diagonal), ordered, of the stretches that may hold a copy.
+
+        names: texts one after the other, two words 0 behind each; starts: where each begins.
+        """
+        place, item, at = self.hits(names)
+        text = np.searchsorted(starts, place, "right") - 1
+        # Buckets of diagonals as wide as a copy's drift: its matches lie in two that follow each other.
+        drift = self.drift[item]
+        bucket = (place - starts[text] - at) // drift
+        least = int(bucket.min(initial=0))
+        span = int(bucket.max(initial=0)) - least + 2
+        code = (text * len(self.need) + item) * span + bucket - least
+        # First by counts of hits, then by distinct places of the item.
+        keep = self._enough(code, item)
+        code, at = code[keep], at[keep]
+        order = np.lexsort((at, code))
+        code, at = code[order], at[order]
+        code = code[np.append(True, (code[1:] != code[:-1]) | (at[1:] != at[:-1]))[: len(code)]]
+        code = np.unique(code[self._enough(code, code // span % len(self.need))])
+        item, text, bucket = code // span % len(self.need), code // span // len(self.need), code % span + least
+        drift = self.drift[item]
+        return np.stack([text, item, (bucket - 1) * drift, (bucket + 2) * drift], axis=1)
+
+    def _enough(self, code: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which rows lie in a bucket that has enough of them together with the one before or behind it."""
+        own, back, n = np.unique(code, return_inverse=True, return_counts=True)
+        next_ = np.append(own[1:] == own[:-1] + 1, False)[: len(own)]
+        beside = np.zeros(len(own), np.int64)
+        beside[:-1] = np.where(next_[:-1], n[1:], 0)
+        beside[1:] = np.maximum(beside[1:], np.where(next_[:-1], n[:-1], 0))
+        return (n + beside)[back] >= self.need[item]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
@@ -169,20 +201,21 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def aligned(names: np.ndarray, items: list[np.ndarray], hits: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
+def aligned(names: np.ndarray, items: list[np.ndarray], regions: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, last word) of the best place of each item that scores `least` or more.
 
-    hits: rows (item, start), where the item would begin.
+    regions: rows (item, first diagonal, last diagonal), ordered; those that overlap are aligned as one.
     """
     out: dict[int, tuple[float, int, int]] = {}
-    reach: dict[int, int] = {}
-    for k, start in np.unique(hits, axis=0):
-        item = items[k]
-        slack = max(4, len(item) // 2)
-        if start < reach.get(k, -(1 << 60)):
-            continue  # the stretch before has been aligned with this place in it
-        low, high = max(0, start - slack), min(len(names), start + 2 * len(item) + 2 * slack)
-        reach[k] = start + len(item) // 2 + 1
+    joined: list[list[int]] = []
+    for k, low, high in regions.tolist():
+        high += len(items[k])
+        if joined and joined[-1][0] == k and low <= joined[-1][2]:
+            joined[-1][2] = high
+        else:
+            joined.append([k, low, high])
+    for k, low, high in joined:
+        item, low = items[k], max(0, low)
         score, end = align(item, names[low:high])
         if score >= least and score > out.get(k, (0.0,))[0]:
             _, back = align(item[::-1], names[low : low + end][::-1])
@@ -193,7 +226,7 @@ def aligned(names: np.ndarray, items: list[np.ndarray], hits: np.ndarray, least:
 class Scanner:
     """Finds the items of one block in texts; made on the driver, used in tasks."""
 
-    def __init__(self, block: list[tuple[int, str]], docs: DataFrame, least: float, chance: float, min_words: int):
+    def __init__(self, block: list[tuple[int, str]], docs: DataFrame, least: float, min_words: int):
         named = [(i, [w for w in map(plain_word, split(t)) if w]) for i, t in block]
         named = [(i, x) for i, x in named if len(x) >= min_words]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, x in named for w in x}), 1)}
@@ -202,49 +235,42 @@ class Scanner:
         if named:
             total, counts = word_counts(docs, self.vocabulary)
             share = np.maximum(counts, 1) / max(total, 1)
-            self.seeds = Seeds(self.items, lambda x: share[x], total, chance)
+            self.seeds = Seeds(self.items, share, least)
 
     def __call__(self, texts: Iterable[str | None], together: int = 300_000) -> Iterator[list[tuple]]:
         """For each text the (item_id, score, first_word, last_word) found; texts are searched some at a time."""
         numbers, held, size = Numbers(self.vocabulary), [], 0
         for text in texts:
             held.append(numbers.text(text) if self.seeds is not None else np.empty(0, np.int64))
-            size += len(held[-1]) + 1
+            size += len(held[-1]) + 2
             if size >= together:
                 yield from self._search(held)
                 held, size = [], 0
         yield from self._search(held)
 
     def _search(self, held: list[np.ndarray]) -> Iterator[list[tuple]]:
-        starts = np.append(0, np.cumsum([len(x) + 1 for x in held])).astype(np.int64)
-        hits = np.empty((0, 3), np.int64)
+        starts = np.append(0, np.cumsum([len(x) + 2 for x in held])).astype(np.int64)
+        regions = np.empty((0, 4), np.int64)
         if self.seeds is not None and len(held):
-            # A 0 between texts, over which no seed reaches.
-            hits = self.seeds.hits(np.concatenate([y for x in held for y in (x, np.zeros(1, np.int64))]))
-        owner = np.searchsorted(starts, hits[:, 0], "right") - 1
-        order = np.argsort(owner, kind="stable")
-        hits, owner = hits[order], owner[order]
+            # Two words 0 between texts, over which no pair reaches.
+            regions = self.seeds.regions(np.concatenate([y for x in held for y in (x, np.zeros(2, np.int64))]), starts)
         for k, names in enumerate(held):
-            own = hits[np.searchsorted(owner, k) : np.searchsorted(owner, k, "right"), 1:]
-            if not len(own):
-                yield []
-                continue
-            own = own - np.array([0, starts[k]])
+            own = regions[np.searchsorted(regions[:, 0], k) : np.searchsorted(regions[:, 0], k, "right"), 1:]
             yield [(self.ids[i], *x) for i, *x in aligned(names, self.items, own, self.least)]
 
 
-def scanners(docs, items, *, least=0.5, chance=1e-3, min_words=5, block_words=1_000_000) -> Iterator[Scanner]:
+def scanners(docs, items, *, least=0.5, min_words=5, block_words=1_000_000) -> Iterator[Scanner]:
     for block in item_blocks(items, block_words):
-        yield Scanner(block, docs, least, chance, min_words)
+        yield Scanner(block, docs, least, min_words)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of every test item found in a document.
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. Options:
-    `least` is the score asked for, `chance` bounds how often a seed may occur by
-    chance, items with fewer than `min_words` words are left out since any text may
-    hold them, `block_words` bounds what of the items is sent to the tasks at a time.
+    `least` is the score asked for, items with fewer than `min_words` words are left out
+    since any text may hold them, `block_words` bounds what of the items is sent to the
+    tasks at a time.
     Words count without case and without marks at their ends. Null texts hold nothing,
     null ids are returned as they are, repeated rows each give theirs, and of equal
     items each is found. Empty tables give an empty one.
