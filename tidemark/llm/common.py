@@ -47,3 +47,10 @@ def uniform(*parts: Column | int | str) -> Column:
     """A double in [0, 1) that depends on the parts alone."""
     hashed = F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     return F.shiftrightunsigned(hashed, 11).cast("double") * F.lit(2.0**-53)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch data that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

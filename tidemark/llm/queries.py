@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import (
-    chat, decontaminate, minhash, mixing, recompression, secrets, sharding, syncmers, toxicity, warc,
+    centroids, chat, codes, decontaminate, minhash, mixing, packing, recompression, secrets, sharding, syncmers, toxicity,
+    warc,
 )
 from tidemark.llm.common import table, word_count
 
@@ -192,6 +193,103 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids, packed best fit decreasing into sequences of 2048."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.tokenized_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"))
+    return packing.pack(digests)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as 16 codes of one byte, from codebooks of 64 entries after two rounds."""
+    done = codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return done.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+# An id's vectors in rows of (vec_id, place, integer); a kept vector holds finite components only.
+_VECTORS_SQL = """
+kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0{more}
+), wide AS MATERIALIZED (
+  SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS k, len(v) AS dims FROM kept
+)"""
+
+
+def _op12_sql(rounds: int = 2) -> str:
+    steps = [
+        """parts AS MATERIALIZED (
+  SELECT vec_id, k // (dims // 16) AS p, k % (dims // 16) AS k, x FROM wide
+), book0 AS MATERIALIZED (
+  SELECT p, e, k, x FROM parts
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)
+)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""away{r} AS (
+  SELECT vec_id, p, e, sum((a.x - b.x) * (a.x - b.x))::BIGINT AS d
+  FROM parts a JOIN book{r} b USING (p, k) GROUP BY vec_id, p, e
+), near{r} AS MATERIALIZED (SELECT vec_id, p, min(d * 64 + e) % 64 AS e, min(d) AS d FROM away{r} GROUP BY vec_id, p)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""mean{r} AS (
+  SELECT p, e, k, sum(x)::BIGINT AS s, count(*) AS n FROM parts JOIN near{r} USING (vec_id, p) GROUP BY p, e, k
+), book{r + 1} AS MATERIALIZED (
+  SELECT p, e, k, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x
+  FROM book{r} LEFT JOIN mean{r} USING (p, e, k)
+)"""
+            )
+    last = f"near{rounds}"
+    return f"""WITH {_VECTORS_SQL.format(more="")}, {", ".join(steps)}, coded AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', e::INT)), '' ORDER BY p) AS code, sum({last}.d)::BIGINT AS error
+  FROM {last} JOIN kept USING (vec_id) GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, k)) FROM book{rounds}) AS codebooks_sha256
+FROM coded"""
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of 64 components in 40 clusters after five rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _op13_sql(rounds: int = 5) -> str:
+    steps = [
+        """center0 AS MATERIALIZED (
+  SELECT c, k, x FROM wide JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS c FROM kept
+    ORDER BY sha256('2:' || vec_id::VARCHAR) LIMIT 40) USING (vec_id)
+)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""away{r} AS (
+  SELECT vec_id, c, sum((a.x - b.x) * (a.x - b.x))::BIGINT AS d FROM wide a JOIN center{r} b USING (k) GROUP BY vec_id, c
+), near{r} AS MATERIALIZED (SELECT vec_id, min(d * 64 + c) % 64 AS c, min(d) AS d FROM away{r} GROUP BY vec_id)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""mean{r} AS (
+  SELECT c, k, sum(x)::BIGINT AS s, count(*) AS n FROM wide JOIN near{r} USING (vec_id) GROUP BY c, k
+), center{r + 1} AS MATERIALIZED (
+  SELECT c, k, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x
+  FROM center{r} LEFT JOIN mean{r} USING (c, k)
+)"""
+            )
+    return f"""WITH {_VECTORS_SQL.format(more=" AND len(embedding) = 64")}, {", ".join(steps)}, digest AS (
+  SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY k)) AS centroid_sha256 FROM center{rounds} GROUP BY c
+)
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM near{rounds} JOIN digest USING (c)"""
+
+
 # name -> (query, checking SQL or None)
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, _OP1_SQL),
@@ -204,4 +302,7 @@ QUERIES = {
     "op8_warc": (op8_warc, _OP8_SQL),
     "op9_sharding": (op9_sharding, None),
     "op10_decontamination": (op10_decontamination, None),
+    "op11_packing": (op11_packing, None),
+    "op12_vector_codes": (op12_vector_codes, _op12_sql()),
+    "op13_clusters": (op13_clusters, _op13_sql()),
 }
