@@ -38,6 +38,11 @@ def durable(frame: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def whole_row(frame: DataFrame) -> Column:
+    """All columns of a frame in one struct, out of the way of helper columns; `.*` brings them back."""
+    return F.struct(*[frame[f"`{c.replace('`', '``')}`"] for c in frame.columns])
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

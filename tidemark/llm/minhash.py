@@ -25,13 +25,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import durable, whole_row
 from tidemark.llm.words import Names, mix, split, windows
 
 BINS, ROWS = 128, 4
 _NONE = np.uint64((1 << 64) - 1)
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+SIGNED = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
 SETS = "doc_id long, set_key binary, n_shingles long, shingles binary"
 
 
@@ -89,14 +89,14 @@ def sketches(docs: DataFrame, width: int, bins: int) -> DataFrame:
         shingle = Shingler(width)
         for batch in batches:
             rows = []
-            for doc, text in batch.itertuples(index=False, name=None):
+            for doc, text, key in batch.itertuples(index=False, name=None):
                 x = shingle(text)
                 cut = bands(fast_sketch(x, bins)).tolist() if len(x) else []
-                rows.append((doc, len(x), set_key(x), cut))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "bands"])
+                rows.append((doc, key, len(x), set_key(x), cut))
+            out = pd.DataFrame(rows, columns=["doc_id", "text_key", "n_shingles", "set_key", "bands"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(sign, SIGNED)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInPandas(sign, SIGNED)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -218,9 +218,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(
-    docs: DataFrame, *, width: int = 5, num: int = 75, den: int = 100, bins: int = BINS
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
     Documents are linked when den * shared >= num * union of their sets of distinct
@@ -228,8 +226,14 @@ def near_duplicates(
     linked with nothing. component_id is the least doc_id reachable. With 32 bands of
     4 bins a pair at likeness 0.75 shares no bucket with probability 5e-6, one at 0.8
     with 5e-8. Null ids take part and are never the least while others are there.
-    Other columns are ignored; an empty table gives an empty one.
+    A null id is not kept where its set is that of a document with an id. Other columns
+    are ignored; an empty table gives an empty one. Options: width, num, den, bins.
     """
+    return _placed(docs, **options).drop("text_key")
+
+
+def _placed(docs: DataFrame, *, width: int = 5, num: int = 75, den: int = 100, bins: int = BINS) -> DataFrame:
+    """near_duplicates() with text_key, a hash of the text: it tells rows of one id apart."""
     signed = durable(sketches(docs, width, bins), "sketches")
     has = F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()
     classes = signed.where(has).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
@@ -273,16 +277,27 @@ def near_duplicates(
     reps = classes.select("set_key", F.col("rep"))
     roots = grouped(reps, "rep", "_root").select("set_key", "_root")
     return (
-        signed.select("doc_id", "n_shingles", "set_key")
+        signed.select("doc_id", "text_key", "n_shingles", "set_key")
         .join(roots, "set_key", "left")
         .withColumn("component_id", F.coalesce("_root", "doc_id"))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .select(
+            "doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+        )
     )
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group, that of the least id; repeated rows of it stay once."""
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # Equal rows lie together after the join, so this moves nothing.
-    return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    """docs with one document of each group, that of the least id, in all its columns and values.
+
+    What stays is what near_duplicates() keeps, null ids alike, and once of each: rows
+    of one id and text are one document even if other columns differ, and one of
+    them stays. Rows of one id with different texts are documents of their own.
+    """
+    none = F.lit(-(2**63))
+    placed = _placed(docs, **options).where(~F.col("kept"))
+    gone = placed.select(F.coalesce("doc_id", none).alias("id"), F.col("text_key").alias("text")).distinct()
+    rows = docs.select(
+        whole_row(docs).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64("text").alias("text")
+    )
+    # Equal rows lie together after the join, so the second step moves nothing.
+    return rows.join(gone, ["id", "text"], "left_anti").dropDuplicates(["id", "text"]).select("doc.*")

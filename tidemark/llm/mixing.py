@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import durable, word_count
+from tidemark.llm.common import durable, whole_row, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 _TINY = 1e-9
@@ -166,25 +166,32 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.5, cap: float = 2.
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of docs as often as the mix takes it, same columns."""
-    size = word_count(F.col("text"))
-    key = F.xxhash64(F.lit(1), "doc_id", "source", "_size")
-    plan = mix(docs.select("doc_id", "source", size.alias("size")), **options).withColumnRenamed("size", "_size")
-    # Rows alike in id, source and size are interchangeable: how many are taken once more than the rest.
+    """The mixed corpus: each row of docs as often as the mix takes it, all columns with their values.
+
+    Rows alike in id, source and size share what the mix takes of them; those whose
+    text hashes are least are taken once more. Rows alike in their text too are
+    interchangeable, so reruns give the same rows.
+    """
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    key = F.xxhash64(F.lit(1), "doc_id", "source", "size")
+    # How many rows of a key are taken once more than the rest.
     plan = (
-        plan.groupBy(key.alias("_key"))
-        .agg(F.min("copies").alias("_least"), F.max("copies").alias("_most"), F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
-        .where("_most > 0")
-        .select("_key", "_least", (F.col("_sum") - F.col("_least") * F.col("_rows")).alias("_more"))
+        mix(sized, **options)
+        .groupBy(key.alias("key"))
+        .agg(F.min("copies").alias("least"), F.max("copies").alias("most"), F.sum("copies").alias("all"), F.count("*").alias("rows"))
+        .where("most > 0")
+        .select("key", "least", (F.col("all") - F.col("least") * F.col("rows")).alias("more"))
     )
-    numbered = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    rows = docs.select(
+        whole_row(docs).alias("doc"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text")
+    ).select("doc", "text", key.alias("key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("text"))
+    copies = F.col("least") + F.when(F.col("nth") <= F.col("more"), 1).otherwise(0)
     return (
-        docs.withColumn("_size", size)
-        .withColumn("_key", key)
-        .withColumn("_n", numbered)
-        .join(plan, "_key")
-        .withColumn("_copies", F.col("_least") + F.when(F.col("_n") <= F.col("_more"), 1).otherwise(0))
-        .where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*docs.columns)
+        rows.withColumn("nth", nth)
+        .join(plan, "key")
+        .withColumn("copies", copies)
+        .where("copies > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select("doc.*")
     )

@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import durable, uniform
+from tidemark.llm.common import durable, uniform, whole_row
 
 def _hypergeometric(draws: str, good: str, total: str, u: str) -> str:
     """SQL text: good items among the draws without return, by inversion of u in [0, 1).
@@ -113,14 +113,15 @@ def shuffle_into_shards(
     Deterministic in the rows and the seed. salt_cols tell rows with the same id
     apart; rows equal in those too are interchangeable, so any order between them
     gives the same table. Null ids and texts hash like values. Columns of docs
-    named shard or slot are replaced. An empty table gives an empty one.
+    named shard or slot are replaced, all others keep their values. An empty table
+    gives an empty one.
     """
     spark = docs.sparkSession
     side = max(2, math.ceil(math.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
     parts = side * side
     base = docs.drop("shard", "slot")
     key = F.xxhash64(F.lit(seed), F.col(id_col), *[F.col(c) for c in salt_cols])
-    keyed = base.withColumns({"_h": key, "_part": F.pmod(key, F.lit(parts)).cast("int")})
+    keyed = base.select(whole_row(base).alias("doc"), key.alias("_h"), F.pmod(key, F.lit(parts)).cast("int").alias("_part"))
     counts = keyed.groupBy(F.col("_part").alias("part")).agg(F.count(F.lit(1)).alias("n"))
     cells = durable(communication_matrix(counts, n_shards, side, seed), "matrix")
 
@@ -154,5 +155,5 @@ def shuffle_into_shards(
     return (
         dealt.join(starts, ["shard", "_block"])
         .withColumn("slot", F.col("_start") + F.row_number().over(inside) - 1)
-        .select(*base.columns, "shard", F.col("slot").cast("long").alias("slot"))
+        .select("doc.*", "shard", F.col("slot").cast("long").alias("slot"))
     )
