@@ -27,7 +27,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -249,13 +251,16 @@ def scan(docs: DataFrame, letters: Background, rate: float, level: float, reject
                 base += [(m.start(), 1, m.end()) for m in access.finditer(text)]
                 base += [(m.start(), 2, m.end()) for m in hexes.finditer(text)]
                 base.sort()
+                starts = [a for a, _, _ in base]
+                ends = list(accumulate((b for _, _, b in base), max))
                 tested = size = 0
                 open_ = []
                 for m in candidate.finditer(text):
                     token = m[0].rstrip("=")
                     tested += 1
                     size += len(token)
-                    if any(a < m.end() and m.start() < b for a, _, b in base):
+                    before = bisect_left(starts, m.end())  # known spans that begin before its end
+                    if before and ends[before - 1] > m.start():
                         continue
                     p = text_p(token, letters, rate)
                     # No weight lets more than level * length / 16 through.
