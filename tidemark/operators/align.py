@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.scan import running
+
 
 def _last_row_per_date(right: DataFrame, keys: list[str], columns: list[str], tie: str | None, out: str):
     row = F.struct(*columns)
@@ -18,6 +20,7 @@ def asof_align_all(
     *,
     keys: list[str],
     left_is_unique: bool = False,
+    part: Column | None = None,
 ) -> DataFrame:
     """As-of join several right sides at once; each is (frame, columns, tie).
 
@@ -30,23 +33,36 @@ def asof_align_all(
     distinct (keys, date). A window partition is then bounded by the days on
     the calendar, however many left rows share a key, and the result returns to
     the left by an equi-join that AQE can split. With `left_is_unique` the left
-    rows are those distinct rows already and go through the window themselves.
+    rows are those distinct rows already, or few share a date: they go through the
+    window themselves, which moves them once instead of three times.
+
+    `part` spreads a key with a very long history: a column that never falls as
+    `date` grows, such as its year, by which the history is cut (`operators.scan`).
+    Left rows then go through the windows of their own part. Rows without a key or
+    a date match nothing.
     """
+    left_is_unique = left_is_unique or part is not None
     carried = [f"_row{i}" for i in range(len(rights))]
     rest = [c for c in left.columns if c not in (*keys, "date")] if left_is_unique else []
     probes = left.select(*keys, "date", *rest) if left_is_unique else left.select(*keys, "date").distinct()
     events = probes.withColumn("_probe", F.lit(True))
     for name, (right, columns, tie) in zip(carried, rights):
-        rows = _last_row_per_date(right, keys, columns, tie, name).withColumn("_probe", F.lit(False))
-        events = events.unionByName(rows, allowMissingColumns=True)
-    upto = (
-        Window.partitionBy(*(keys or [F.lit(0)]))
-        .orderBy("date", "_probe")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+        rows = _last_row_per_date(right.dropna(subset=[*keys, "date"]), keys, columns, tie, name)
+        events = events.unionByName(rows.withColumn("_probe", F.lit(False)), allowMissingColumns=True)
+    if part is not None:
+        found = running(
+            events.withColumnsRenamed({name: f"{name}_of" for name in carried}), keys, ["date", "_probe"],
+            part=part, last={name: F.col(f"{name}_of") for name in carried},
+        )
+    else:
+        upto = (
+            Window.partitionBy(*(keys or [F.lit(0)]))
+            .orderBy("date", "_probe")
+            .rowsBetween(Window.unboundedPreceding, 0)
+        )
+        found = events.withColumns({name: F.last(name, ignorenulls=True).over(upto) for name in carried})
     matched = (
-        events.withColumns({name: F.last(name, ignorenulls=True).over(upto) for name in carried})
-        .filter("_probe")
+        found.filter("_probe")
         .select(
             *keys,
             "date",
@@ -66,6 +82,7 @@ def asof_align(
     right_date: str = "date",
     tie: str | None = None,
     left_is_unique: bool = False,
+    part: Column | None = None,
 ) -> DataFrame:
     """As-of join of one right side; see `asof_align_all`.
 
@@ -75,7 +92,7 @@ def asof_align(
     """
     if right_date != "date":
         right = right.drop("date").withColumnRenamed(right_date, "date")
-    return asof_align_all(left, [(right, columns, tie)], keys=keys, left_is_unique=left_is_unique)
+    return asof_align_all(left, [(right, columns, tie)], keys=keys, left_is_unique=left_is_unique, part=part)
 
 
 def asof_known(

@@ -1,7 +1,9 @@
 """Trailing signals over keyed series with one row per key and date.
 
 Every window is partitioned by the series key. A partition holds one series,
-which its calendar bounds; parallelism is across keys.
+which its calendar bounds; parallelism is across keys. `date` may be a timestamp:
+then nothing bounds a series, and `part`, a coarser time that never falls as the
+date grows, has it cut and spread over tasks (`operators.scan`).
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.numeric import change, ratio
 from tidemark.functions.periods import PERIODS_PER_YEAR, ZSCORE_WINDOW
 from tidemark.operators.align import inner_align, month_last, padded
+from tidemark.operators.scan import over_blocks, running
 
 
 def _ordered(keys: list[str]) -> Window:
@@ -27,12 +30,24 @@ def _by_code(frequency: str, table: dict[str, int], default: int, make) -> Colum
 
 
 def pct_change(
-    series: DataFrame, periods: int, *, keys: list[str], value: str = "value", out: str = "change"
+    series: DataFrame,
+    periods: int,
+    *,
+    keys: list[str],
+    value: str = "value",
+    out: str = "change",
+    part: Column | None = None,
 ) -> DataFrame:
     """Relative change over `periods` rows; a gap counts as unchanged until the next value."""
-    rows = series.withColumn("_pad", padded(value, keys))
-    before = F.lag("_pad", periods).over(_ordered(keys))
-    return rows.withColumn(out, change(F.col("_pad"), before)).drop("_pad")
+
+    def changed(rows: DataFrame, by: list[str]) -> DataFrame:
+        before = F.lag("_pad", periods).over(_ordered(by))
+        return rows.withColumn(out, change(F.col("_pad"), before))
+
+    if part is not None:
+        rows = running(series, keys, ["date"], part=part, last={"_pad": F.col(value)})
+        return over_blocks(rows, keys, ["date"], changed, back=periods, part=part).drop("_pad")
+    return changed(series.withColumn("_pad", padded(value, keys)), keys).drop("_pad")
 
 
 def yoy(
@@ -112,11 +127,19 @@ def zscore(
     frequency: str | None = None,
     value: str = "value",
     out: str = "zscore",
+    part: Column | None = None,
 ) -> DataFrame:
     """Distance from the trailing mean in sample standard deviations, full windows only.
 
     Windows come from running sums, so each row costs the same for any length.
     """
+    if part is not None:
+        back = window or max(*ZSCORE_WINDOW.values(), ZSCORE_WINDOW["M"])
+
+        def scored(rows: DataFrame, by: list[str]) -> DataFrame:
+            return zscore(rows, window, keys=by, frequency=frequency, value=value, out=out)
+
+        return over_blocks(series, keys, ["date"], scored, back=back, part=part)
     rows = _running(series, keys, value)
     if window is not None:
         score = _trailing_z(keys, window)
@@ -126,9 +149,21 @@ def zscore(
 
 
 def smooth(
-    series: DataFrame, window: int, *, keys: list[str], value: str = "value", out: str = "smooth"
+    series: DataFrame,
+    window: int,
+    *,
+    keys: list[str],
+    value: str = "value",
+    out: str = "smooth",
+    part: Column | None = None,
 ) -> DataFrame:
     """Trailing moving average, full windows only."""
+    if part is not None:
+
+        def smoothed(rows: DataFrame, by: list[str]) -> DataFrame:
+            return smooth(rows, window, keys=by, value=value, out=out)
+
+        return over_blocks(series, keys, ["date"], smoothed, back=window, part=part)
     rows = _running(series, keys, value)
     mean = F.col(value) - F.col("_c") + _over(keys, "_s", window) / window
     return rows.withColumn(out, F.when(_over(keys, "_n", window) == window, mean)).drop(*[c for c in _RUNNING if c != out])

@@ -160,6 +160,24 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decision_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which someone decides: the 15th of every month with an order, each as often as there are orders."""
+    month = F.trunc(F.to_date("o_orderdate"), "month")
+    return table(spark, sf_dir, "orders").select(F.date_add(month, 14).alias("known_date"))
+
+
+def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single events as series rows, dated to the microsecond: (event_type, date, value).
+
+    An even number of cents stands for a value that is missing. Five types hold all
+    events, so each is a key whose history grows with the table.
+    """
+    cents = _cents("value")
+    return table(spark, sf_dir, "events").select(
+        "event_type", F.col("ts").alias("date"), F.when(cents % 2 == 1, cents / 100.0).alias("value")
+    )
+
+
 def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed pulls: per event type and week one JSON document of daily totals.
 
