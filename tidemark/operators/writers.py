@@ -10,17 +10,20 @@ combines before the shuffle. `compact` folds the batches into a new folder.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tidemark.operators.quality import assert_unique_key
+from tidemark.operators.quality import REJECTED, assert_unique_key
 from tidemark.schemas import (
     INDEX_VALUES,
     INDEX_WEIGHTS,
     META_KEY,
     OBSERVATION_KEY,
     PRICE_KEY,
+    PRICE_PRINTS,
+    PRICES,
     SECURITY_KEY,
 )
 
@@ -95,6 +98,50 @@ def write_batch(
     writer.partitionBy(*parts).parquet(f"{path}/batch={batch}")
 
 
+def write_prints(tagged: DataFrame, path: str, batch: int, *, seq: str | Column | None = None) -> None:
+    """Write price rows with `reason` and `status` as one batch, clean and rejected side by side, in one pass.
+
+    Prices may come as text. Clean rows are stored as numbers, rejected ones keep
+    the text that was sent. Of several clean rows of one ticker and day the one with
+    the greatest `seq` is kept; without `seq` there must be one. `fetched_at` is NULL
+    where the rows have none.
+    """
+    rejected = F.col("status") == REJECTED
+
+    def text(c: str) -> Column:
+        return F.when(rejected, F.col(c).cast("string"))
+
+    given = set(tagged.columns)
+    typed = tagged.select(
+        "ticker",
+        F.col("date").cast("date").alias("date"),
+        *[F.col(c).try_cast("double").alias(c) for c in ("close", "adj_close", "shares_out")],
+        text("date_text" if "date_text" in given else "date").alias("date_text"),
+        text("close").alias("close_text"),
+        text("adj_close").alias("adj_close_text"),
+        (F.col("fetched_at") if "fetched_at" in given else F.lit(None)).cast("timestamp").alias("fetched_at"),
+        "reason",
+        "status",
+        *([(F.col(seq) if isinstance(seq, str) else seq).alias("_seq")] if seq is not None else []),
+    )
+    if seq is None:
+        assert_unique_key(typed.filter(~rejected), PRICE_KEY)
+        write_batch(typed, path, batch, parts=["status"])
+        return
+    # A rejected row is a key of its own, so that one aggregate settles the clean ones and keeps all others.
+    one = F.when(rejected, F.monotonically_increasing_id())
+    settled = last_per_key(typed.withColumn("_row", one), [*PRICE_KEY, "status", "_row"], "_seq").drop("_row")
+    write_batch(settled.select(*PRICE_PRINTS.names), path, batch, parts=["status"])
+
+
+def last_prints(rows: DataFrame) -> DataFrame:
+    """The standing price of every ticker and day: the last one fetched, of those the last one written."""
+    # One decimal orders by fetch time, then by batch; it hashes where a struct would sort.
+    micros = F.coalesce(F.unix_micros("fetched_at"), F.lit(0)).cast("decimal(38,0)")
+    rank = micros * F.lit(Decimal(2**64)) + F.col("batch").cast("decimal(20,0)")
+    return last_per_key(rows.select(*PRICES.names, rank.alias("_rank")), PRICE_KEY, "_rank")
+
+
 def next_batch(spark: SparkSession, path: str) -> int:
     """The number after the last batch of a store, 0 for an empty one."""
     numbers = read_batches(spark, path, T.StructType([])).agg(F.max("batch")).first()[0]

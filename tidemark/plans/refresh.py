@@ -13,7 +13,7 @@ from tidemark.operators.index import build_all_indices, priced_indices
 from tidemark.operators.universe import index_members
 from tidemark.operators.writers import (
     compact,
-    last_per_key,
+    last_prints,
     next_batch,
     read_batches,
     read_index_values,
@@ -23,20 +23,27 @@ from tidemark.operators.writers import (
     upsert_securities,
     upsert_series_meta,
     write_batch,
+    write_prints,
 )
 from tidemark.schemas import (
+    INGEST_STATS,
     META_KEY,
     OBSERVATION_KEY,
     OBSERVATION_REJECTS,
     OBSERVATIONS,
     PRICE_KEY,
     PRICE_PRINTS,
-    PRICES,
     SECURITIES,
     SECURITY_KEY,
     SERIES_META,
 )
-from tidemark.streaming.ingest import incremental_ingest, stored_bounds, stored_observations
+from tidemark.streaming.ingest import (
+    incremental_ingest,
+    incremental_prices,
+    ingest_stats,
+    stored_bounds,
+    stored_observations,
+)
 
 
 @dataclass(frozen=True)
@@ -52,39 +59,21 @@ class Store:
 def ingest_prices(store: Store, prices: DataFrame, batch: int, *, seq: str | None = None) -> None:
     """Store clean and rejected rows side by side, in one pass over the prices.
 
-    Prices may come as text. Clean rows are stored as numbers, rejected ones keep
-    the text that was sent. Of several clean rows of one ticker and day the one
-    with the greatest `seq` is kept; without `seq` there must be one.
+    See `writers.write_prints`. Rows without a fetch time count as fetched now.
     """
     rows = quality.price_status(quality.tag_prices(prices))
-    rejected = F.col("status") == quality.REJECTED
-    number = lambda c: F.expr(f"try_cast({c} AS double)")
-    text = lambda c: F.when(rejected, F.col(c).cast("string"))
-    typed = rows.select(
-        "ticker", F.col("date").cast("date").alias("date"), number("close").alias("close"),
-        number("adj_close").alias("adj_close"), number("shares_out").alias("shares_out"),
-        text("close").alias("close_text"), text("adj_close").alias("adj_close_text"), "reason", "status",
-        *([F.col(seq).alias("_seq")] if seq else []),
-    )
-    clean = typed.filter(~rejected)
-    if seq is None:
-        quality.assert_unique_key(clean, PRICE_KEY)
-        write_batch(typed, store.path("prices"), batch, parts=["status"])
-        return
-    # A rejected row is a key of its own, so that one aggregate settles the clean ones and keeps all others.
-    one = F.when(rejected, F.monotonically_increasing_id())
-    settled = last_per_key(typed.withColumn("_row", one), [*PRICE_KEY, "status", "_row"], "_seq").drop("_row")
-    write_batch(settled, store.path("prices"), batch, parts=["status"])
-
+    if "fetched_at" not in rows.columns:
+        rows = rows.withColumn("fetched_at", F.current_timestamp())
+    write_prints(rows, store.path("prices"), batch, seq=seq)
 
 def _prints(spark: SparkSession, store: Store, status: str) -> DataFrame:
-    rows = read_batches(spark, store.path("prices"), PRICE_PRINTS)
-    return rows.filter(F.col("status") == status)
+    """Price rows of one status: those written by hand and those taken up from landed pulls."""
+    direct, landed = (read_batches(spark, store.path(t), PRICE_PRINTS) for t in ("prices", "landed_prices"))
+    return direct.unionByName(landed).filter(F.col("status") == status)
 
 
 def stored_prices(spark: SparkSession, store: Store) -> DataFrame:
-    rows = _prints(spark, store, quality.CLEAN).select(*PRICES.names, "batch")
-    return last_per_key(rows, PRICE_KEY, "batch")
+    return last_prints(_prints(spark, store, quality.CLEAN))
 
 
 def rejected_prices(spark: SparkSession, store: Store) -> DataFrame:
@@ -104,11 +93,12 @@ def refresh(
     store: Store,
     *,
     landing_path: str | None,
-    prices: DataFrame | None,
-    securities: DataFrame | None,
+    prices: DataFrame | None = None,
+    securities: DataFrame | None = None,
     baselines: DataFrame,
     batch: int,
     prefix: str,
+    price_landing_path: str | None = None,
     specs: DataFrame | None = None,
     price_seq: str | None = None,
     fetched_at: str | None = None,
@@ -121,8 +111,10 @@ def refresh(
     A bad payload or price row is counted as an error of its step and stops
     nothing else. A step that fails as a whole is reported with its error; the
     steps after it work on what is stored. Inputs that are None leave what is
-    stored as it is. The catalogue of `specs` is stored with the first and last
-    period of each series. Rebuilt indices are read back from the store, so their
+    stored as it is. Prices come as a frame, or as landed pulls below
+    `price_landing_path`, or both. The catalogue of `specs` is stored with the first
+    and last period of each series, which the ingest keeps count of; `series_errors`
+    tells the errors of each series. Rebuilt indices are read back from the store, so their
     reports do not compute them again.
     """
     failed: dict[str, str] = {}
@@ -135,11 +127,18 @@ def refresh(
 
     def observations() -> None:
         incremental_ingest(
-            spark, landing_path, store.path("observations"), store.path("observation_rejects"), store.path("_progress")
-        )
+            spark, landing_path, store.path("observations"), store.path("observation_rejects"), store.path("_progress"),
+            stats_path=store.path("ingest_stats"),
+        )
+
+    def landed_prices() -> None:
+        incremental_prices(
+            spark, price_landing_path, store.path("landed_prices"), store.path("_price_progress"),
+            stats_path=store.path("price_stats"),
+        )
 
     def catalogue() -> None:
-        bounds = stored_bounds(spark, store.path("observations"))
+        bounds = _bounds(spark, store)
         rows = upsert_series_meta(stored_series_meta(spark, store).limit(0), specs, bounds, fetched_at=fetched_at)
         write_batch(rows, store.path("series_meta"), batch)
 
@@ -164,6 +163,8 @@ def refresh(
         attempt("securities", names)
     if prices is not None:
         attempt("prices", lambda: ingest_prices(store, prices, batch, seq=price_seq))
+    if price_landing_path is not None:
+        attempt("prices", landed_prices)
     attempt("indices", indices)
 
     n = F.count(F.lit(1))
@@ -198,6 +199,20 @@ def refresh(
     )
 
 
+def _bounds(spark: SparkSession, store: Store) -> DataFrame:
+    """First and last period of each series, from the ingest's own count, or the store where it is older than the count."""
+    counted = ingest_stats(spark, store.path("ingest_stats")).filter(F.col("entries") > 0)
+    if counted.isEmpty():
+        return stored_bounds(spark, store.path("observations"))
+    return counted.select(*META_KEY, "first_obs", "last_obs")
+
+
+def series_errors(spark: SparkSession, store: Store) -> DataFrame:
+    """Entries taken up and errors of each series and ticker that came by landed pulls: (source, series_id, entries, errors)."""
+    counted = [ingest_stats(spark, store.path(t)).drop("first_obs", "last_obs") for t in ("ingest_stats", "price_stats")]
+    return counted[0].unionByName(counted[1])
+
+
 def _with_columns(rows: DataFrame, schema) -> DataFrame:
     """The schema's columns, NULL where the rows have none."""
     return rows.select(
@@ -210,9 +225,23 @@ def compact_store(spark: SparkSession, store: Store, target: Store) -> None:
     compact(spark, store.path("observations"), target.path("observations"), OBSERVATIONS, OBSERVATION_KEY)
     compact(spark, store.path("series_meta"), target.path("series_meta"), SERIES_META, META_KEY)
     compact(spark, store.path("securities"), target.path("securities"), SECURITIES, SECURITY_KEY)
-    last = max(0, next_batch(spark, store.path("prices")) - 1)
-    clean = _with_columns(stored_prices(spark, store), PRICE_PRINTS).withColumn("status", F.lit(quality.CLEAN))
-    rows = clean.unionByName(rejected_prices(spark, store).select(*clean.columns))
-    write_batch(rows, target.path("prices"), last, parts=["status"])
+    for prints in ("prices", "landed_prices"):
+        _fold_prints(spark, store.path(prints), target.path(prints))
+    last = max(0, next_batch(spark, store.path("observation_rejects")) - 1)
     rejects = read_batches(spark, store.path("observation_rejects"), OBSERVATION_REJECTS).drop("batch")
     write_batch(rejects, target.path("observation_rejects"), last)
+    for stats in ("ingest_stats", "price_stats"):
+        counted = ingest_stats(spark, store.path(stats)).select(*INGEST_STATS.names)
+        write_batch(counted, target.path(stats), max(0, next_batch(spark, store.path(stats)) - 1))
+
+
+def _fold_prints(spark: SparkSession, path: str, target: str) -> None:
+    """Fold price batches into one: standing prices with their last fetch time, and all rejected rows."""
+    rows = read_batches(spark, path, PRICE_PRINTS)
+    clean = rows.filter(F.col("status") == quality.CLEAN)
+    values = [c for c in PRICE_PRINTS.names if c not in PRICE_KEY]
+    rank = F.struct("fetched_at", "batch")
+    standing = clean.groupBy(*PRICE_KEY).agg(*[F.max_by(c, rank).alias(c) for c in values])
+    rejected = rows.filter(F.col("status") == quality.REJECTED)
+    folded = standing.select(*PRICE_PRINTS.names).unionByName(rejected.select(*PRICE_PRINTS.names))
+    write_batch(folded, target, max(0, next_batch(spark, path) - 1), parts=["status"])

@@ -31,12 +31,19 @@ OBSERVATION_REJECTS = _struct(
     source=_S, series_id=_S, fetched_at=_TS, date_text=_S, value_text=_S, reason=_S
 )
 # stored prices and rejected ones; status is "clean" or "rejected" and a folder level.
-# A rejected row keeps the text of what was sent.
+# A rejected row keeps the text of what was sent. fetched_at says which of several prints of a day came last.
 PRICE_PRINTS = _struct(
-    ticker=_S, date=_D, close=_F, adj_close=_F, shares_out=_F, close_text=_S, adj_close_text=_S, reason=_S, status=_S
+    ticker=_S, date=_D, close=_F, adj_close=_F, shares_out=_F, date_text=_S, close_text=_S, adj_close_text=_S,
+    fetched_at=_TS, reason=_S, status=_S,
+)
+# what a stream's batch did to each series
+INGEST_STATS = _struct(
+    source=_S, series_id=_S, entries=T.LongType(), errors=T.LongType(), first_obs=_D, last_obs=_D
 )
 # the JSON document inside RAW_LANDING.payload
 PAYLOAD = _struct(observations=T.ArrayType(_struct(date=_S, value=_S)))
+# the same for a pull of prices, whose series_id is the ticker
+PRICE_PAYLOAD = _struct(prices=T.ArrayType(_struct(date=_S, close=_S, adj_close=_S, shares_out=_S)))
 OBSERVATION_KEY = ["source", "series_id", "date", "as_of"]
 PRICE_KEY = ["ticker", "date"]
 SECURITY_KEY = ["ticker"]

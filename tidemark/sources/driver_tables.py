@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.numeric import ratio
+from tidemark.sources.landing import price_pulls
 
 INDEX_PREFIX = "ALL"
 BASELINE_PREFIX = "BASE_"
@@ -234,6 +235,37 @@ def raw_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def price_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed pulls of prices: per ticker and month one document of all its unchecked prints, fetched as the month ends.
+
+    Every tenth supplier also has a pull that is cut off.
+    """
+    number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    # Lines that share a number are told apart by what they say.
+    seq = F.struct(number, F.col("shares_out"), F.col("cents"), F.col("off"))
+    month_end = F.add_months(F.trunc("date", "month"), 1).cast("timestamp")
+    prints = raw_prints(spark, sf_dir).withColumn("shares_out", F.col("shares_out").cast("string"))
+    pulls = price_pulls(prints, source="PX", seq=seq, fetched_at=month_end)
+    key = F.col("s_suppkey")
+    cut = table(spark, sf_dir, "supplier").filter(key % 10 == 3).select(
+        F.lit("PX").alias("source"), key.cast("string").alias("series_id"),
+        F.lit("2002-01-01").cast("timestamp").alias("fetched_at"), F.lit('{"prices": [{"date": "20').alias("payload"),
+    )
+    return pulls.unionByName(cut)
+
+
+def broken_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`landing` and for each event type a pull with a bad date, a bad value and a usable row, and one cut off."""
+    pulls = landing(spark, sf_dir)
+    doc = '{"observations": [{"date": "soon", "value": "1"}, {"date": "2024-02-01", "value": "x"}, {"date": "2030-01-01", "value": "1"}]}'
+    types = table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id")).distinct()
+    odd = types.select(
+        F.lit("EVT").alias("source"), "series_id", F.lit("2024-03-01").cast("timestamp").alias("fetched_at"),
+        F.explode(F.array(F.lit(doc), F.lit("{"))).alias("payload"),
+    )
+    return pulls.unionByName(odd)
+
+
 def share_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share-count history: (ticker, date, seq, shares), a count reported on every order's day.
 

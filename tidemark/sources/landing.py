@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tidemark.functions.numeric import known
 from tidemark.functions.text import path_slug
-from tidemark.schemas import PAYLOAD, RAW_LANDING
+from tidemark.operators.quality import price_status, tag_prices
+from tidemark.schemas import PAYLOAD, PRICE_PAYLOAD, RAW_LANDING
 
 FOLDERS = ("source_dir", "series_dir", "fetch_day")
 
 # How a payload writes "no value".
 MISSING_MARKS = (".", "")
+UNREADABLE, BAD_DATE, BAD_VALUE = "unreadable payload", "bad date", "bad value"
 
 
 def land_raw(pulls: DataFrame, path: str, *, by_series: bool = False) -> None:
@@ -73,13 +75,10 @@ def parse_payload(pulls: DataFrame) -> DataFrame:
         "payload",
         F.from_json("payload", PAYLOAD).alias("doc"),
     )
-    # A document without the list is empty; one that is no document, or whose list is no list, is unreadable.
     listed = F.col("doc.observations")
-    fields = F.json_object_keys("payload")
-    broken = F.coalesce(F.array_contains(fields, "observations"), F.lit(True))
     rows = parsed.select(
         "source", "series_id", "fetched_at", "as_of",
-        F.when(listed.isNull(), broken).otherwise(F.lit(False)).alias("unreadable"),
+        _unreadable(listed, "observations").alias("unreadable"),
         F.posexplode_outer(listed).alias("pos", "obs"),
     )
     return rows.select(
@@ -92,12 +91,18 @@ def parse_payload(pulls: DataFrame) -> DataFrame:
     ).withColumn("value", F.when(~F.col("marked"), known(F.col("number"))))
 
 
+def _unreadable(listed: Column, name: str) -> Column:
+    """A document without the list is empty; one that is no document, or whose list is no list, is unreadable."""
+    broken = F.coalesce(F.array_contains(F.json_object_keys("payload"), name), F.lit(True))
+    return F.when(listed.isNull(), broken).otherwise(F.lit(False))
+
+
 def _why_rejected() -> Column:
     entry = F.col("pos").isNotNull()
     return (
-        F.when(F.col("unreadable"), F.lit("unreadable payload"))
-        .when(entry & F.col("date").isNull(), F.lit("bad date"))
-        .when(entry & ~F.col("marked") & F.col("number").isNull(), F.lit("bad value"))
+        F.when(F.col("unreadable"), F.lit(UNREADABLE))
+        .when(entry & F.col("date").isNull(), F.lit(BAD_DATE))
+        .when(entry & ~F.col("marked") & F.col("number").isNull(), F.lit(BAD_VALUE))
     )
 
 
@@ -142,3 +147,54 @@ def replay_landing(pulls: DataFrame) -> DataFrame:
 def reject_counts(rejects: DataFrame) -> DataFrame:
     """Errors per series and reason."""
     return rejects.groupBy("source", "series_id", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def price_pulls(prints: DataFrame, *, source: str, seq: Column | str, fetched_at: Column | str = "fetched_at") -> DataFrame:
+    """Price rows as pulls to land: one document per ticker and fetch time, its prices in the order of `seq`.
+
+    `prints` is (ticker, date, close, adj_close, shares_out); values are sent as they are, text included.
+    """
+    entry = F.struct("date", "close", "adj_close", "shares_out")
+    in_order = F.array_sort(F.collect_list(F.struct(F.expr(seq).alias("n") if isinstance(seq, str) else seq.alias("n"), entry.alias("e"))))
+    when = F.col(fetched_at) if isinstance(fetched_at, str) else fetched_at
+    return (
+        prints.groupBy("ticker", when.cast("timestamp").alias("fetched_at"))
+        .agg(F.transform(in_order, lambda r: r["e"]).alias("prices"))
+        .select(
+            F.lit(source).alias("source"), F.col("ticker").alias("series_id"), "fetched_at",
+            F.to_json(F.struct("prices")).alias("payload"),
+        )
+    )
+
+
+def parse_prices(pulls: DataFrame) -> DataFrame:
+    """One row per landed price with `reason`, NULL where usable: (ticker, date, close, adj_close, shares_out as text, ...).
+
+    What makes a pull or a date unusable is named before what the quarantine finds
+    wrong with the prices. A document that holds no price gives no row.
+    """
+    listed = F.col("doc.prices")
+    rows = (
+        pulls.select("source", "series_id", "fetched_at", "payload", F.from_json("payload", PRICE_PAYLOAD).alias("doc"))
+        .select(
+            "source", "series_id", "fetched_at", _unreadable(listed, "prices").alias("unreadable"),
+            F.posexplode_outer(listed).alias("pos", "p"),
+        )
+        .filter(F.col("unreadable") | F.col("pos").isNotNull())
+        .select(
+            "source", F.col("series_id").alias("ticker"), "fetched_at", "pos", "unreadable",
+            F.col("p.date").alias("date_text"), F.col("p.date").try_cast("date").alias("date"),
+            *[F.col(f"p.{c}").alias(c) for c in ("close", "adj_close", "shares_out")],
+        )
+    )
+    own = F.when(F.col("unreadable"), F.lit(UNREADABLE)).when(F.col("date").isNull(), F.lit(BAD_DATE))
+    return price_status(tag_prices(rows).withColumn("reason", F.coalesce(own, F.col("reason")))).drop("unreadable")
+
+
+def replay_prices(pulls: DataFrame) -> DataFrame:
+    """Rebuild the prices from every landed pull: of a ticker's usable prices of a day the last one fetched."""
+    usable = parse_prices(pulls).filter(F.col("reason").isNull())
+    last = F.struct("fetched_at", "pos")
+    return usable.groupBy("ticker", "date").agg(
+        *[F.max_by(F.col(c).try_cast("double"), last).alias(c) for c in ("close", "adj_close", "shares_out")]
+    )
