@@ -1,7 +1,7 @@
 """Capitalisation-weighted, periodically rebalanced indices.
 
-The index drifts with its constituents between rebalances and is set flat on
-the rebalance day. Instead of walking day by day, the level follows from sums:
+The index drifts with its constituents between rebalances. On the rebalance day it
+stays flat, or carries what the leaving constituents gained that day. Instead of walking day by day, the level follows from sums:
 within a period the index has grown to
 
     S(t) = 1 + sum over days u <= t, constituents j of  cap_j / F_j * (F_j(u) - F_j(u-)) / sum of caps
@@ -13,6 +13,10 @@ is the base times the S of all finished periods times the S of the running one.
 
 Big data moves once, by ticker. Everything after the first aggregate holds at
 most a few rows per index and day.
+
+A period's growth needs the prices of that period alone, and of what came before only
+how each ticker's earlier periods opened and ended. So `index_days` can build some
+periods and leave the others as they are stored; `index_levels` chains stored days.
 """
 
 from __future__ import annotations
@@ -100,10 +104,15 @@ def index_weights(
     )
 
 
-def _price_moves(prices: DataFrame, rebalance: str) -> DataFrame:
+_OPENED = ("open_date", "open_cap", "open_pr", "open_tr")
+_LEFT = "array<struct<open_date: date, gain_pr: double, gain_tr: double>>"
+
+
+def _price_moves(prices: DataFrame, rebalance: str, ends: DataFrame | None = None) -> DataFrame:
     """Per price row: the move since the ticker's last price, and its opening row's values.
 
-    Both windows sort by ticker, period, date, so one shuffle and one sort serve them.
+    `ends` stands in for the prices of other periods, one row for each ticker and
+    period. All windows sort by ticker, period, date, so one shuffle and one sort serve them.
     """
     by_ticker = Window.partitionBy("ticker").orderBy("period", "date")
     before = by_ticker.rowsBetween(Window.unboundedPreceding, -1)
@@ -119,7 +128,12 @@ def _price_moves(prices: DataFrame, rebalance: str) -> DataFrame:
         known(F.col("close")).alias("close"),
         known(F.col("adj_close")).alias("adj_close"),
         known(F.col("close") * F.col("shares_out")).alias("cap"),
-    ).withColumns(
+        F.lit(True).alias("own"),
+    )
+    if ends is not None:
+        stood = ends.select("ticker", "date", "period", "close", "adj_close", F.struct(*_OPENED).alias("opened"), F.lit(False).alias("own"))
+        held = held.unionByName(stood, allowMissingColumns=True)
+    held = held.withColumns(
         {
             "last_pr": F.last("close", ignorenulls=True).over(before),
             "last_tr": F.last("adj_close", ignorenulls=True).over(before),
@@ -128,28 +142,94 @@ def _price_moves(prices: DataFrame, rebalance: str) -> DataFrame:
     rows = held.withColumns({"pr": F.coalesce("close", "last_pr"), "tr": F.coalesce("adj_close", "last_tr")}).withColumns(
         {"move_pr": F.col("pr") - F.col("last_pr"), "move_tr": F.col("tr") - F.col("last_tr")}
     )
+    first = {f"open_{c}": opening(c) for c in ("date", "cap", "pr", "tr")}
+    if ends is not None:
+        first = {name: F.coalesce(F.col(f"opened.{name}"), value) for name, value in first.items()}
     return rows.select(
-        "ticker", "date", "period", "move_pr", "move_tr",
-        opening("date").alias("open_date"),
-        opening("cap").alias("open_cap"),
-        opening("pr").alias("open_pr"),
-        opening("tr").alias("open_tr"),
+        "ticker", "date", "period", "own", "pr", "tr", "move_pr", "move_tr",
+        (F.col("close").isNull() | F.col("adj_close").isNull()).alias("gap"),
+        *[value.alias(name) for name, value in first.items()],
+    )
+
+
+def ticker_ends(
+    prices: DataFrame, *, base_date: dt.date | str | None = None, rebalance: str = "Q", ends: DataFrame | None = None
+) -> DataFrame:
+    """How each ticker's periods opened and ended: one row for each ticker and period of `prices`.
+
+    `carried` marks periods that open without a price and so lean on an earlier one.
+    `ends` are those of other periods, where `prices` holds some only.
+    """
+    rows = _price_moves(_from_base(prices, base_date), rebalance, ends).filter("own")
+    opens = F.col("date") == F.col("open_date")
+    return rows.groupBy("ticker", "period").agg(
+        F.max("date").alias("date"),
+        F.max_by("pr", "date").alias("close"),
+        F.max_by("tr", "date").alias("adj_close"),
+        *[F.min_by(c, "date").alias(c) for c in _OPENED],
+        F.max(opens & F.col("gap")).alias("carried"),
     )
 
 
-def _daily_growth(prices: DataFrame, members: DataFrame, rebalance: str) -> DataFrame:
+def touched_periods(
+    changed: DataFrame, ends: DataFrame, *, rebalance: str = "Q", rebalance_day: str = "flat"
+) -> DataFrame:
+    """Periods to build anew after the prices of `changed` (ticker, date) came or were restated.
+
+    A period leans on the prices in it. One that opens without a price leans on the
+    ticker's earlier ones too; with `rebalance_day='carry'` every period does on the
+    one before. `ends` are those stored before the change.
+    """
+    own = changed.groupBy("ticker").agg(
+        F.collect_set(period_start(F.col("date"), rebalance)).alias("periods"),
+        F.min(period_start(F.col("date"), rebalance)).alias("first"),
+    )
+    leaning = ends.filter("carried").join(own, "ticker").filter(F.col("period") > F.col("first"))
+    touched = own.select(F.explode("periods").alias("period")).unionByName(leaning.select("period")).distinct()
+    if rebalance_day == "flat":
+        return touched
+    # The next period in which anything trades; periods are bounded by the calendar.
+    all_ = ends.select("period").unionByName(touched).distinct()
+    after = all_.select("period", F.lead("period").over(Window.orderBy("period")).alias("next"))
+    following = after.join(touched, "period").select(F.col("next").alias("period")).dropna()
+    return touched.unionByName(following).distinct()
+
+
+def index_days(
+    prices: DataFrame,
+    members: DataFrame,
+    *,
+    base_date: dt.date | str | None = None,
+    rebalance: str = "Q",
+    rebalance_day: str = "flat",
+    ends: DataFrame | None = None,
+) -> DataFrame:
     """Growth since the period's rebalance, one row per index and trading day.
 
     Rows are summed by (index, day, opening day) first. Only then is the
     index's rebalance day known, and sums that opened on another day drop out:
     those members had no price on the rebalance day and sit the period out.
+
+    With `rebalance_day='carry'` a period's first day also holds, by opening day,
+    what the tickers' shares of their period before gained on it.
+    `prices` may hold some whole periods only; `ends` then stands for the others.
     """
-    moves = _price_moves(prices, rebalance)
+    if rebalance_day not in ("flat", "carry"):
+        raise ValueError(f"rebalance_day must be 'flat' or 'carry', not {rebalance_day!r}")
+    moves = _price_moves(_from_base(prices, base_date), rebalance, ends)
+    if rebalance_day == "carry":
+        by_ticker = Window.partitionBy("ticker").orderBy("period", "date")
+        moves = moves.withColumns({f"past_{c}": F.lag(c).over(by_ticker) for c in _OPENED})
+    moves = moves.filter("own").drop("own", "gap", "pr", "tr")
     eligible = is_member(F.col("open_date"), F.col("from_date"), F.col("to_date"))
     # The moves lie partitioned and sorted by ticker already, so a merge join leaves them in place.
-    member_rows = moves.join(members.hint("merge"), "ticker").withColumn(
-        "open_cap", F.when(eligible & (F.col("open_cap") > 0), F.col("open_cap"))
-    )
+    member_rows = moves.join(members.hint("merge"), "ticker")
+    if rebalance_day == "carry":
+        member_rows = member_rows.withColumn("leaving", F.explode(F.expr("if(date = open_date, array(false, true), array(false))")))
+        member_rows = member_rows.withColumns({c: F.when(F.col("leaving"), F.col(f"past_{c}")).otherwise(F.col(c)) for c in _OPENED})
+    else:
+        member_rows = member_rows.withColumn("leaving", F.lit(False))
+    member_rows = member_rows.withColumn("open_cap", F.when(eligible & (F.col("open_cap") > 0), F.col("open_cap")))
     opens = F.col("date") == F.col("open_date")
 
     def gain(track: str) -> Column:
@@ -159,11 +239,16 @@ def _daily_growth(prices: DataFrame, members: DataFrame, rebalance: str) -> Data
     def stake(track: str) -> Column:
         return F.sum(F.when(opens & F.col(f"open_{track}").isNotNull(), F.col("open_cap"))).alias(f"cap_{track}")
 
-    sums = member_rows.groupBy("index_id", "period", "date", "open_date").agg(
+    sums = member_rows.groupBy("index_id", "period", "date", "open_date", "leaving").agg(
         gain("pr"), gain("tr"), stake("pr"), stake("tr")
     )
     in_period = Window.partitionBy("index_id", "period")
-    on_time = F.col("open_date") == F.col("rebalance_date")
+    on_time = (F.col("open_date") == F.col("rebalance_date")) & ~F.col("leaving")
+    left = F.lit(None).cast(_LEFT)
+    if rebalance_day == "carry":
+        starts = F.col("date") == F.col("rebalance_date")
+        gains = F.when(F.col("leaving") & starts & F.col("open_date").isNotNull(), F.struct("open_date", "gain_pr", "gain_tr"))
+        left = F.collect_list(gains)  # as many as there are days in a period at most
     daily = (
         sums.withColumn("rebalance_date", F.min("date").over(in_period))
         .groupBy("index_id", "period", "rebalance_date", "date")
@@ -171,7 +256,8 @@ def _daily_growth(prices: DataFrame, members: DataFrame, rebalance: str) -> Data
             *[
                 F.sum(F.when(on_time, F.col(c))).alias(c)
                 for c in ("gain_pr", "gain_tr", "cap_pr", "cap_tr")
-            ]
+            ],
+            left.alias("left"),
         )
     )
     running = in_period.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -181,36 +267,54 @@ def _daily_growth(prices: DataFrame, members: DataFrame, rebalance: str) -> Data
         total = F.first(f"cap_{track}").over(running)
         return F.coalesce(F.lit(1.0) + ratio(gained, total), F.lit(1.0)).alias(f"growth_{track}")
 
-    return daily.select("index_id", "period", "rebalance_date", "date", growth("pr"), growth("tr"))
+    return daily.select(
+        "index_id", "period", "rebalance_date", "date", growth("pr"), growth("tr"),
+        *[F.first(f"cap_{t}").over(running).alias(f"total_{t}") for t in ("pr", "tr")], "left",
+    )
 
 
-def index_levels_chain(
-    prices: DataFrame,
-    members: DataFrame,
-    *,
-    base_value: float = 100.0,
-    base_date: dt.date | str | None = None,
-    rebalance: str = "Q",
-) -> DataFrame:
-    """Levels with the chain behind them: period growth and day-on-day factor per track."""
-    daily = _daily_growth(_from_base(prices, base_date), members, rebalance)
+def index_levels(days: DataFrame, *, base_value: float = 100.0) -> DataFrame:
+    """Chain the days of whole histories: levels, with the period's growth and the day-on-day factor per track."""
     by_index = Window.partitionBy("index_id").orderBy("period", "date")
     finished = by_index.rowsBetween(Window.unboundedPreceding, -1)
     closes = F.coalesce(F.lead("period").over(by_index) != F.col("period"), F.lit(False))
-    rows = daily.withColumn("_closes", closes)
+    # What was gained on the next period's first day by the shares that opened with this period.
+    next_left = F.lead("left").over(by_index)
+    rows = days.withColumns({"_closes": closes, "_left": F.when(closes, F.filter(next_left, lambda g: g["open_date"] == F.col("rebalance_date")))})
     out = []
     for track in ("pr", "tr"):
         grown = F.col(f"growth_{track}")
-        carried = F.coalesce(F.product(F.when(F.col("_closes"), grown)).over(finished), F.lit(1.0))
-        before = F.lag(f"growth_{track}").over(by_index)
+        gained = ratio(F.try_element_at("_left", F.lit(1))[f"gain_{track}"], F.col(f"total_{track}"))
+        rows = rows.withColumn(f"_end_{track}", grown + F.coalesce(gained, F.lit(0.0)))
+        end = F.col(f"_end_{track}")
+        carried = F.coalesce(F.product(F.when(F.col("_closes"), end)).over(finished), F.lit(1.0))
         starts = F.col("date") == F.col("rebalance_date")
+        before, turned = F.lag(grown).over(by_index), F.coalesce(ratio(F.lag(end).over(by_index), F.lag(grown).over(by_index)), F.lit(1.0))
         out += [
             (carried * grown * base_value).alias(f"level_{track}"),
-            F.when(starts, F.lit(1.0)).otherwise(ratio(grown, before)).alias(f"factor_{track}"),
+            F.when(starts, turned).otherwise(ratio(grown, before)).alias(f"factor_{track}"),
         ]
     return rows.select("index_id", "date", "rebalance_date", "growth_pr", "growth_tr", *out)
 
 
+def index_levels_chain(
+    prices: DataFrame,
+    members: DataFrame,
+    *,
+    base_value: float = 100.0,
+    base_date: dt.date | str | None = None,
+    rebalance: str = "Q",
+    rebalance_day: str = "flat",
+) -> DataFrame:
+    """Levels with the chain behind them: period growth and day-on-day factor per track.
+
+    On a rebalance day the level stays `flat`, or it carries (`carry`) what the shares
+    held until then gained on that day.
+    """
+    days = index_days(prices, members, base_date=base_date, rebalance=rebalance, rebalance_day=rebalance_day)
+    return index_levels(days, base_value=base_value)
+
+
 def build_index(
     prices: DataFrame,
     members: DataFrame,
@@ -218,13 +322,14 @@ def build_index(
     base_value: float = 100.0,
     base_date: dt.date | str | None = None,
     rebalance: str = "Q",
+    rebalance_day: str = "flat",
 ) -> tuple[DataFrame, DataFrame]:
     """(levels, weights) of every index in `members`.
 
     `members` holds one row per index and ticker; `prices` one per ticker and date.
     """
     options = {"base_date": base_date, "rebalance": rebalance}
-    levels = index_levels_chain(prices, members, base_value=base_value, **options)
+    levels = index_levels_chain(prices, members, base_value=base_value, rebalance_day=rebalance_day, **options)
     return (
         levels.select("index_id", "date", "level_pr", "level_tr"),
         index_weights(prices, members, **options),
@@ -268,10 +373,11 @@ def build_all_indices(
     base_value: float = 100.0,
     base_date: dt.date | str | None = None,
     rebalance: str = "Q",
+    rebalance_day: str = "flat",
 ) -> tuple[DataFrame, DataFrame]:
     """(levels, weights) of the benchmarks, the whole universe and every sub-sector."""
     levels, weights = build_index(
-        prices, members, base_value=base_value, base_date=base_date, rebalance=rebalance
+        prices, members, base_value=base_value, base_date=base_date, rebalance=rebalance, rebalance_day=rebalance_day
     )
     bench = baseline_index(baseline_prices, baselines, base_value=base_value)
     return levels.unionByName(bench), weights

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import align, readers, signals
+from tidemark.operators import align, index, readers, signals, writers
 from tidemark.plans import common as c, refresh as refresh_plan
-from tidemark.plans.oracle import r, sql
-from tidemark.plans.refresh import Store
+from tidemark.plans.oracle import r, sig, sql
+from tidemark.plans.refresh import refresh
+from tidemark.plans.store import Store
 from tidemark.session import new_workspace
 from tidemark.sources import driver_tables as tables, landing
 from tidemark.streaming import ingest
@@ -109,6 +110,32 @@ def ingest_stats(spark, sf_dir):
     return ingest.ingest_stats(spark, f"{root}/stats")
 
 
+def carried_levels(spark, sf_dir):
+    """All indices with the rebalance day's return carried into the level."""
+    levels, _ = index.build_index(
+        tables.prices(spark, sf_dir), c.members(spark, sf_dir), base_date=c.BASE_DATE, rebalance_day="carry"
+    )
+    return levels.select("index_id", "date", c.sig("level_pr").alias("level_pr"), c.sig("level_tr").alias("level_tr"))
+
+
+def incremental_indices(spark, sf_dir):
+    """Stored levels after a full build, a batch of new quarters and a late restatement of one old quarter."""
+    root = new_workspace(spark, "incremental")
+    store = Store(f"{root}/store")
+    px = landing.replay_prices(tables.price_landing(spark, sf_dir))
+    late = F.col("date") >= F.lit("2000-01-01").cast("date")
+    hit = F.col("date").between("1997-04-01", "1997-06-30") & (F.col("ticker").cast("bigint") % 3 == 0)
+    again = px.filter(hit).withColumns({k: F.col(k) * 1.5 for k in ("close", "adj_close")})
+    secs, none = tables.securities(spark, sf_dir), tables.baselines(spark, sf_dir).limit(0)
+    for batch, rows in enumerate((px.filter(~late), px.filter(late), again)):
+        refresh(
+            spark, store, landing_path=None, prices=rows, securities=secs if batch == 0 else None, baselines=none,
+            batch=batch, prefix=c.MARKET, base_date=c.BASE_DATE,
+        )
+    levels = writers.read_index_values(spark, store.path("index_values"))
+    return levels.select("index_id", "date", c.sig("level_pr").alias("level_pr"), c.sig("level_tr").alias("level_tr"))
+
+
 _EVENTS = """
     WITH ev AS MATERIALIZED (
         SELECT event_type, ts AS date,
@@ -135,6 +162,17 @@ QUERIES = {
             "line",
         ),
     ),
+    "carried_levels": (
+        carried_levels,
+        sql(f"SELECT index_id, date, {sig('level_pr')} AS level_pr, {sig('level_tr')} AS level_tr FROM levc", "levc"),
+    ),
+    "incremental_indices": (
+        incremental_indices,
+        sql(
+            f"SELECT index_id, date, {sig('level_pr')} AS level_pr, {sig('level_tr')} AS level_tr FROM lev",
+            "lev", prices="restated",
+        ),
+    ),
     "ingest_stats": (
         ingest_stats,
         sql(

@@ -137,6 +137,37 @@ FRAGMENTS: dict[str, tuple[list[str], str]] = {
         FROM chain WINDOW w AS (PARTITION BY index_id ORDER BY date
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     ),
+    # Each index's rebalance days with what the weights held until then gained on them.
+    "carry": (
+        ["reb", "grid", "px"],
+        """
+        SELECT r.index_id, r.k,
+               sum(l.weight * coalesce(x.close, l.f_pr) / l.o_pr) / sum(l.weight * l.f_pr / l.o_pr) AS c_pr,
+               sum(l.weight * coalesce(x.adj_close, l.f_tr) / l.o_tr) / sum(l.weight * l.f_tr / l.o_tr) AS c_tr
+        FROM (SELECT index_id, k, lag(p) OVER (PARTITION BY index_id ORDER BY p) AS p FROM reb) r
+        JOIN (SELECT index_id, p, ticker, any_value(weight) AS weight, arg_max(f_pr, date) AS f_pr, arg_min(f_pr, date) AS o_pr,
+                     arg_max(f_tr, date) AS f_tr, arg_min(f_tr, date) AS o_tr
+              FROM grid GROUP BY index_id, p, ticker) l USING (index_id, p)
+        LEFT JOIN px x ON x.ticker = l.ticker AND x.date = r.k
+        GROUP BY r.index_id, r.k""",
+    ),
+    "levc": (
+        ["chain", "carry"],
+        """
+        SELECT index_id, date, 100 * product(CASE WHEN date = k THEN coalesce(c_pr, 1) ELSE f_pr END) OVER w AS level_pr,
+               100 * product(CASE WHEN date = k THEN coalesce(c_tr, 1) ELSE f_tr END) OVER w AS level_tr
+        FROM chain LEFT JOIN carry USING (index_id, k)
+        WINDOW w AS (PARTITION BY index_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    ),
+    # Prices with a late restatement: every third ticker's of one quarter are half as high again.
+    "restated": (
+        ["cleanpx"],
+        """
+        SELECT ticker, date, CASE WHEN hit THEN close * 1.5 ELSE close END AS close,
+               CASE WHEN hit THEN adj_close * 1.5 ELSE adj_close END AS adj_close, shares_out
+        FROM (SELECT *, date >= date '1997-04-01' AND date < date '1997-07-01' AND cast(ticker AS bigint) % 3 = 0 AS hit
+              FROM cleanpx)""",
+    ),
     "base": (
         ["bpx"],
         """

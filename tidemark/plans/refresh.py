@@ -3,28 +3,25 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import quality
-from tidemark.operators.index import build_all_indices, priced_indices
 from tidemark.operators.universe import index_members
 from tidemark.operators.writers import (
     compact,
-    last_prints,
     next_batch,
     read_batches,
     read_index_values,
     read_index_weights,
-    read_store,
-    replace_index,
     upsert_securities,
     upsert_series_meta,
     write_batch,
     write_prints,
 )
+from tidemark.plans.index_store import PRICE_TABLES, periods_of_batch, update_indices
+from tidemark.plans.store import Store, rejected_prices, stored_prices, stored_securities, stored_series_meta
 from tidemark.schemas import (
     INGEST_STATS,
     META_KEY,
@@ -46,16 +43,6 @@ from tidemark.streaming.ingest import (
 )
 
 
-@dataclass(frozen=True)
-class Store:
-    """Where the tables of one store live, all below `root`."""
-
-    root: str
-
-    def path(self, table: str) -> str:
-        return f"{self.root.rstrip('/')}/{table}"
-
-
 def ingest_prices(store: Store, prices: DataFrame, batch: int, *, seq: str | None = None) -> None:
     """Store clean and rejected rows side by side, in one pass over the prices.
 
@@ -66,28 +53,6 @@ def ingest_prices(store: Store, prices: DataFrame, batch: int, *, seq: str | Non
         rows = rows.withColumn("fetched_at", F.current_timestamp())
     write_prints(rows, store.path("prices"), batch, seq=seq)
 
-def _prints(spark: SparkSession, store: Store, status: str) -> DataFrame:
-    """Price rows of one status: those written by hand and those taken up from landed pulls."""
-    direct, landed = (read_batches(spark, store.path(t), PRICE_PRINTS) for t in ("prices", "landed_prices"))
-    return direct.unionByName(landed).filter(F.col("status") == status)
-
-
-def stored_prices(spark: SparkSession, store: Store) -> DataFrame:
-    return last_prints(_prints(spark, store, quality.CLEAN))
-
-
-def rejected_prices(spark: SparkSession, store: Store) -> DataFrame:
-    return _prints(spark, store, quality.REJECTED)
-
-
-def stored_securities(spark: SparkSession, store: Store) -> DataFrame:
-    return read_store(spark, store.path("securities"), SECURITIES, SECURITY_KEY)
-
-
-def stored_series_meta(spark: SparkSession, store: Store) -> DataFrame:
-    return read_store(spark, store.path("series_meta"), SERIES_META, META_KEY)
-
-
 def refresh(
     spark: SparkSession,
     store: Store,
@@ -105,6 +70,8 @@ def refresh(
     base_value: float = 100.0,
     base_date: dt.date | str | None = None,
     rebalance: str = "Q",
+    rebalance_day: str = "flat",
+    full: bool = False,
 ) -> DataFrame:
     """Run every step and report (step, rows, errors, error).
 
@@ -114,7 +81,8 @@ def refresh(
     stored as it is. Prices come as a frame, or as landed pulls below
     `price_landing_path`, or both. The catalogue of `specs` is stored with the first
     and last period of each series, which the ingest keeps count of; `series_errors`
-    tells the errors of each series. Rebuilt indices are read back from the store, so their
+    tells the errors of each series. Indices are built anew for the periods that new
+    prices touch; `full` builds all, as other members or settings do. Rebuilt indices are read back from the store, so their
     reports do not compute them again.
     """
     failed: dict[str, str] = {}
@@ -147,13 +115,10 @@ def refresh(
         write_batch(rows, store.path("securities"), batch)
 
     def indices() -> None:
-        kept, members = stored_prices(spark, store), index_members(stored_securities(spark, store), prefix)
-        levels, weights = build_all_indices(
-            kept, members, kept, baselines, base_value=base_value, base_date=base_date, rebalance=rebalance
-        )
-        # Which tickers are priced does not depend on the last write, so the raw batches will do.
-        ids = priced_indices(_prints(spark, store, quality.CLEAN), members, baselines, base_date=base_date)
-        replace_index(levels, weights, store.path("index_values"), store.path("index_weights"), ids=ids)
+        update_indices(
+            spark, store, index_members(stored_securities(spark, store), prefix), baselines, base_value=base_value,
+            base_date=base_date, rebalance=rebalance, rebalance_day=rebalance_day, batch=batch, rewritten=rewritten, full=full,
+        )
 
     if landing_path is not None:
         attempt("observations", observations)
@@ -161,7 +126,10 @@ def refresh(
         attempt("series_meta", catalogue)
     if securities is not None:
         attempt("securities", names)
+    rewritten: list[dt.date] = []
     if prices is not None:
+        # What a batch that is written again held so far is about to go.
+        rewritten = periods_of_batch(spark, store, batch, rebalance=rebalance, rebalance_day=rebalance_day)
         attempt("prices", lambda: ingest_prices(store, prices, batch, seq=price_seq))
     if price_landing_path is not None:
         attempt("prices", landed_prices)
@@ -225,8 +193,8 @@ def compact_store(spark: SparkSession, store: Store, target: Store) -> None:
     compact(spark, store.path("observations"), target.path("observations"), OBSERVATIONS, OBSERVATION_KEY)
     compact(spark, store.path("series_meta"), target.path("series_meta"), SERIES_META, META_KEY)
     compact(spark, store.path("securities"), target.path("securities"), SECURITIES, SECURITY_KEY)
-    for prints in ("prices", "landed_prices"):
-        _fold_prints(spark, store.path(prints), target.path(prints))
+    for table in PRICE_TABLES:
+        _fold_prints(spark, store.path(table), target.path(table))
     last = max(0, next_batch(spark, store.path("observation_rejects")) - 1)
     rejects = read_batches(spark, store.path("observation_rejects"), OBSERVATION_REJECTS).drop("batch")
     write_batch(rejects, target.path("observation_rejects"), last)

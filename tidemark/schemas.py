@@ -24,6 +24,19 @@ PRICES = _struct(ticker=_S, date=_D, close=_F, adj_close=_F, shares_out=_F)
 INDEX_VALUES = _struct(index_id=_S, date=_D, level_pr=_F, level_tr=_F)
 # key: index_id, rebalance_date, ticker
 INDEX_WEIGHTS = _struct(index_id=_S, rebalance_date=_D, ticker=_S, weight=_F)
+# what index levels are chained from, one folder per period
+INDEX_DAYS = _struct(
+    index_id=_S, rebalance_date=_D, date=_D, growth_pr=_F, growth_tr=_F, total_pr=_F, total_tr=_F,
+    left=T.ArrayType(_struct(open_date=_D, gain_pr=_F, gain_tr=_F)), period=_D,
+)
+TICKER_ENDS = _struct(
+    ticker=_S, date=_D, close=_F, adj_close=_F, open_date=_D, open_cap=_F, open_pr=_F, open_tr=_F,
+    carried=T.BooleanType(), period=_D,
+)
+PERIOD_WEIGHTS = _struct(index_id=_S, rebalance_date=_D, ticker=_S, weight=_F, period=_D)
+PERIOD_BASELINES = _struct(index_id=_S, ticker=_S, date=_D, close=_F, adj_close=_F, period=_D)
+# the price batches and settings that the stored days hold for
+INDEX_MARKS = _struct(settings=_S, base_value=_F, prices=T.LongType(), landed_prices=T.LongType())
 # one row per pull
 RAW_LANDING = _struct(source=_S, series_id=_S, fetched_at=_TS, payload=_S)
 # observations of a pull that could not be read
