@@ -150,3 +150,76 @@ def test_leaderboard(spark):
     assert [(r.ticker, r.name) for r in board.collect()] == [("signal", "Signal Inc"), ("noise", "noise"), ("new", "new")]
     total = forecast.leaderboard_summary(board).collect()[0]
     assert total.stocks == 3 and total.beats == sum(r.beats_baseline for r in board.collect())
+
+
+def test_many_features_plan_and_run(spark):
+    """200 features: the plan is that of two, and predictions are those of a refit."""
+    features, frames = random_features(spark, ["a", "b"], 45, 200)
+    few, _ = random_features(spark, ["a"], 45, 2)
+    plans = [forecast.walk_forward(f)._jdf.queryExecution().executedPlan().toString() for f in (features, few)]
+    assert all("Window" not in p for p in plans)
+    assert len({tuple(p.count(node) for node in ("Exchange", "Sort", "FlatMapGroups", "Project")) for p in plans}) == 1
+    got = forecast.walk_forward(features, min_train=36, l2=5.0)
+    for t, (X, y) in frames.items():
+        pred = [v for (v,) in values(got.filter(got.ticker == t), "pred")]
+        assert np.allclose(pred, refit(X, y, 36, 5.0), rtol=1e-6, atol=1e-8)
+
+
+def test_new_months_from_a_stored_state(spark, tmp_path):
+    """State after part of the history, then the new months alone: as a walk over all of it. New tickers start empty."""
+    features, _ = random_features(spark, ["a", "b", "late"], 70, 4, offset=50.0)
+    cut = "2003-06-30"
+    old = features.filter(f"date <= '{cut}' and ticker != 'late'")
+    path = str(tmp_path / "state")
+    forecast.gram_state(shuffled(old)).write.parquet(path)
+    state = spark.read.parquet(path)
+    want = dict(values(forecast.walk_forward(features, min_train=20).withColumn("k", forecast.F.concat("ticker", "date")), "k", "pred", order="k"))
+    for new in (features, features.filter(f"date > '{cut}' or ticker = 'late'")):
+        got = forecast.walk_forward_on(shuffled(new), state, min_train=20)
+        rows = dict(values(got.withColumn("k", forecast.F.concat("ticker", "date")), "k", "pred", order="k"))
+        expected = {k: v for k, v in want.items() if k.startswith("late") or k[1:] > cut}
+        assert set(rows) == set(expected)
+        assert all(rows[k] == pytest.approx(v, rel=1e-9) for k, v in expected.items())
+    # The state moves on by the new months alone, and stands still where there is nothing new.
+    after = {r["ticker"]: r for r in forecast.gram_state(features, state).collect()}
+    whole = {r["ticker"]: r for r in forecast.gram_state(features).collect()}
+    assert set(after) == set(whole) == {"a", "b", "late"}
+    for t, r in whole.items():
+        assert after[t]["last_date"] == r["last_date"]
+        assert np.allclose(after[t]["sums"], r["sums"], rtol=1e-9, atol=1e-9)
+    again = forecast.gram_state(old, state).collect()
+    assert {r["ticker"]: r["last_date"] for r in again} == {"a": day(cut), "b": day(cut)}
+    assert forecast.walk_forward_on(old, state, min_train=20).count() == 0
+    with pytest.raises(Exception, match="features"):
+        forecast.walk_forward_on(features.drop("f3"), state).collect()
+
+
+def test_states_of_parts_merge():
+    rng = np.random.default_rng(3)
+    rows = rng.normal(100.0, 1.0, (60, 4))
+    whole, a, b = (forecast.Gram.empty(rows[k]) for k in (0, 0, 25))
+    for gram, some in ((whole, rows), (a, rows[:25]), (b, rows[25:])):
+        gram.before_each(some)
+    assert np.allclose(a.merged(b).sums, whole.sums, rtol=1e-10, atol=1e-8)
+    assert np.allclose(b.moved(rows[3]).moved(rows[25]).sums, b.sums, rtol=1e-9, atol=1e-8)
+    x = rng.normal(100.0, 1.0, (1, 3)) - whole.origin[:3]
+    one, two = (forecast.ridge_fits(g.sums[None], x, 2.0)[0] for g in (whole, a.merged(b)))
+    assert one == pytest.approx(two)
+
+
+def test_walk_in_portions_equals_one(spark, monkeypatch):
+    features, _ = random_features(spark, ["a"], 60, 3)
+    rows = np.array([[r.f0, r.f1, r.f2, r.target] for r in features.orderBy("date").collect()])
+    fits = []
+    for cells in (4_000_000, 25, 130):
+        monkeypatch.setattr(forecast, "_CELLS", cells)
+        fits.append(forecast._walk(rows, forecast.Gram.empty(rows[0]), 20, 1.0))
+    for other in fits[1:]:
+        assert other[0] == 20 and all(np.allclose(x, y) for x, y in zip(fits[0][1:], other[1:]))
+
+
+def test_empty_features(spark):
+    features, _ = random_features(spark, ["a"], 5, 2)
+    none = features.limit(0)
+    assert forecast.walk_forward(none).count() == 0 and forecast.gram_state(none).count() == 0
+    assert forecast.walk_forward_on(none, forecast.gram_state(features)).count() == 0

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.numeric import change, ratio
 from tidemark.operators.signals import ar_lags, momentum, monthly_returns
@@ -148,36 +151,54 @@ def feature_names(features: DataFrame) -> list[str]:
     return [c for c in features.columns if c not in ("ticker", "date", "target")]
 
 
-_FIT = T.StructType(
-    [
-        T.StructField("pred", T.DoubleType()),
-        T.StructField("intercept", T.DoubleType()),
-        T.StructField("coef", T.ArrayType(T.DoubleType())),
-    ]
-)
+class Gram:
+    """Sums over a ticker's training rows: counts, sums and products of features and target in one square array.
+
+    Row and column 0 stand for the constant, the last ones for the target. Values
+    are taken relative to an origin, the first row, which keeps the sums free of
+    cancellation. A row adds one outer product; sums of two parts of a history add
+    up once they have one origin.
+    """
+
+    def __init__(self, origin: np.ndarray, sums: np.ndarray):
+        self.origin, self.sums = origin, sums
+
+    @classmethod
+    def empty(cls, origin: np.ndarray) -> Gram:
+        return cls(origin, np.zeros((len(origin) + 1,) * 2))
+
+    def shifted(self, rows: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.ones((len(rows), 1)), rows - self.origin], axis=1)
+
+    def before_each(self, rows: np.ndarray) -> np.ndarray:
+        """The sums that stand before each of the rows; all rows are added."""
+        z = self.shifted(rows)
+        steps = np.cumsum(z[:, :, None] * z[:, None, :], axis=0)
+        before = np.concatenate([self.sums[None], self.sums + steps[:-1]])[: len(rows)]
+        self.sums = self.sums + steps[-1] if len(rows) else self.sums
+        return before
+
+    def moved(self, origin: np.ndarray) -> Gram:
+        """The same rows relative to another origin."""
+        turn = np.eye(len(self.sums))
+        turn[1:, 0] = self.origin - origin
+        return Gram(origin, turn @ self.sums @ turn.T)
+
+    def merged(self, other: Gram) -> Gram:
+        return Gram(self.origin, self.sums + other.moved(self.origin).sums)
 
 
-@F.pandas_udf(_FIT)
-def _ridge_fit(
-    n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.Series, x: pd.Series, l2: pd.Series
-) -> pd.DataFrame:
-    """Solve one small ridge system per row from its training sums, all rows of a batch at once.
+def ridge_fits(sums: np.ndarray, x: np.ndarray, l2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prediction, intercept, coefficients) for each row x from the sums that stand before it.
 
-    Coefficients are per unit of each feature; a constant feature has 0.
+    One small system a row, all rows of a batch at once. Coefficients are per unit
+    of each feature; a feature that was constant so far has 0.
     """
-    if len(n) == 0:
-        return pd.DataFrame({"pred": [], "intercept": [], "coef": []})
-    count = n.to_numpy(dtype=float)[:, None]
-    mean_x = np.stack(sx.to_numpy()) / count
-    k = mean_x.shape[1]
-    moments = np.stack(sxx.to_numpy())
-    upper = np.triu_indices(k)
-    gram = np.zeros((len(n), k, k))
-    gram[:, upper[0], upper[1]] = moments
-    gram[:, upper[1], upper[0]] = moments
-    mean_y = sy.to_numpy(dtype=float)[:, None] / count
+    count = sums[:, 0, 0][:, None]
+    mean_x, mean_y = sums[:, 0, 1:-1] / count, sums[:, 0, -1][:, None] / count
+    gram = sums[:, 1:-1, 1:-1]
     cov = gram - count[:, :, None] * mean_x[:, :, None] * mean_x[:, None, :]
-    cov_y = np.stack(sxy.to_numpy()) - count * mean_x * mean_y
+    cov_y = sums[:, 1:-1, -1] - count * mean_x * mean_y
     # A spread that is rounding noise of the second moment is a constant column.
     diag = np.diagonal(cov, axis1=1, axis2=2)
     scale = np.abs(np.diagonal(gram, axis1=1, axis2=2))
@@ -185,11 +206,62 @@ def _ridge_fit(
     sd = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, diag) / count))
     cov = np.where(flat[:, :, None] | flat[:, None, :], 0.0, cov) / (sd[:, :, None] * sd[:, None, :])
     cov_y = np.where(flat, 0.0, cov_y) / sd
-    cov += l2.to_numpy(dtype=float)[:, None, None] * np.eye(k)
-    coef = np.linalg.solve(cov, cov_y[:, :, None])[:, :, 0]
-    coef = coef / sd
-    pred = mean_y[:, 0] + ((np.stack(x.to_numpy()) - mean_x) * coef).sum(axis=1)
-    return pd.DataFrame({"pred": pred, "intercept": mean_y[:, 0] - (mean_x * coef).sum(axis=1), "coef": list(coef)})
+    cov += l2 * np.eye(x.shape[1])
+    coef = np.linalg.solve(cov, cov_y[:, :, None])[:, :, 0] / sd
+    pred = mean_y[:, 0] + ((x - mean_x) * coef).sum(axis=1)
+    return pred, mean_y[:, 0] - (mean_x * coef).sum(axis=1), coef
+
+
+#: Cells of the training sums that are held at a time: rows go in portions of so many.
+_CELLS = 4_000_000
+_FITS = "ticker {ticker}, date date, pred double, actual double, intercept double, coef array<double>"
+GRAM_STATE = "ticker {ticker}, last_date date, origin array<double>, sums array<double>"
+
+
+def _walk(rows: np.ndarray, gram: Gram, min_train: int, l2: float):
+    """Fits of all rows that have `min_train` rows before them: (first such row, pred, intercept, coef). Rows are added."""
+    k = rows.shape[1] - 1
+    at_once = max(1, _CELLS // (rows.shape[1] + 1) ** 2)
+    first = max(0, min_train - int(gram.sums[0, 0]))
+    out = []
+    for at in range(0, len(rows), at_once):
+        some = rows[at : at + at_once]
+        before = gram.before_each(some)
+        own = max(0, first - at)
+        if own < len(some):
+            x = some[own:, :k] - gram.origin[:k]
+            out.append(ridge_fits(before[own:], x, l2))
+    pred, intercept, coef = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0), np.empty(0), np.empty((0, k)))
+    # Back from the origin.
+    return first, gram.origin[k] + pred, gram.origin[k] + intercept - (coef * gram.origin[:k]).sum(axis=1), coef
+
+
+def _matrix(table: pa.Table, names: list[str]) -> tuple[pa.Table, np.ndarray]:
+    """A ticker's rows by date, with its features and target as one array."""
+    table = table.sort_by("date")
+    return table, np.stack([table.column(c).to_numpy() for c in (*names, "target")], axis=1).astype(float)
+
+
+def _fitted(table: pa.Table, rows: np.ndarray, gram: Gram, min_train: int, l2: float) -> pa.Table:
+    first, pred, intercept, coef = _walk(rows, gram, min_train, l2)
+    own = table.slice(first) if first < len(table) else table.slice(0, 0)
+    return pa.table(
+        {
+            "ticker": own.column("ticker"), "date": own.column("date"), "pred": pa.array(pred), "actual": own.column("target"),
+            "intercept": pa.array(intercept), "coef": pa.array(list(coef), pa.list_(pa.float64())),
+        }
+    )
+
+
+def _schema(frame: DataFrame, text: str) -> str:
+    return text.format(ticker=frame.schema["ticker"].dataType.simpleString())
+
+
+def _shown(fits: DataFrame, names: list[str], coefficients: bool) -> DataFrame:
+    if not coefficients:
+        return fits.select("ticker", "date", "pred", "actual")
+    named = F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.col("coef"))
+    return fits.select("ticker", "date", "pred", "actual", "intercept", named.alias("coef"))
 
 
 def walk_forward(
@@ -199,53 +271,75 @@ def walk_forward(
 
     Returns (ticker, date, pred, actual) for every month after `min_train`; with
     `coefficients` also each fit's intercept and its coefficients by feature. The
-    fit needs only sums over the earlier rows, so one expanding window per
-    ticker replaces a refit per month; Python solves the k x k systems in Arrow
-    batches. Values are taken relative to the ticker's first row, which keeps
-    the sums free of cancellation and changes no prediction.
+    fit needs only sums over the earlier rows, which a ticker's rows add to one
+    after the other (`Gram`): the plan holds one group per ticker, whatever the
+    number of features, and a group is bounded by the months on the calendar.
     """
     names = feature_names(features)
-    by_ticker = Window.partitionBy("ticker").orderBy("date")
-    start = by_ticker.rowsBetween(Window.unboundedPreceding, 0)
-    xs = [f"_x{i}" for i in range(len(names))]
-    rows = features.select(
-        "ticker",
-        "date",
-        "target",
-        F.first("target").over(start).alias("_origin"),
-        (F.col("target") - F.first("target").over(start)).alias("_y"),
-        *[(F.col(c) - F.first(c).over(start)).alias(x) for c, x in zip(names, xs)],
-        F.array(*[F.first(c).over(start) for c in names]).alias("_from"),
-    )
-    over = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-
-    def sums(terms) -> Column:
-        return F.expr(f"array({', '.join(f'sum({term}) {over}' for term in terms)})")
-
-    trained = rows.select(
-        "ticker",
-        "date",
-        "target",
-        "_origin",
-        F.expr(f"count(_y) {over}").alias("_n"),
-        sums(xs).alias("_sx"),
-        sums(f"{a} * {b}" for i, a in enumerate(xs) for b in xs[i:]).alias("_sxx"),
-        sums(f"{x} * _y" for x in xs).alias("_sxy"),
-        F.expr(f"sum(_y) {over}").alias("_sy"),
-        F.array(*xs).alias("_x"),
-        "_from",
-    ).filter(F.col("_n") >= min_train)
-    fit = _ridge_fit("_n", "_sx", "_sxx", "_sxy", "_sy", "_x", F.lit(float(l2)))
-    fitted = trained.select("ticker", "date", "target", "_origin", "_from", fit.alias("_fit"))
-    more = []
-    if coefficients:
-        moved = F.zip_with("_fit.coef", "_from", lambda c, o: c * o)
-        shift = F.aggregate(moved, F.lit(0.0), lambda a, b: a + b)
-        named = F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.col("_fit.coef"))
-        more = [(F.col("_origin") + F.col("_fit.intercept") - shift).alias("intercept"), named.alias("coef")]
-    return fitted.select(
-        "ticker", "date", (F.col("_origin") + F.col("_fit.pred")).alias("pred"), F.col("target").alias("actual"), *more
-    )
+
+    def fit(table: pa.Table) -> pa.Table:
+        table, rows = _matrix(table, names)
+        return _fitted(table, rows, Gram.empty(rows[0]), min_train, l2)
+
+    rows = features.select("ticker", "date", *[F.col(f"`{c}`").cast("double").alias(c) for c in (*names, "target")])
+    return _shown(rows.groupBy("ticker").applyInArrow(fit, _schema(features, _FITS)), names, coefficients)
+
+
+def gram_state(features: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """What a walk-forward keeps of a history: (ticker, last_date, origin, sums), one row a ticker.
+
+    With `state` only rows dated after a ticker's last one are added to it; rows up to
+    that date are taken as known. One array holds the sums of k features in (k + 2)^2 cells.
+    """
+    return _advance(features, state, None, None)
+
+
+def walk_forward_on(
+    features: DataFrame, state: DataFrame, *, min_train: int = MIN_TRAIN, l2: float = L2, coefficients: bool = False
+) -> DataFrame:
+    """Predictions for the months after a stored state only, equal to those of a walk over the whole history.
+
+    `features` holds at least the new months, with the features that the state was
+    built with; `state` comes from `gram_state`.
+    """
+    return _shown(_advance(features, state, min_train, l2), feature_names(features), coefficients)
+
+
+def _advance(features: DataFrame, state: DataFrame | None, min_train: int | None, l2: float | None) -> DataFrame:
+    """New fits, or without `min_train` the new state."""
+    names = feature_names(features)
+    kind = _schema(features, GRAM_STATE)
+    if state is None:
+        state = features.sparkSession.createDataFrame([], kind)
+
+    def step(new: pa.Table, had: pa.Table) -> pa.Table:
+        known = had.to_pylist()[0] if len(had) else None
+        gram = None
+        if known:
+            side = len(names) + 2
+            if len(known["sums"]) != side * side:
+                raise ValueError(f"the state holds {math.isqrt(len(known['sums'])) - 2} features, not {len(names)}")
+            gram = Gram(np.array(known["origin"]), np.array(known["sums"]).reshape(side, side))
+            new = new.filter(pc.greater(new.column("date"), pa.scalar(known["last_date"])))
+        new, rows = _matrix(new, names)
+        gram = gram or Gram.empty(rows[0])
+        if min_train is not None:
+            return _fitted(new, rows, gram, min_train, l2)
+        last = new.column("date")[-1].as_py() if len(new) else known["last_date"]
+        for at in range(0, len(rows), 256):
+            z = gram.shifted(rows[at : at + 256])
+            gram.sums = gram.sums + z.T @ z
+        ticker = new.column("ticker")[0] if len(new) else had.column("ticker")[0]
+        return pa.table(
+            {
+                "ticker": pa.array([ticker.as_py()], new.schema.field("ticker").type), "last_date": pa.array([last], pa.date32()),
+                "origin": pa.array([gram.origin.tolist()]), "sums": pa.array([gram.sums.ravel().tolist()]),
+            }
+        )
+
+    rows = features.select("ticker", "date", *[F.col(f"`{c}`").cast("double").alias(c) for c in (*names, "target")])
+    both = rows.groupBy("ticker").cogroup(state.groupBy("ticker"))
+    return both.applyInArrow(step, kind if min_train is None else _schema(features, _FITS))
 
 
 def forecast_metrics(backtest: DataFrame, tickers: DataFrame) -> DataFrame:
