@@ -49,50 +49,57 @@ def keeps_words_apart(settings: dict) -> bool:
     return normal == _NORMAL and split == _SPLIT and not tied and not settings.get("post_processor")
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level models write each byte: printable signs as they are, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordIds(dict):
     """A word (bytes without ASCII blanks) -> its token ids as bytes, remembered for a bounded number of words.
 
     For a tokenizer that keeps words apart: it drops blanks, and lower-cases what
-    isn't a special token. A word of letters is one piece to its model; signs that
-    follow such a word are another. All other words go through the whole tokenizer.
+    isn't a special token. A word of small Latin letters is one piece to its model;
+    signs that follow it are another. All other words go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer, most: int = 500_000):
         super().__init__()
         self.tokenizer, self.model, self.most = tokenizer, tokenizer.model, most
+        self.letters = _byte_letters()
 
     def of(self, text: str) -> np.ndarray:
         raw = text.encode("utf-8", "surrogatepass")
         words = (raw if b"<|" in raw else raw.lower()).split()
-        new = {w for w in words if w not in self}
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = set(words)
-        self._learn(new)
         return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
 
-    def _learn(self, new: set[bytes]) -> None:
-        rest = []
-        for word in new:
-            core = word.rstrip(_SIGNS)
-            if core.isalpha() and core.islower():
-                ids = self._letters(core)
-                self[word] = ids if len(core) == len(word) else ids + self._signs(word[len(core) :])
-            else:
-                rest.append(word)
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.update((w, array("I", c.ids).tobytes()) for w, c in zip(some, coded))
-
-    def _letters(self, core: bytes) -> bytes:
-        known = self.get(core)
-        return known if known is not None else array("I", [t.id for t in self.model.tokenize(core.decode())]).tobytes()
-
-    def _signs(self, tail: bytes) -> bytes:
-        if tail not in self:
-            self[tail] = array("I", self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
-        return self[tail]
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        core = word.rstrip(_SIGNS)
+        piece = self._piece(core)
+        if piece is None:
+            ids = self._ids(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        elif len(core) < len(word):
+            ids = self[core] + self[word[len(core) :]]
+        else:
+            ids = self._ids([t.id for t in self.model.tokenize(piece)])
+        self[word] = ids
+        return ids
+
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def _piece(self, core: bytes) -> str | None:
+        """The model's piece for a word of small Latin letters, which no normalisation changes."""
+        if core.isascii():
+            return core.decode() if core.isalpha() and core.islower() else None
+        text = core.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0250" and text.lower() == text:
+            return core.decode("latin-1").translate(self.letters)
+        return None
 
 
 class WholeTexts:
