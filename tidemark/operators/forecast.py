@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from tidemark.functions.numeric import change, ratio
 from tidemark.operators.signals import ar_lags, momentum, monthly_returns
@@ -124,6 +124,7 @@ def arx_features(
     ar_order: int = AR_ORDER,
     exog_lag: int = EXOG_LAG,
     momentum_window: int = MOMENTUM_MONTHS,
+    ledger: Observation | None = None,
 ) -> DataFrame:
     """Monthly design matrix per ticker: (ticker, date, features, target), complete rows only.
 
@@ -132,6 +133,9 @@ def arx_features(
     month end uses data up to it; the target is the next month's return. A
     ticker whose sector has no index gets a constant there, which the ridge
     ignores, and so do all tickers where the market has none. The names of the features are in `feature_names`.
+
+    `ledger` observes, in the pass that builds the rows, how many months each ticker had
+    in all and how many fell to each feature as the first one missing; see `dropped_rows`.
     """
     by_ticker = Window.partitionBy("ticker").orderBy("date")
     returns = monthly_returns(prices, keys=["ticker"])
@@ -144,9 +148,28 @@ def arx_features(
     if levels is not None:
         rows = _with_momentum(rows, momentum(levels, momentum_window, keys=["index_id"]), sectors, market_id)
         names += ["sector_mom"] * (sectors is not None) + ["market_mom"] * (market_id is not None)
+    if ledger is not None:
+        missing = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in (*names, "target")])
+        counts = [F.count(F.when(missing == c, True)).alias(c) for c in (*names, "target")]
+        rows = rows.observe(ledger, F.count(F.lit(1)).alias(LEDGER_ROWS), *counts)
     return rows.dropna(subset=[*names, "target"]).select("ticker", "date", *names, "target")
 
 
+LEDGER_ROWS = "_rows"
+
+
+def dropped_rows(spark: SparkSession, ledger: Observation) -> DataFrame:
+    """(feature, dropped, rows) of a ledger whose features have been computed: one row a feature, zeros included.
+
+    A month is counted at the first feature it lacks, in the order of the columns, the
+    target last. Metrics are those of the job that ran; parts of it that ran twice after
+    a lost executor may count twice.
+    """
+    counts = dict(ledger.get)
+    total = counts.pop(LEDGER_ROWS)
+    return spark.createDataFrame([(name, n, total) for name, n in counts.items()], "feature string, dropped long, rows long")
+
+
 def feature_names(features: DataFrame) -> list[str]:
     return [c for c in features.columns if c not in ("ticker", "date", "target")]
 

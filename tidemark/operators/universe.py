@@ -82,3 +82,50 @@ def record_by_slug(records: DataFrame, slug: str) -> DataFrame:
 def tag_filter(records: DataFrame, terms: Iterable[str], *, tags: str = "focus") -> DataFrame:
     """Records whose tags contain any of the terms, by rank; no terms keep all."""
     return records.filter(contains_any(F.col(tags), terms)).orderBy("rank")
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All runs of n characters of a text, with repeats."""
+    length = F.char_length(text)
+    places = F.when(length >= n, F.sequence(F.lit(1), length - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.substring(text, i, F.lit(n)))
+
+
+def texts_containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """The distinct `text`s that contain any `term`, for any number of terms.
+
+    A term's seed is the run of three characters in it that the fewest texts hold (a
+    shorter term is its own); a term with a run that no text holds is dropped at once.
+    Texts meet terms by an equi-join on seeds and each meeting is confirmed. So the
+    work grows with the texts' lengths and the meetings on rare runs, not with texts
+    x terms.
+    """
+    texts = texts.select("text").dropna().distinct()
+    terms = terms.select("term").dropna().distinct()
+    text, term = F.col("text"), F.col("term")
+    every = F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(text, n) for n in (1, 2, 3)]))
+    held = texts.select("text", F.explode(every).alias("gram"))
+    size = F.char_length(term)
+    own = F.when(size >= 3, F.array_distinct(_grams(term, 3))).otherwise(F.array(term))
+    asked = terms.select("term", F.size(own).alias("asked"), F.explode(own).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    seeds = (
+        asked.join(counts, "gram")
+        .groupBy("term", "asked")
+        .agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("n", "gram")).alias("seed"))
+        .filter(F.col("found") == F.col("asked"))
+        .select("term", F.col("seed.gram").alias("gram"))
+    )
+    return held.join(seeds, "gram").filter(F.contains("text", "term")).select("text").distinct()
+
+
+def tag_filter_many(records: DataFrame, terms: DataFrame, *, tags: str = "focus", term: str = "term") -> DataFrame:
+    """`tag_filter` by a table of terms of any size. Null terms are none; an empty table keeps all records."""
+    wanted = terms.select(F.lower(F.col(term)).alias("term")).dropna()
+    joined = F.lower(F.array_join(F.col(tags), " "))
+    rows = records.select(F.struct("*").alias("_record"), joined.alias("text"))
+    # Records with the same tags are looked up once.
+    found = texts_containing(rows.select("text"), wanted).withColumn("_hit", F.lit(True))
+    none = wanted.agg(F.count(F.lit(1)) == 0).scalar()
+    kept = rows.join(found, "text", "left").filter(F.coalesce("_hit", F.lit(False)) | none)
+    return kept.select("_record.*").orderBy("rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tidemark.functions.text import index_name
 from tidemark.operators import forecast, index, readers, reports, signals, universe, writers
@@ -82,7 +82,9 @@ def sector_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def features(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+def features(
+    spark: SparkSession, sf_dir: str, only: DataFrame | None = None, ledger: Observation | None = None
+) -> DataFrame:
     """The design matrix of all tickers, or of those named in `only`."""
     own = adjusted(spark, sf_dir)
     return forecast.arx_features(
@@ -92,6 +94,7 @@ def features(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) ->
         levels=total_return(spark, sf_dir),
         sectors=sector_of(spark, sf_dir),
         market_id=MARKET,
+        ledger=ledger,
     )
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Observation, Window, functions as F
 
 from tidemark.operators import forecast
 from tidemark.plans import common as c
 from tidemark.plans.oracle import r, sql
+from tidemark.session import new_workspace
 from tidemark.sources import driver_tables as tables
 
 
@@ -25,6 +26,13 @@ def arx_features(spark, sf_dir):
     return c.long_form(c.features(spark, sf_dir), ["ticker", "date"], "feature")
 
 
+def dropped_rows(spark, sf_dir):
+    """Months that the complete-case rule drops, counted while the features are stored."""
+    ledger = Observation("dropped rows")
+    c.features(spark, sf_dir, ledger=ledger).write.parquet(new_workspace(spark, "features"))
+    return forecast.dropped_rows(spark, ledger)
+
+
 def walk_forward(spark, sf_dir):
     rows = forecast.walk_forward(c.features(spark, sf_dir))
     return rows.select("ticker", "date", c.r("pred").alias("pred"), c.r("actual").alias("actual"))
@@ -193,6 +201,22 @@ QUERIES = {
             "ret", "sec", "exog", "mom", "spec",
         ),
     ),
+    "dropped_rows": (
+        dropped_rows,
+        sql(
+            f"""{_DESIGN}, placed AS MATERIALIZED (
+                    SELECT *, CASE WHEN feature LIKE 'ret_lag%' THEN 0 WHEN feature LIKE 'exog_%' THEN 1
+                                   WHEN feature = 'sector_mom' THEN 2 WHEN feature = 'market_mom' THEN 3 ELSE 4 END AS place
+                    FROM named)
+                SELECT feature, coalesce(n, 0) AS dropped, (SELECT count(*) FROM months) AS rows
+                FROM (SELECT DISTINCT feature FROM named) LEFT JOIN (
+                    SELECT feature, count(*) AS n FROM (
+                        SELECT * FROM placed WHERE value IS NULL
+                        QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY place, feature) = 1)
+                    GROUP BY feature) USING (feature)""",
+            *_MODEL,
+        ),
+    ),
     "walk_forward_ar1": (walk_forward_ar1, sql(_AR1, "ret")),
     "walk_forward": (
         walk_forward,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import align, index, readers, signals, writers
+from tidemark.operators import align, index, readers, signals, universe, writers
 from tidemark.plans import common as c, refresh as refresh_plan
 from tidemark.plans.oracle import r, sig, sql
 from tidemark.plans.refresh import refresh
@@ -136,6 +136,19 @@ def incremental_indices(spark, sf_dir):
     return levels.select("index_id", "date", c.sig("level_pr").alias("level_pr"), c.sig("level_tr").alias("level_tr"))
 
 
+def tag_filter_many(spark, sf_dir):
+    """Records that hold any of a table of terms: two for each part, across tags, and one that is nowhere."""
+    part = tables.table(spark, sf_dir, "part")
+    odd = F.col("p_partkey") % 7 == 3
+    crossing = F.concat(F.expr("substring(p_name, 4)"), F.lit(" "), F.substring("p_type", 1, 3))
+    terms = part.select(
+        F.explode(
+            F.array(F.when(odd, crossing), F.upper(F.concat(F.col("p_name"), F.col("p_partkey").cast("string"))), F.lit(None))
+        ).alias("term")
+    )
+    return universe.tag_filter_many(tables.tagged_records(spark, sf_dir), terms).select("slug", "rank", "name")
+
+
 _EVENTS = """
     WITH ev AS MATERIALIZED (
         SELECT event_type, ts AS date,
@@ -173,6 +186,14 @@ QUERIES = {
             "lev", prices="restated",
         ),
     ),
+    "tag_filter_many": (
+        tag_filter_many,
+        """WITH terms AS MATERIALIZED (
+               SELECT DISTINCT lower(unnest([CASE WHEN p_partkey % 7 = 3 THEN substr(p_name, 4) || ' ' || substr(p_type, 1, 3) END,
+                                             p_name || p_partkey])) AS term FROM part)
+           SELECT cast(p_partkey AS varchar) AS slug, cast(p_partkey + 1 AS integer) AS rank, p_name AS name
+           FROM part WHERE EXISTS (SELECT 1 FROM terms WHERE contains(lower(p_name || ' ' || p_type), term)) ORDER BY rank""",
+    ),
     "ingest_stats": (
         ingest_stats,
         sql(
