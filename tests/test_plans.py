@@ -13,13 +13,14 @@ import __spark_entry__ as entry  # noqa: E402
 import check  # noqa: E402
 from tidemark import session  # noqa: E402
 from tidemark.operators import align, index, leadlag, readers, signals, skew  # noqa: E402
-from tidemark.plans import forecast_queries, index_queries, series_queries, store_queries  # noqa: E402
+from tidemark.plans import forecast_queries, history_queries, index_queries, series_queries, store_queries  # noqa: E402
 from tidemark.schemas import OBSERVATIONS  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 WRITES = {
     "incremental_ingest", "refresh", "refreshed_levels", "refreshed_weights", "refreshed_catalogue", "refreshed_health",
-    "land_raw", "replay_landing", "stored_prices", "stored_current_series", "replace_index",
+    "land_raw", "replay_landing", "stored_prices", "stored_current_series", "replace_index", "dropped_rows",
+    "landed_prices", "replay_prices", "rebuilt_prices", "landed_price_errors", "ingest_stats", "incremental_indices",
 }
 
 
@@ -31,7 +32,7 @@ def long_plans(spark):
 # The corpus subpackage has its own tests and may be left out.
 CORE = {
     name: query
-    for module in (store_queries, series_queries, index_queries, forecast_queries)
+    for module in (store_queries, series_queries, index_queries, forecast_queries, history_queries)
     for name, query in module.QUERIES.items()
 }
 
