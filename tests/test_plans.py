@@ -100,6 +100,11 @@ def test_scratch_folder_is_the_clusters():
     assert session.new_workspace(shared, "x") != session.new_workspace(shared, "x")
     unset = fake_session(spark_sql_warehouse_dir="hdfs://store/warehouse/")
     assert session.scratch_root(unset) == "hdfs://store/warehouse/_scratch"
+    local, cluster = (fake_session(spark_sql_warehouse_dir="file:/home/me/warehouse") for _ in range(2))
+    local.sparkContext, cluster.sparkContext = SimpleNamespace(master="local[4]"), SimpleNamespace(master="spark://host:7077")
+    assert session.scratch_root(local) == "file:/home/me/warehouse/_scratch"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(cluster)
 
 
 def test_only_hot_keys_are_repeated(spark):

@@ -78,11 +78,22 @@ def _in_month(months: Column, date: Column) -> Column:
     return F.get(months, F.least(place, F.size(months) - 1))
 
 
+def _with_row(rows: DataFrame, row: DataFrame) -> DataFrame:
+    """rows with the columns of a one-row frame, whose size the months on a calendar bound.
+
+    A join, not a scalar subquery: filters pushed below would repeat that for each
+    column they read. The key is no literal, which would make the join a product.
+    """
+    key = F.length(F.coalesce("ticker", F.lit(""))) * 0
+    return rows.withColumn("_one", key).join(F.broadcast(row.withColumn("_one", F.lit(0))), "_one", "left").drop("_one")
+
+
 def _with_shared(rows: DataFrame, right: DataFrame) -> DataFrame:
     """Columns of a frame with one row per month, the same for all tickers."""
     columns = [c for c in right.columns if c != "date"]
-    rows = rows.withColumn("_shared", _in_month(right.agg(_months(columns)).scalar(), F.col("date")))
-    return rows.withColumns({c: F.col("_shared").getField(c) for c in columns}).drop("_shared")
+    rows = _with_row(rows, right.agg(_months(columns).alias("_months")))
+    rows = rows.withColumn("_shared", _in_month(F.col("_months"), F.col("date")))
+    return rows.withColumns({c: F.col("_shared").getField(c) for c in columns}).drop("_shared", "_months")
 
 
 def _with_momentum(
@@ -109,7 +120,7 @@ def _with_momentum(
     if market_id is not None:
         # By an aggregate: a filter would be pushed down into whatever built the levels and run it again.
         mine = F.first(F.when(F.col("index_id") == market_id, F.col("_track")), ignorenulls=True)
-        rows = rows.withColumn("market_mom", momentum_of(indices.agg(mine).scalar()))
+        rows = _with_row(rows, indices.agg(mine.alias("_track"))).withColumn("market_mom", momentum_of(F.col("_track"))).drop("_track")
     return rows
 
 

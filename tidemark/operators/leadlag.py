@@ -37,6 +37,8 @@ def lead_lag(
     *,
     max_lag: int = 12,
     value: str = "value",
+    hot_indicators: list | None = None,
+    hot_targets: list | None = None,
 ) -> DataFrame:
     """Correlation of indicator(t - lag) with target(t) for every pair and lag.
 
@@ -47,15 +49,15 @@ def lead_lag(
 
     Lags are read from one window per pair and unfolded next to it; the sums
     per (pair, lag) form where the window left the rows. No join on shifted row
-    numbers, and the data shuffles for the window alone.
+    numbers, and the data shuffles for the window alone. Series known to take part in
+    very many pairs may be named as hot, which deals their pairs out.
     """
     pair = ["indicator", "target"]
     none = F.lit(None).cast("double")
-    # One series may take part in very many pairs, so each side meets the pairs in parts.
-    lhs = spread_join(pairs, indicators, "indicator", by="target").select(
+    lhs = spread_join(pairs, indicators, "indicator", by="target", hot=hot_indicators).select(
         *pair, "date", F.col(value).alias("ind"), none.alias("tgt")
     )
-    rhs = spread_join(pairs, targets, "target", by="indicator").select(
+    rhs = spread_join(pairs, targets, "target", by="indicator", hot=hot_targets).select(
         *pair, "date", none.alias("ind"), F.col(value).alias("tgt")
     )
     # An undated row per pair keeps pairs without any data in the result.

@@ -23,13 +23,14 @@ def hot_keys(rows: DataFrame, key: str, *, shares: int = SHARES, least: int = LE
 def spread_join(
     big: DataFrame, small: DataFrame, key: str, *, by: str, salts: int = SALTS, hot: list | None = None
 ) -> DataFrame:
-    """Inner join on `key`; the rows of hot keys of `big` are dealt out over `salts` parts.
+    """Inner join on `key`; the rows of the `hot` keys of `big` are dealt out over `salts` parts.
 
-    A row's part follows from its `by` column, so a task that is run again deals
+    Which keys are hot is for the caller to say, who may know it or ask `hot_keys`, a
+    job of its own. A row's part follows from its `by` column, so a task that is run again deals
     the same. Only the rows of `small` that have a hot key are repeated, once per
-    part; all others are joined as they are. Without hot keys this is a plain join.
+    part; all others are joined as they are. Without hot keys this is a plain join, of
+    which adaptive execution splits what turns out large.
     """
-    hot = hot_keys(big, key) if hot is None else hot
     if not hot:
         return big.join(small, key)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -16,8 +16,9 @@ def asof_align(spark, sf_dir):
     """Each order line with the share count known on its shipping day."""
     lines = tables.raw_prints(spark, sf_dir).select("ticker", "date", "l_orderkey", "l_linenumber")
     return align.asof_align(
-        lines, tables.share_counts(spark, sf_dir), keys=["ticker"], columns=["shares"], tie="seq"
-    )
+        lines, tables.share_counts(spark, sf_dir), keys=["ticker"], columns=["shares"], tie="seq",
+        left_is_unique=True,  # few lines of a ticker share a day
+    )
 
 
 def asof_indicator(spark, sf_dir):

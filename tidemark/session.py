@@ -46,7 +46,13 @@ def local_session(
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one below the warehouse where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    on_one_machine = warehouse.startswith(("file:", "/")) or ":" not in warehouse
+    if on_one_machine and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse + "/_scratch"
 
 
 def new_workspace(spark: SparkSession, tag: str) -> str:
