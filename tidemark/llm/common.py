@@ -18,11 +18,15 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     The cluster names it in spark.checkpoint.dir; where that is unset, a folder
-    below the warehouse serves, which is shared by definition.
+    below the warehouse serves, unless that lies on one machine of several.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        on_one_machine = warehouse.startswith(("file:", "/")) or ":" not in warehouse
+        if on_one_machine and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = warehouse + "/_scratch"
     return root.rstrip("/")
 
 
