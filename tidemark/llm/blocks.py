@@ -7,6 +7,9 @@ block travels once, and lists of one range meet in one task.
 
 from __future__ import annotations
 
+import json
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,12 +19,66 @@ from tidemark.llm.words import pack, unpack
 LISTS = "part int, block int, packed binary"
 
 
-def block_of(docs: DataFrame, id_col: str, blocks: int) -> Column:
-    """The block of a row's id, ascending: the number of quantiles below it. Null ids are in the first."""
-    at = [i / blocks for i in range(1, blocks)]
-    bounds = (docs.agg(F.percentile_approx(id_col, at, 10_000)).first()[0] or []) if at else []
-    edges = F.array(*[F.lit(int(x)) for x in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
-    return F.size(F.filter(edges, lambda e: F.coalesce(F.col(id_col) > e, F.lit(False))))
+FINE = 1024
+
+
+def _behind(id_col: str, bounds: list[int]) -> Column:
+    """How many of the sorted bounds a row's id is above; a null id is above none.
+
+    Looked up in two steps, in the first bounds of stretches and then in a stretch.
+    """
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    stretches = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+
+    def constant(value: list, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(value)), kind)
+
+    def above(edges: Column) -> Column:
+        return F.size(F.filter(edges, lambda e: F.coalesce(F.col(id_col) > e, F.lit(False))))
+
+    stretch = above(constant([s[0] for s in stretches], "array<bigint>"))
+    inside = F.get(constant(stretches, "array<array<bigint>>"), stretch - 1)
+    return F.when(stretch == 0, F.lit(0)).otherwise((stretch - 1) * step + above(inside)).cast("int")
+
+
+def _quantiles(docs: DataFrame, id_col: str, n: int) -> list[int]:
+    at = [i / n for i in range(1, n)]
+    if not at:
+        return []
+    found = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), at, max(10_000, 8 * n))).first()[0]
+    return sorted(set(found or []))
+
+
+def cuts(sizes: dict[int, int], blocks: int) -> list[int]:
+    """After which bins a block ends, so that `blocks` blocks of consecutive bins are about equally large."""
+    total, held, out = sum(sizes.values()), 0, []
+    for k in sorted(sizes):
+        if held and (held + sizes[k] / 2) * blocks >= (len(out) + 1) * total:
+            out.append(k - 1)
+        held += sizes[k]
+    return out
+
+
+def block_of(docs: DataFrame, id_col: str, text_col: str, least: int, most_bytes: int) -> tuple[Column, int]:
+    """The block of a row's id, ascending, and how many blocks there are.
+
+    At least `least` blocks, and more where the texts are larger than `most_bytes` a
+    block. Bytes are summed in fine bins between quantiles of the ids, of which there
+    are a fixed number in each block's share; blocks are runs of bins of about equal
+    bytes. Null ids are in the first block. Rows of one id lie in one block, whatever their bytes.
+    """
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    total = docs.agg(F.sum(size)).first()[0] or 0
+    blocks = max(least, -(-total // most_bytes))
+    fine = _quantiles(docs, id_col, max(FINE, 4 * blocks) if blocks > 1 else 1)
+    if not fine:
+        return F.lit(0), 1
+    rows = docs.groupBy(_behind(id_col, fine).alias("bin")).agg(F.sum(size).alias("n")).collect()
+    ends = cuts({r["bin"]: r["n"] for r in rows}, blocks)
+    bounds = sorted({fine[min(max(k, 0), len(fine) - 1)] for k in ends})
+    return _behind(id_col, bounds), len(bounds) + 1
 
 
 def spread(block: int, values: np.ndarray, parts: int) -> pd.DataFrame:

@@ -29,6 +29,8 @@ from tidemark.llm.blocks import LISTS, block_of, gather, shared, spread
 from tidemark.llm.words import Names, mix, split, windows
 
 ROUNDS = 3
+#: Text of a block at most, unless one id has more.
+BLOCK_BYTES = 16 << 20
 DEDUPED = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
@@ -153,7 +155,10 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, texts: bool = False) ->
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select("doc_id", "text")
-    dealt = base.withColumn("block", block_of(base, "doc_id", 2 * parts))
+    block, blocks = block_of(base, "doc_id", "text", 2 * parts, BLOCK_BYTES)
+    # As many ranges of values, so that what meets in one stays bounded too.
+    parts = max(parts, blocks // 2)
+    dealt = base.withColumn("block", block)
 
     def keys(frame: pd.DataFrame) -> pd.DataFrame:
         found = np.unique(Block(frame, width).keys())
