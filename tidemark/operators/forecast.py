@@ -82,10 +82,12 @@ def _with_row(rows: DataFrame, row: DataFrame) -> DataFrame:
     """rows with the columns of a one-row frame, whose size the months on a calendar bound.
 
     A join, not a scalar subquery: filters pushed below would repeat that for each
-    column they read. The key is no literal, which would make the join a product.
+    column they read. The keys are 0 by the sign of a length: a literal, or what is
+    folded to one, would make the join a product.
     """
-    key = F.length(F.coalesce("ticker", F.lit(""))) * 0
-    return rows.withColumn("_one", key).join(F.broadcast(row.withColumn("_one", F.lit(0))), "_one", "left").drop("_one")
+    key = F.shiftright(F.length(F.coalesce("ticker", F.lit(""))), 31)
+    other = F.shiftright(F.size(F.coalesce(row.columns[0], F.array())), 31)
+    return rows.withColumn("_one", key).join(F.broadcast(row.withColumn("_one", other)), "_one", "left").drop("_one")
 
 
 def _with_shared(rows: DataFrame, right: DataFrame) -> DataFrame:
