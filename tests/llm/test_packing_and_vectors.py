@@ -1,6 +1,7 @@
 """Packing, vector codes and clustering: against brute force, and on nulls, ties, empty and odd tables."""
 
 import bisect
+import functools
 import hashlib
 import json
 import random
@@ -78,6 +79,13 @@ def test_tightest_open_bin():
     assert bins.tightest(8) == 100
 
 
+@functools.cache
+def tokenizer():
+    words = packing.open_tokenizer(FILE)
+    assert isinstance(words, packing.WordIds)
+    return words
+
+
 BITS = list("aAbZ éÉİßΣσς'\t\n\x0b\x1c\x85 ,.!<|>-_09½ﬁ漢🙂́‍\x00") + [
     "<|endoftext|>", "<|STARTOFTEXT|>", "'s", "'LL", "don't", "...", "\ud800",
 ]
@@ -86,8 +94,7 @@ BITS = list("aAbZ éÉİßΣσς'\t\n\x0b\x1c\x85 ,.!<|>-_09½ﬁ漢🙂́‍\x
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(BITS), max_size=14).map("".join))
 def test_words_one_by_one_give_the_ids_of_the_text(text):
-    words = packing.open_tokenizer(FILE)
-    assert isinstance(words, packing.WordIds)
+    words = tokenizer()
     whole = text.encode("utf-8", "replace").decode() if "\ud800" in text else text
     if "\ud800" not in text:
         assert words.of(whole).tolist() == words.tokenizer.encode(whole, add_special_tokens=False).ids
