@@ -223,3 +223,16 @@ def test_empty_features(spark):
     none = features.limit(0)
     assert forecast.walk_forward(none).count() == 0 and forecast.gram_state(none).count() == 0
     assert forecast.walk_forward_on(none, forecast.gram_state(features)).count() == 0
+
+
+def test_indicator_features_have_one_window_for_any_number_of_series(spark):
+    exog = series(spark, [("s0", d.isoformat(), 1.0 + k) for k, d in enumerate(month_ends("2000-01-31", 20))]).withColumnRenamed("key", "series_id")
+    plans = [
+        forecast.exog_features(exog, [f"s{k}" for k in range(n)])._jdf.queryExecution().executedPlan().toString() for n in (1, 60)
+    ]
+    assert plans[0].count("Window ") == plans[1].count("Window ")
+    wide = forecast.exog_features(exog, [f"s{k}" for k in range(60)])
+    rows = wide.orderBy("date").collect()
+    assert len(rows) == 20 and len(wide.columns) == 61
+    assert rows[13]["exog_s0"] == pytest.approx(13 / 1 - 1) and rows[12]["exog_s0"] is None and rows[13]["exog_s59"] is None
+    assert forecast.exog_features(exog.limit(0), ["s0"]).collect() == []

@@ -31,36 +31,32 @@ def exog_features(exog: DataFrame, series_ids: list[str], *, lag: int = EXOG_LAG
     All series share the months from the first to the last date of any of them,
     so a series that ends early is carried on. One row per calendar month.
     """
-    # Summed to one row per month and series before the pivot.
+    # Reduced to one row per month and series; a series is a key, not a column, until the pivot.
     month = F.trunc("date", "month")
-    monthly = (
-        exog.groupBy(month.alias("_month"), "series_id")
-        .agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("date"))).alias("value"))
-        .groupBy("_month")
-        .pivot("series_id", series_ids)
-        .agg(F.first("value"))
-    )
-    # A window over one row per calendar month; its one task stays small.
-    span = Window.partitionBy(F.lit(0)).orderBy("_month")
-    upto = span.rowsBetween(Window.unboundedPreceding, 0)
-    next_month = F.coalesce(F.add_months(F.lead("_month").over(span), -1), F.col("_month"))
-    grid = monthly.withColumn("_upto", next_month).select(
-        F.explode(F.sequence("_month", "_upto", F.expr("interval 1 month"))).alias("_slot"), "*"
+    monthly = exog.groupBy("series_id", month.alias("_month")).agg(
+        F.max_by("value", F.when(F.col("value").isNotNull(), F.col("date"))).alias("value")
     )
-    seen = grid.select(
-        F.col("_slot").alias("_month"),
-        *[F.when(F.col("_slot") == F.col("_month"), F.col(f"`{sid}`")).alias(sid) for sid in series_ids],
+    span = monthly.agg(F.min("_month").alias("_from"), F.max("_month").alias("_to"))
+    by_series = Window.partitionBy("series_id").orderBy("_month")
+    following = F.add_months(F.lead("_month").over(by_series), -1)
+    upto = F.coalesce(following, span.select("_to").scalar())
+    step = F.expr("interval 1 month")
+    held = (
+        monthly.filter(F.col("value").isNotNull())
+        .select("series_id", "value", "_month", upto.alias("_upto"))
+        .select("series_id", "value", F.explode(F.sequence("_month", "_upto", step)).alias("_month"))
     )
-    held = seen.select(
-        "_month", *[F.last(F.col(f"`{sid}`"), ignorenulls=True).over(upto).alias(sid) for sid in series_ids]
+    late = change(F.lag("value", lag).over(by_series), F.lag("value", lag + 12).over(by_series))
+    # A row for every month, whether a series has been seen by then or not.
+    spine = span.select(F.explode(F.sequence("_from", "_to", step)).alias("_month"))
+    wide = (
+        held.select("series_id", "_month", late.alias("x"))
+        .unionByName(spine, allowMissingColumns=True)
+        .groupBy("_month")
+        .pivot("series_id", series_ids)
+        .agg(F.first("x", ignorenulls=True))
     )
-    late = [
-        change(F.lag(F.col(f"`{sid}`"), lag).over(span), F.lag(F.col(f"`{sid}`"), lag + 12).over(span)).alias(
-            f"exog_{sid}"
-        )
-        for sid in series_ids
-    ]
-    return held.select(F.last_day("_month").alias("date"), *late)
+    return wide.select(F.last_day("_month").alias("date"), *[F.col(f"`{sid}`").alias(f"exog_{sid}") for sid in series_ids])
 
 
 def _months(columns: list[str]) -> Column:
