@@ -87,3 +87,17 @@ def test_stored_prices_are_settled_once_an_update(spark, tmp_path, monkeypatch):
     members = spark.createDataFrame([("ALL", t, None, None) for t in "ABC"], "index_id string, ticker string, from_date date, to_date date")
     index_store.update_indices(spark, store, members, spark.createDataFrame([], "index_id string, ticker string"))
     assert [seen.value for seen in told] == [18]
+
+
+def test_stores_move_rows_before_they_choose(spark, tmp_path):
+    """No aggregate below the shuffle: there it would hold all keys of a task's files."""
+    path = str(tmp_path / "prices")
+    writers.write_batch(px(spark), path, 0)
+    writers.write_batch(px(spark).withColumn("close", F.lit(9.0)), path, 1)
+    for rows in (
+        writers.read_store(spark, path, PRICES, PRICE_KEY),
+        writers.last_prints(writers.read_batches(spark, path, PRICES).withColumn("fetched_at", F.lit(None).cast("timestamp"))),
+    ):
+        above, below = plan(rows).split("Exchange")
+        assert "HashAggregate" in above and "Aggregate" not in below
+        assert values(rows.select("close").distinct(), "close", order="close") == [(9.0,)] and rows.count() == 18
