@@ -101,3 +101,12 @@ def test_stores_move_rows_before_they_choose(spark, tmp_path):
         above, below = plan(rows).split("Exchange")
         assert "HashAggregate" in above and "Aggregate" not in below
         assert values(rows.select("close").distinct(), "close", order="close") == [(9.0,)] and rows.count() == 18
+
+
+def test_documents_are_gathered_after_the_shuffle(spark):
+    rows = px(spark).withColumn("fetched_at", F.date_trunc("year", "date"))
+    pulls = landing.price_pulls(rows.withColumn("n", F.datediff(F.lit("2021-01-01"), "date")), source="PX", seq=F.col("n"))
+    above, below = plan(pulls).split("Exchange")
+    assert "Aggregate" not in below and "lambdafunction" not in above
+    back = landing.parse_prices(pulls.filter("series_id = 'A'")).orderBy("pos").collect()
+    assert [r["date"] for r in back] == sorted((r["date"] for r in back), reverse=True) and len(back) == 6
