@@ -110,3 +110,31 @@ def test_documents_are_gathered_after_the_shuffle(spark):
     assert "Aggregate" not in below and "lambdafunction" not in above
     back = landing.parse_prices(pulls.filter("series_id = 'A'")).orderBy("pos").collect()
     assert [r["date"] for r in back] == sorted((r["date"] for r in back), reverse=True) and len(back) == 6
+
+
+def test_landed_prices_are_chosen_by_hash(spark, tmp_path, monkeypatch):
+    entries = [("2021-01-04", 1, 1, 1), ("2021-01-04", 2, "x", 2), ("2021-01-04", 3, 3, None), ("soon", 1, 1, 1)]
+    pulls = [pull("A", "2021-01-05", *entries), pull("A", "2021-01-04", ("2021-01-04", 8, 8, 8)), pull("B", "2021-01-05", payload="{")]
+    pulls += [("PX", "C", when, pull("C", "2021-01-05", ("2021-01-04", k, k, k))[3]) for k, when in ((5, dt.datetime(1960, 1, 1)), (4, None))]
+    assert "SortAggregate" not in plan(landing.replay_prices(frame(spark, pulls)))
+    raw, store, settled = str(tmp_path / "raw"), Store(str(tmp_path / "store")), []
+    write = writers.write_batch
+    monkeypatch.setattr(writers, "write_batch", lambda rows, *a, **k: (settled.append(plan(rows)), write(rows, *a, **k)))
+    frame(spark, pulls).write.parquet(raw)
+    ingest.incremental_prices(spark, raw, store.path("landed_prices"), store.path("_price_progress"))
+    assert settled and "SortAggregate" not in settled[0] and "InMemory" not in settled[0]
+    want = [("A", day("2021-01-04"), 3.0, None), ("C", day("2021-01-04"), 5.0, 5.0)]
+    assert values(stored_prices(spark, store), "ticker", "date", "close", "shares_out", order="ticker") == want
+    rejected = writers.read_batches(spark, store.path("landed_prices"), writers.PRICE_PRINTS).filter("status = 'rejected'")
+    got = values(rejected, "ticker", "date_text", "close_text", "adj_close_text", "reason", order=["ticker", "date_text"])
+    assert got == [
+        ("A", "2021-01-04", "2", "x", quality.BAD_ADJ_CLOSE), ("A", "soon", "1", "1", "bad date"),
+        ("B", None, None, None, "unreadable payload"),
+    ]
+
+
+def test_numbers_are_read_once(spark):
+    rows = spark.createDataFrame([("1.5",), ("NaN",), ("x",), ("-1",), (None,), ("Infinity",)], "t string")
+    read = rows.select(to_number(F.col("t")).alias("v"), quality.usable_price(F.col("t")).alias("ok"))
+    assert plan(rows.select(to_number(F.col("t")))).count("cast(t") == 1
+    assert [tuple(r) for r in read.collect()] == [(1.5, True), (None, False), (None, False), (-1.0, False), (None, False), (float("inf"), True)]
